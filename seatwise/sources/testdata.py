@@ -29,7 +29,7 @@ Rules (fixed; the oracle SQL in ``seatwise.plans.oracle`` states the same):
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from functools import cached_property
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -126,9 +126,8 @@ FLAG_COLUMNS = ("is_active", "did_search", "did_create_list", "did_pitch",
                 "did_view_report", "did_view_dashboard", "did_create_alert")
 
 
-def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _user_days(spark: SparkSession, sf_dir: str, ev: DataFrame) -> DataFrame:
     """One row per (date, account, user), inactive user-days included."""
-    ev = _events(spark, sf_dir)
     users = ev.select("user_id", "account_no").distinct()
     spine = panel(users, _calendar(ev))
     flagged = fill_inactive(spine, _user_flags(ev), ["user_id", "measurement_date"], list(FLAG_COLUMNS))
@@ -145,9 +144,8 @@ def _account_day_events(ev: DataFrame) -> DataFrame:
     )
 
 
-def health(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _health(ud: DataFrame, day_events: DataFrame) -> DataFrame:
     """One health row per account-day."""
-    ud = user_days(spark, sf_dir)
     as_int = lambda c: c.cast("int")
     daily = ud.groupBy("account_id", "measurement_date", "segment").agg(
         F.count(F.lit(1)).alias("n_users"),
@@ -157,8 +155,7 @@ def health(spark: SparkSession, sf_dir: str) -> DataFrame:
                      | F.col("did_create_alert"))).alias("monitoring"),
         F.max(as_int(F.col("did_create_list") | F.col("did_pitch"))).alias("relationship"),
     )
-    ev = _events(spark, sf_dir)
-    counts = _account_day_events(ev).select(
+    counts = day_events.select(
         account_id(F.col("account_no")).alias("account_id"), "measurement_date", "n_events")
     daily = daily.join(counts, ["account_id", "measurement_date"], "left")
     w = Window.partitionBy("account_id").orderBy("measurement_date")
@@ -181,9 +178,8 @@ def health(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), C.HEALTH)
 
 
-def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _retention(spark: SparkSession, sf_dir: str, ev: DataFrame) -> DataFrame:
     """One row per (order month, account) with 1996/1997 order value."""
-    ev = _events(spark, sf_dir)
     nos = ev.select(F.col("account_no").alias("o_custkey")).distinct()
     d = F.col("o_orderdate")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").filter(
@@ -203,11 +199,10 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), C.RETENTION)
 
 
-def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _objects(ev: DataFrame, day_events: DataFrame) -> DataFrame:
     """One object-count row per account-day."""
-    ev = _events(spark, sf_dir)
     spine = panel(ev.select("account_no").distinct(), _calendar(ev))
-    daily = spine.join(_account_day_events(ev), ["account_no", "measurement_date"], "left")
+    daily = spine.join(day_events, ["account_no", "measurement_date"], "left")
     w = Window.partitionBy("account_no").orderBy("measurement_date")
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     recent = w.rowsBetween(-(ACTIVE_OBJECT_ROWS - 1), Window.currentRow)
@@ -227,15 +222,66 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), C.OBJECTS)
 
 
-@dataclass(frozen=True)
 class Inputs:
-    user_days: DataFrame
-    health: DataFrame
-    retention: DataFrame
-    objects: DataFrame
+    """The four inputs over one data folder, as lazy DataFrames.
+
+    Each plan is built once and shared (like a temporary view): queries that
+    use several inputs reference one ``user_days`` plan, so Spark also reuses
+    the identical exchanges at run time.  Nothing is cached in memory; every
+    action reads the source files.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return _events(self.spark, self.sf_dir)
+
+    @cached_property
+    def day_events(self) -> DataFrame:
+        return _account_day_events(self.events)
+
+    @cached_property
+    def user_days(self) -> DataFrame:
+        return _user_days(self.spark, self.sf_dir, self.events)
+
+    @cached_property
+    def health(self) -> DataFrame:
+        return _health(self.user_days, self.day_events)
+
+    @cached_property
+    def retention(self) -> DataFrame:
+        return _retention(self.spark, self.sf_dir, self.events)
+
+    @cached_property
+    def objects(self) -> DataFrame:
+        return _objects(self.events, self.day_events)
+
+
+_INPUTS: dict[tuple[int, str], Inputs] = {}
 
 
 def load(spark: SparkSession, sf_dir: str) -> Inputs:
-    """All four inputs as lazy DataFrames over ``sf_dir``."""
-    return Inputs(user_days(spark, sf_dir), health(spark, sf_dir),
-                  retention(spark, sf_dir), objects(spark, sf_dir))
+    """The shared ``Inputs`` for this session and folder."""
+    key = (id(spark), sf_dir)
+    got = _INPUTS.get(key)
+    if got is None or got.spark is not spark:
+        got = _INPUTS[key] = Inputs(spark, sf_dir)
+    return got
+
+
+def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir).user_days
+
+
+def health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir).health
+
+
+def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir).retention
+
+
+def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir).objects
