@@ -21,12 +21,14 @@ def panel(keys: DataFrame, dates: DataFrame, date_col: str = "measurement_date")
     Each key row explodes the range [first, last] of ``dates`` (two scalar
     subqueries that Spark merges into one small job) and a semi join keeps
     only dates present in ``dates``, so gaps survive.  The work is linear in
-    the output; ``dates`` is bounded by the number of days.
+    the output.  The distinct dates are broadcast: their number is bounded by
+    the days between first and last, whatever the table size, and a shuffle
+    keyed on a few hundred dates would be badly skewed.
     """
     first = dates.agg(F.min(date_col)).scalar()
     last = dates.agg(F.max(date_col)).scalar()
     spine = keys.select("*", F.explode(F.sequence(first, last)).alias(date_col))
-    return spine.join(dates.select(date_col).distinct(), date_col, "left_semi")
+    return spine.join(F.broadcast(dates.select(date_col).distinct()), date_col, "left_semi")
 
 
 def expand_users(accounts: DataFrame, n_users: Column, account_no: Column,

@@ -128,10 +128,12 @@ FLAG_COLUMNS = ("is_active", "did_search", "did_create_list", "did_pitch",
 
 def _user_days(spark: SparkSession, sf_dir: str, ev: DataFrame) -> DataFrame:
     """One row per (date, account, user), inactive user-days included."""
+    # attributes join at user grain, before the calendar multiplies the rows
     users = ev.select("user_id", "account_no").distinct()
+    users = users.join(_accounts(spark, sf_dir, ev), "account_no", "left")
     spine = panel(users, _calendar(ev))
     flagged = fill_inactive(spine, _user_flags(ev), ["user_id", "measurement_date"], list(FLAG_COLUMNS))
-    return conform(flagged.join(_accounts(spark, sf_dir, ev), "account_no", "left"), C.USER_DAYS)
+    return conform(flagged, C.USER_DAYS)
 
 
 def _account_day_events(ev: DataFrame) -> DataFrame:
