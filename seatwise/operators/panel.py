@@ -33,8 +33,9 @@ def panel(keys: DataFrame, dates: DataFrame, date_col: str = "measurement_date")
 
 def expand_users(accounts: DataFrame, n_users: Column, account_no: Column,
                  users_per_account: int = 1000) -> DataFrame:
-    """One row per user of each account: ``user_id = account_no * k + index``."""
-    idx = F.explode(F.sequence(F.lit(0), n_users - 1)).alias("user_index")
+    """One row per user of each account: ``user_id = account_no * k + index``.
+    An account with no users (or a null count) yields no rows."""
+    idx = F.explode(F.when(n_users > 0, F.sequence(F.lit(0), n_users - 1))).alias("user_index")
     out = accounts.select("*", idx)
     return out.withColumn("user_id", (account_no.cast("long") * users_per_account + F.col("user_index")))
 

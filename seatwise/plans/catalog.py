@@ -11,6 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from seatwise.functions import derive as G
 from seatwise.functions.adoption import with_breadth
 from seatwise.functions.objects import active_object_ratio
 from seatwise.operators import adoption as A
@@ -44,6 +47,54 @@ def _baseline(**opts) -> Query:
     return run
 
 
+def _health_score_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    h = T.health(spark, d)
+    fraction = F.col("percent_days_active").cast("double") / 100
+    rebuilt = G.health_score(G.activity_score(fraction), "feature_score", "net_positive_periods")
+    return h.select(
+        "account_id", "measurement_date",
+        G.activity_score(fraction).alias("activity_score"),
+        G.percent_active(fraction).alias("percent_active"),
+        rebuilt.alias("health_score_rebuilt"),
+        (rebuilt == F.col("health_score").cast("double")).alias("score_matches"),
+    )
+
+
+def _account_directory(spark: SparkSession, d: str) -> DataFrame:
+    ud = T.user_days(spark, d)
+    return ud.select(
+        "account_id", "segment",
+        G.service_team("segment").alias("service_team"),
+        G.business_type("segment").alias("business_type"),
+        G.padded_id("CUS_", G.id_number("account_id", "ACC_")).alias("customer_code"),
+        "arr",
+        G.platform_share("arr").alias("platform_arr_rebuilt"),
+    ).distinct()
+
+
+def _retention_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    r = T.retention(spark, d)
+    return r.select(
+        "measurement_month", "account_id",
+        G.gross_retention_base("arr_prior", "arr_current").cast("decimal(18,2)").alias("arr_retained_rebuilt"),
+        G.platform_share("arr_prior").alias("platform_arr_prior"),
+        G.platform_share("arr_current").alias("platform_arr_current"),
+    )
+
+
+def _object_automation(spark: SparkSession, d: str) -> DataFrame:
+    o = T.objects(spark, d)
+    return o.select("measurement_date", "account_id",
+                    G.truncated_share("report_count", 0.4).alias("automated_report_count"))
+
+
+def _seat_roster(spark: SparkSession, d: str) -> DataFrame:
+    from seatwise.operators.panel import expand_users
+    seats = T.user_days(spark, d).select("account_id", "paid_seats").distinct()
+    roster = expand_users(seats, F.col("paid_seats"), G.id_number("account_id", "ACC_"))
+    return roster.select("account_id", "user_index", "user_id")
+
+
 def _retention_risk(spark: SparkSession, d: str) -> DataFrame:
     return R.retention_risk(T.user_days(spark, d), T.health(spark, d), T.objects(spark, d))
 
@@ -72,6 +123,12 @@ QUERIES: dict[str, Query] = {
     "segment_addon_exposure": lambda s, d: S.segment_addon_exposure(T.user_days(s, d), AS_OF),
     "segment_retention": lambda s, d: S.segment_retention(T.health(s, d), T.retention(s, d), AS_OF),
     "segment_breadth": lambda s, d: S.segment_breadth(T.user_days(s, d), T.health(s, d), AS_OF),
+    # deterministic derivation rules
+    "health_score_rebuild": _health_score_rebuild,
+    "account_directory": _account_directory,
+    "retention_rebuild": _retention_rebuild,
+    "object_automation": _object_automation,
+    "seat_roster": _seat_roster,
     # data quality
     "adoption_quality": lambda s, d: Q.run_checks(A.account_day_adoption(T.user_days(s, d)),
                                                   Q.ADOPTION_CHECKS),

@@ -28,6 +28,6 @@ def test_entry_smoke(spark):
 def test_queries_match_oracle(spark):
     from oracle_check import compare
     res = compare(spark, SF)
-    bad = {k: v for k, v in res.items() if not (v.get("cols_match") and v.get("values_match")
+    bad = {k: v for k, v in res.items() if not (v.get("cols_match") and v.get("values_match") and v.get("types_match")
                                                  and v["spark_rows"] == v["oracle_rows"])}
     assert not bad, bad
