@@ -141,7 +141,7 @@ MART_COLUMNS = (
 )
 
 
-def retention_risk(user_days: DataFrame, health: DataFrame, objects: DataFrame,
+def retention_risk(user_days: DataFrame | None, health: DataFrame, objects: DataFrame,
                    thresholds: RiskThresholds = DEFAULT, adoption: DataFrame | None = None,
                    **baseline_options) -> DataFrame:
     """The retention-risk mart: one row per account-day, 25 columns.
