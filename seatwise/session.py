@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app_name: str = "seatwise") -> SparkSession:
+                  app_name: str = "seatwise", extra: dict[str, str] | None = None) -> SparkSession:
     """A local session with AQE on and the web UI off.
 
     ``spark.checkpoint.dir`` is taken from the environment's Spark defaults
@@ -33,6 +33,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("SEATWISE_DRIVER_MEMORY", "8g"))
     )
+    for k, v in (extra or {}).items():
+        builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)

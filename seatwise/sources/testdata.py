@@ -56,6 +56,13 @@ AS_OF = "2024-01-15"
 CENTS = Decimal("0.01")
 
 
+def _cents(c: str) -> Column:
+    """Money as exact integer cents.  Per-key sums of cents stay in ``long``
+    arithmetic (a decimal(18,2) sum buffers as decimal(28,2), the slow
+    BigDecimal path) and convert back exactly."""
+    return (F.col(c).cast(C.MONEY) * 100).cast("long")
+
+
 def account_id(no: Column) -> Column:
     return F.concat(F.lit("ACC_"), F.lpad(no.cast("string"), 6, "0"))
 
@@ -82,14 +89,13 @@ def _accounts(spark: SparkSession, sf_dir: str, ev: DataFrame) -> DataFrame:
         ((F.col("c_acctbal").cast(C.MONEY) + ARR_OFFSET) * ARR_FACTOR).cast(C.MONEY).alias("arr"),
     )
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    price = F.col("o_totalprice").cast(C.MONEY)
     sums = orders.groupBy(F.col("o_custkey").alias("account_no")).agg(*[
-        F.sum(F.when(F.col("o_orderpriority") == p, price)).alias(f"_s{i}")
+        F.sum(F.when(F.col("o_orderpriority") == p, _cents("o_totalprice"))).alias(f"_s{i}")
         for i, p in enumerate(ADDON_PRIORITIES)
     ])
     addons = [
         F.coalesce(
-            (F.expr(f"cast(_s{i} * 100 as bigint) div {ADDON_DIVISOR}") * F.lit(CENTS)).cast(C.MONEY),
+            (F.expr(f"_s{i} div {ADDON_DIVISOR}") * F.lit(CENTS)).cast(C.MONEY),
             F.lit(Decimal("0.00")).cast(C.MONEY),
         ).alias(name)
         for i, name in enumerate(("addon_a", "addon_b", "addon_c", "addon_d", "addon_e"))
@@ -187,11 +193,14 @@ def _retention(spark: SparkSession, sf_dir: str, ev: DataFrame) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").filter(
         (d >= F.lit(dt.datetime(PRIOR_YEAR, 1, 1))) & (d < F.lit(dt.datetime(CURRENT_YEAR + 1, 1, 1))))
     orders = orders.join(nos, "o_custkey", "left_semi")
-    price = F.col("o_totalprice").cast(C.MONEY)
-    zero = F.lit(Decimal("0.00")).cast(C.MONEY)
+    cents = _cents("o_totalprice")
+
+    def money(c: Column) -> Column:
+        return (F.coalesce(c, F.lit(0)) * F.lit(CENTS)).cast(C.MONEY)
+
     monthly = orders.groupBy("o_custkey", F.month(d).alias("m")).agg(
-        F.coalesce(F.sum(F.when(F.year(d) == PRIOR_YEAR, price)), zero).cast(C.MONEY).alias("arr_prior"),
-        F.coalesce(F.sum(F.when(F.year(d) == CURRENT_YEAR, price)), zero).cast(C.MONEY).alias("arr_current"),
+        money(F.sum(F.when(F.year(d) == PRIOR_YEAR, cents))).alias("arr_prior"),
+        money(F.sum(F.when(F.year(d) == CURRENT_YEAR, cents))).alias("arr_current"),
     )
     return conform(monthly.select(
         F.make_date(F.lit(CURRENT_YEAR), F.col("m"), F.lit(1)).alias("measurement_month"),
