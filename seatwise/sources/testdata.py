@@ -63,6 +63,12 @@ def _cents(c: str) -> Column:
     return (F.col(c).cast(C.MONEY) * 100).cast("long")
 
 
+def _wall_clock(ts: str) -> Column:
+    """A zone-free timestamp literal (the order dates are ``timestamp_ntz``),
+    so the comparison does not depend on the session or process time zone."""
+    return F.lit(ts).cast("timestamp_ntz")
+
+
 def account_id(no: Column) -> Column:
     return F.concat(F.lit("ACC_"), F.lpad(no.cast("string"), 6, "0"))
 
@@ -191,7 +197,7 @@ def _retention(spark: SparkSession, sf_dir: str, ev: DataFrame) -> DataFrame:
     nos = ev.select(F.col("account_no").alias("o_custkey")).distinct()
     d = F.col("o_orderdate")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").filter(
-        (d >= F.lit(dt.datetime(PRIOR_YEAR, 1, 1))) & (d < F.lit(dt.datetime(CURRENT_YEAR + 1, 1, 1))))
+        (d >= _wall_clock(f"{PRIOR_YEAR}-01-01")) & (d < _wall_clock(f"{CURRENT_YEAR + 1}-01-01")))
     orders = orders.join(nos, "o_custkey", "left_semi")
     cents = _cents("o_totalprice")
 
