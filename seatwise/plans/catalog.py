@@ -21,6 +21,7 @@ from seatwise.operators import baseline as B
 from seatwise.operators import quality as Q
 from seatwise.operators import risk as R
 from seatwise.operators import segments as S
+from seatwise.operators.panel import expand_users
 from seatwise.sources import testdata as T
 
 AS_OF = T.AS_OF
@@ -28,30 +29,29 @@ AS_OF = T.AS_OF
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _user_category_breadth(spark: SparkSession, d: str) -> DataFrame:
-    return with_breadth(T.user_days(spark, d)).select(
+def _user_category_breadth(i) -> DataFrame:
+    return with_breadth(i.user_days).select(
         "measurement_date", "account_id", "user_id", "research", "monitoring", "relationship",
         "categories_used", "full_breadth")
 
 
-def _active_object_ratio(spark: SparkSession, d: str) -> DataFrame:
-    return T.objects(spark, d).select("measurement_date", "account_id",
-                                      active_object_ratio().alias("active_object_ratio"))
+def _active_object_ratio(i) -> DataFrame:
+    return i.objects.select("measurement_date", "account_id",
+                            active_object_ratio().alias("active_object_ratio"))
 
 
-def _baseline(**opts) -> Query:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        h = T.health(spark, d).select("account_id", "measurement_date", "percent_days_active")
+def _baseline(**opts) -> Callable:
+    def run(i) -> DataFrame:
+        h = i.health.select("account_id", "measurement_date", "percent_days_active")
         h = B.activity_baseline(h, **opts)
         return h.withColumn("activity_vs_baseline", B.activity_vs_baseline())
     return run
 
 
-def _health_score_rebuild(spark: SparkSession, d: str) -> DataFrame:
-    h = T.health(spark, d)
+def _health_score_rebuild(i) -> DataFrame:
     fraction = F.col("percent_days_active").cast("double") / 100
     rebuilt = G.health_score(G.activity_score(fraction), "feature_score", "net_positive_periods")
-    return h.select(
+    return i.health.select(
         "account_id", "measurement_date",
         G.activity_score(fraction).alias("activity_score"),
         G.percent_active(fraction).alias("percent_active"),
@@ -60,9 +60,8 @@ def _health_score_rebuild(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _account_directory(spark: SparkSession, d: str) -> DataFrame:
-    ud = T.user_days(spark, d)
-    return ud.select(
+def _account_directory(i) -> DataFrame:
+    return i.user_days.select(
         "account_id", "segment",
         G.service_team("segment").alias("service_team"),
         G.business_type("segment").alias("business_type"),
@@ -72,9 +71,8 @@ def _account_directory(spark: SparkSession, d: str) -> DataFrame:
     ).distinct()
 
 
-def _retention_rebuild(spark: SparkSession, d: str) -> DataFrame:
-    r = T.retention(spark, d)
-    return r.select(
+def _retention_rebuild(i) -> DataFrame:
+    return i.retention.select(
         "measurement_month", "account_id",
         G.gross_retention_base("arr_prior", "arr_current").cast("decimal(18,2)").alias("arr_retained_rebuilt"),
         G.platform_share("arr_prior").alias("platform_arr_prior"),
@@ -82,35 +80,30 @@ def _retention_rebuild(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _object_automation(spark: SparkSession, d: str) -> DataFrame:
-    o = T.objects(spark, d)
-    return o.select("measurement_date", "account_id",
-                    G.truncated_share("report_count", 0.4).alias("automated_report_count"))
+def _object_automation(i) -> DataFrame:
+    return i.objects.select("measurement_date", "account_id",
+                            G.truncated_share("report_count", 0.4).alias("automated_report_count"))
 
 
-def _seat_roster(spark: SparkSession, d: str) -> DataFrame:
-    from seatwise.operators.panel import expand_users
-    seats = T.user_days(spark, d).select("account_id", "paid_seats").distinct()
+def _seat_roster(i) -> DataFrame:
+    seats = i.user_days.select("account_id", "paid_seats").distinct()
     roster = expand_users(seats, F.col("paid_seats"), G.id_number("account_id", "ACC_"))
     return roster.select("account_id", "user_index", "user_id")
 
 
-def _retention_risk(spark: SparkSession, d: str) -> DataFrame:
-    return R.retention_risk(T.user_days(spark, d), T.health(spark, d), T.objects(spark, d))
+def _retention_risk(i) -> DataFrame:
+    return R.retention_risk(i.user_days, i.health, i.objects)
 
 
-QUERIES: dict[str, Query] = {
-    # inputs derived from the driver's tables
-    "user_days": T.user_days,
-    "health_daily": T.health,
-    "retention_monthly": T.retention,
-    "feature_objects": T.objects,
+# Operator queries: functions of the four inputs (anything with attributes
+# user_days, health, retention, objects).
+OPERATORS: dict[str, Callable] = {
     # user-day and account-day operators
     "user_category_breadth": _user_category_breadth,
-    "account_utilisation": lambda s, d: A.account_utilisation(T.user_days(s, d), AS_OF),
-    "account_day_activity": lambda s, d: A.account_day_activity(T.user_days(s, d)),
-    "account_day_attributes": lambda s, d: A.account_day_attributes(T.user_days(s, d)),
-    "account_day_adoption": lambda s, d: A.account_day_adoption(T.user_days(s, d)),
+    "account_utilisation": lambda i: A.account_utilisation(i.user_days, AS_OF),
+    "account_day_activity": lambda i: A.account_day_activity(i.user_days),
+    "account_day_attributes": lambda i: A.account_day_attributes(i.user_days),
+    "account_day_adoption": lambda i: A.account_day_adoption(i.user_days),
     "active_object_ratio": _active_object_ratio,
     "activity_baseline": _baseline(),
     "activity_baseline_median": _baseline(method="median"),
@@ -118,11 +111,11 @@ QUERIES: dict[str, Query] = {
     # the mart
     "retention_risk": _retention_risk,
     # segment summaries
-    "segment_seat_penetration": lambda s, d: S.segment_seat_penetration(T.user_days(s, d)),
-    "segment_trend_volatility": lambda s, d: S.segment_trend_volatility(T.health(s, d), AS_OF),
-    "segment_addon_exposure": lambda s, d: S.segment_addon_exposure(T.user_days(s, d), AS_OF),
-    "segment_retention": lambda s, d: S.segment_retention(T.health(s, d), T.retention(s, d), AS_OF),
-    "segment_breadth": lambda s, d: S.segment_breadth(T.user_days(s, d), T.health(s, d), AS_OF),
+    "segment_seat_penetration": lambda i: S.segment_seat_penetration(i.user_days),
+    "segment_trend_volatility": lambda i: S.segment_trend_volatility(i.health, AS_OF),
+    "segment_addon_exposure": lambda i: S.segment_addon_exposure(i.user_days, AS_OF),
+    "segment_retention": lambda i: S.segment_retention(i.health, i.retention, AS_OF),
+    "segment_breadth": lambda i: S.segment_breadth(i.user_days, i.health, AS_OF),
     # deterministic derivation rules
     "health_score_rebuild": _health_score_rebuild,
     "account_directory": _account_directory,
@@ -130,9 +123,24 @@ QUERIES: dict[str, Query] = {
     "object_automation": _object_automation,
     "seat_roster": _seat_roster,
     # data quality
-    "adoption_quality": lambda s, d: Q.run_checks(A.account_day_adoption(T.user_days(s, d)),
-                                                  Q.ADOPTION_CHECKS),
-    "risk_quality": lambda s, d: Q.run_checks(_retention_risk(s, d), Q.RISK_CHECKS),
+    "adoption_quality": lambda i: Q.run_checks(A.account_day_adoption(i.user_days), Q.ADOPTION_CHECKS),
+    "risk_quality": lambda i: Q.run_checks(_retention_risk(i), Q.RISK_CHECKS),
+}
+
+
+def _over_testdata(op: Callable) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return op(T.load(spark, sf_dir))
+    return run
+
+
+QUERIES: dict[str, Query] = {
+    # inputs derived from the driver's tables
+    "user_days": T.user_days,
+    "health_daily": T.health,
+    "retention_monthly": T.retention,
+    "feature_objects": T.objects,
+    **{name: _over_testdata(op) for name, op in OPERATORS.items()},
 }
 
 
