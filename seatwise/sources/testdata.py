@@ -29,6 +29,8 @@ Rules (fixed; the oracle SQL in ``seatwise.plans.oracle`` states the same):
 from __future__ import annotations
 
 import datetime as dt
+import os
+import uuid
 from functools import cached_property
 from decimal import Decimal
 
@@ -240,16 +242,30 @@ def _objects(ev: DataFrame, day_events: DataFrame) -> DataFrame:
 
 
 class Inputs:
-    """The four inputs over one data folder, as lazy DataFrames.
-
-    Each plan is built once and shared (like a temporary view): queries that
-    use several inputs reference one ``user_days`` plan, so Spark also reuses
-    the identical exchanges at run time.  Nothing is cached in memory; every
-    action reads the source files.
+    """The four inputs over one data folder.
+
+    With ``materialize=True`` (default) each input is derived once and
+    written as Parquet under the session's ``spark.checkpoint.dir`` (a shared
+    folder on a cluster); queries then scan those tables, as they would scan
+    the real input tables.  This cuts the lineage: a query's plan no longer
+    carries three copies of the derivation, and a lost executor recomputes
+    from the written files.  With ``materialize=False`` the inputs stay lazy
+    plans over the source tables.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
+        self.spark, self.sf_dir, self.materialize = spark, sf_dir, materialize
+        self._store: str | None = None
+
+    def _stored(self, name: str, build, schema) -> DataFrame:
+        if not self.materialize:
+            return build()
+        if self._store is None:
+            from seatwise.session import checkpoint_dir
+            self._store = f"{checkpoint_dir(self.spark).rstrip('/')}/seatwise-inputs-{uuid.uuid4().hex}"
+        path = f"{self._store}/{name}"
+        build().write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
 
     @cached_property
     def events(self) -> DataFrame:
@@ -261,30 +277,35 @@ class Inputs:
 
     @cached_property
     def user_days(self) -> DataFrame:
-        return _user_days(self.spark, self.sf_dir, self.events)
+        return self._stored("user_days", lambda: _user_days(self.spark, self.sf_dir, self.events), C.USER_DAYS)
 
     @cached_property
     def health(self) -> DataFrame:
-        return _health(self.user_days, self.day_events)
+        return self._stored("health", lambda: _health(self.user_days, self.day_events), C.HEALTH)
 
     @cached_property
     def retention(self) -> DataFrame:
-        return _retention(self.spark, self.sf_dir, self.events)
+        return self._stored("retention", lambda: _retention(self.spark, self.sf_dir, self.events), C.RETENTION)
 
     @cached_property
     def objects(self) -> DataFrame:
-        return _objects(self.events, self.day_events)
+        return self._stored("objects", lambda: _objects(self.events, self.day_events), C.OBJECTS)
+
 
+_INPUTS: dict[tuple[int, str, bool], Inputs] = {}
 
-_INPUTS: dict[tuple[int, str], Inputs] = {}
 
+def load(spark: SparkSession, sf_dir: str, materialize: bool | None = None) -> Inputs:
+    """The shared ``Inputs`` for this session and folder.
 
-def load(spark: SparkSession, sf_dir: str) -> Inputs:
-    """The shared ``Inputs`` for this session and folder."""
-    key = (id(spark), sf_dir)
+    ``materialize`` defaults to on; ``SEATWISE_MATERIALIZE_INPUTS=0`` keeps
+    the inputs as lazy plans."""
+    if materialize is None:
+        materialize = os.environ.get("SEATWISE_MATERIALIZE_INPUTS", "1") != "0"
+    key = (id(spark), sf_dir, materialize)
     got = _INPUTS.get(key)
     if got is None or got.spark is not spark:
-        got = _INPUTS[key] = Inputs(spark, sf_dir)
+        got = _INPUTS[key] = Inputs(spark, sf_dir, materialize)
     return got
 
 

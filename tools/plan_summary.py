@@ -23,11 +23,12 @@ OPS = ("Exchange hashpartitioning", "Exchange rangepartitioning", "Exchange Sing
 def summarise(df, full: bool = False) -> str:
     df.write.format("noop").mode("overwrite").save()
     plan = df._jdf.queryExecution().executedPlan().toString()
+    formatted = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     counts = collections.Counter()
     for op in OPS:
         counts[op.strip()] = plan.count(op)
-    scans = sorted(set(re.findall(r"FileScan parquet [^\n]*?(ReadSchema: struct<[^>]*>)", plan)))
-    pushed = sorted(set(re.findall(r"PushedFilters: \[[^\]]*\]", plan)))
+    scans = sorted(set(re.findall(r"ReadSchema: struct<[^>]*>", formatted)))
+    pushed = sorted(set(re.findall(r"PushedFilters: \[[^\n]*\]", formatted)))
     out = [" ".join(f"{k}={v}" for k, v in counts.items() if v)]
     out += ["  " + s for s in scans] + ["  " + p for p in pushed if p != "PushedFilters: []"]
     if full:
