@@ -81,3 +81,25 @@ def test_breadth_fan_out_weighting(user_days, health):
     assert r.avg_seat_utilization == round((4 * 0.75 + 0.5) / 5, 3)
     assert r.avg_full_breadth_penetration == 0.8
     assert r.accounts == 2
+
+
+def test_sorts_put_nulls_where_the_warehouse_does(user_days, health):
+    # descending: nulls first (an account with null seats has a null ratio)
+    df = user_days([
+        dict(account_id="A", user_id=1, segment="S1", paid_seats=2),
+        dict(account_id="B", user_id=2, segment="S2", paid_seats=1),
+        dict(account_id="C", user_id=3, segment="S3", paid_seats=None),
+    ])
+    assert [r.segment for r in segment_seat_penetration(df).collect()] == ["S3", "S2", "S1"]
+    # ascending on (segment, feature score): nulls last
+    ud = user_days([dict(account_id="A", user_id=1, segment=None), dict(account_id="B", user_id=2, segment="Z"),
+                    dict(account_id="C", user_id=3, segment="Z")])
+    h = health([dict(account_id="A", feature_score=1.0), dict(account_id="B", feature_score=None),
+                dict(account_id="C", feature_score=2.0)])
+    got = [(r.segment, r.feature_score) for r in segment_breadth(ud, h, D0).collect()]
+    assert got == [("Z", 2.0), ("Z", None), (None, 1.0)]
+
+
+def test_reason_texts_keep_the_em_dash():
+    from seatwise.operators.risk import REASON_ADDON, REASON_BREADTH
+    assert "—" in REASON_ADDON and "—" in REASON_BREADTH

@@ -36,7 +36,31 @@ def summarise(df, full: bool = False) -> str:
     return "\n".join(out)
 
 
+def markdown(spark, sf: str, names: list[str]) -> str:
+    qs = queries()
+    cols = ["Exchange hashpartitioning", "BroadcastExchange", "SortMergeJoin", "BroadcastHashJoin",
+            "Window", "HashAggregate", "ReusedExchange"]
+    lines = ["| query | hash shuffles | broadcasts | sort-merge joins | broadcast joins | windows | hash aggs "
+             "| reused exchanges | pushed scan filters |",
+             "| --- | " + " | ".join("---" for _ in cols) + " | --- |"]
+    for n in names:
+        df = qs[n](spark, sf)
+        df.write.format("noop").mode("overwrite").save()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        formatted = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        pushed = sorted({p for p in re.findall(r"PushedFilters: \[([^\n]*)\]", formatted) if p})
+        lines.append(f"| `{n}` | " + " | ".join(str(plan.count(c)) for c in cols)
+                     + " | " + ("; ".join(pushed) or "—").replace("|", "/") + " |")
+    return "\n".join(lines)
+
+
 if __name__ == "__main__":
+    if "--markdown" in sys.argv:
+        rest = [a for a in sys.argv[1:] if a != "--markdown"]
+        sf = rest[0] if rest else "/root/testdata/sf0.1"
+        spark = local_session(8)
+        print(markdown(spark, sf, rest[1:] or list(queries())))
+        sys.exit(0)
     args = [a for a in sys.argv[1:] if a != "--full"]
     sf = args[0] if args else "/root/testdata/sf0.1"
     names = args[1:] or list(queries())
