@@ -8,23 +8,54 @@ from pyspark.sql import types as T
 from seatwise.sources.contracts import conform
 
 
-def read_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Parquet scan with a declared schema; Catalyst prunes columns and pushes filters."""
-    return conform(spark.read.schema(schema).parquet(path), schema)
+def source_schema(schema: T.StructType, columns: dict[str, str] | None) -> T.StructType:
+    """The contract schema under the source's column names.
+
+    ``columns`` maps source name -> contract name; unmapped contract columns
+    keep their names.
+    """
+    if not columns:
+        return schema
+    back = {v: k for k, v in columns.items()}
+    return T.StructType([T.StructField(back.get(f.name, f.name), f.dataType, f.nullable) for f in schema.fields])
+
+
+def _renamed(df: DataFrame, columns: dict[str, str] | None) -> DataFrame:
+    if not columns:
+        return df
+    return df.withColumnsRenamed({k: v for k, v in columns.items() if k in df.columns})
+
+
+def read_parquet(spark: SparkSession, path: str, schema: T.StructType,
+                 columns: dict[str, str] | None = None) -> DataFrame:
+    """Parquet scan with a declared schema; Catalyst prunes columns and pushes filters.
+
+    ``columns`` renames source columns to the contract (source -> contract).
+    """
+    df = spark.read.schema(source_schema(schema, columns)).parquet(path)
+    return conform(_renamed(df, columns), schema)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType,
+             columns: dict[str, str] | None = None) -> DataFrame:
     """Header CSV with a declared schema; malformed rows fail the job.
 
-    Booleans are read from ``True``/``False`` (any case); dates as ISO
-    ``yyyy-MM-dd``.
+    Columns are matched by header name (``enforceSchema`` off), so extra
+    source columns are ignored and order does not matter.  Booleans are read
+    from ``True``/``False`` (any case); dates as ISO ``yyyy-MM-dd``.
+    ``columns`` renames source columns to the contract (source -> contract).
     """
-    df = (spark.read.schema(schema)
+    src = source_schema(schema, columns)
+    header = spark.read.option("header", True).csv(path).columns
+    typed = {f.name: f for f in src.fields}
+    read_schema = T.StructType([typed.get(c, T.StructField(c, T.StringType(), True)) for c in header])
+    df = (spark.read.schema(read_schema)
           .option("header", True)
+          .option("enforceSchema", False)
           .option("mode", "FAILFAST")
           .option("dateFormat", "yyyy-MM-dd")
           .csv(path))
-    return conform(df, schema)
+    return conform(_renamed(df, columns), schema)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

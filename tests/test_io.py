@@ -59,3 +59,26 @@ def test_parquet_scan_prunes_columns(spark, user_days):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<account_id:string,is_active:boolean>" in plan
     assert "PushedFilters: [IsNotNull(is_active), EqualTo(is_active,true)]" in plan
+
+
+def test_csv_with_source_names_and_extra_columns(spark):
+    folder = tempfile.mkdtemp(prefix="seatwise-io-")
+    path = os.path.join(folder, "ret.csv")
+    with open(path, "w") as f:
+        f.write("note,month_start,customer,prior,current,kept\n")
+        f.write("x,1997-01-01,A,100.00,90.50,90.50\n")
+    cols = {"month_start": "measurement_month", "customer": "account_id", "prior": "arr_prior",
+            "current": "arr_current", "kept": "arr_retained"}
+    r = read_csv(spark, path, C.RETENTION, columns=cols).first()
+    assert r.account_id == "A" and str(r.arr_current) == "90.50" and r.measurement_month == dt.date(1997, 1, 1)
+
+
+def test_build_models_writes_both_and_checks_them(spark, user_days, health, objects):
+    from seatwise.plans.models import build
+    folder = tempfile.mkdtemp(prefix="seatwise-build-")
+    built = build(spark, user_days([dict(user_id=1), dict(user_id=2, is_active=False)]),
+                  health([dict()]), objects([dict()]), folder)
+    assert built.adoption.count() == 1 and built.risk.count() == 1
+    checks = built.checks.collect()
+    assert len(checks) == 23 and sum(c.failing_rows for c in checks) == 0
+    assert {c.model for c in checks} == {"account_day_adoption", "retention_risk"}
