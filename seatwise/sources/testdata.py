@@ -57,6 +57,16 @@ AS_OF = "2024-01-15"
 
 CENTS = Decimal("0.01")
 
+# Declared source schemas (only the columns the adapters read), so no scan
+# runs a schema-inference job and every scan reads exactly these columns.
+EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string"
+CUSTOMER_SCHEMA = "c_custkey bigint, c_acctbal double, c_mktsegment string"
+ORDERS_SCHEMA = "o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+
+
+def _source(spark: SparkSession, sf_dir: str, table: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{sf_dir}/{table}.parquet")
+
 
 def _cents(c: str) -> Column:
     """Money as exact integer cents.  Per-key sums of cents stay in ``long``
@@ -76,7 +86,7 @@ def account_id(no: Column) -> Column:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ev = _source(spark, sf_dir, "events", EVENTS_SCHEMA)
     return ev.select(
         "event_id", "user_id", "event_type",
         F.col("ts").cast("date").alias("measurement_date"),
@@ -91,12 +101,12 @@ def _calendar(ev: DataFrame) -> DataFrame:
 def _accounts(spark: SparkSession, sf_dir: str, ev: DataFrame) -> DataFrame:
     """One row per account number with its static attributes."""
     nos = ev.select("account_no").distinct()
-    cust = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+    cust = _source(spark, sf_dir, "customer", CUSTOMER_SCHEMA).select(
         F.col("c_custkey").alias("account_no"),
         F.col("c_mktsegment").alias("segment"),
         ((F.col("c_acctbal").cast(C.MONEY) + ARR_OFFSET) * ARR_FACTOR).cast(C.MONEY).alias("arr"),
     )
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = _source(spark, sf_dir, "orders", ORDERS_SCHEMA)
     sums = orders.groupBy(F.col("o_custkey").alias("account_no")).agg(*[
         F.sum(F.when(F.col("o_orderpriority") == p, _cents("o_totalprice"))).alias(f"_s{i}")
         for i, p in enumerate(ADDON_PRIORITIES)
@@ -198,7 +208,7 @@ def _retention(spark: SparkSession, sf_dir: str, ev: DataFrame) -> DataFrame:
     """One row per (order month, account) with 1996/1997 order value."""
     nos = ev.select(F.col("account_no").alias("o_custkey")).distinct()
     d = F.col("o_orderdate")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").filter(
+    orders = _source(spark, sf_dir, "orders", ORDERS_SCHEMA).filter(
         (d >= _wall_clock(f"{PRIOR_YEAR}-01-01")) & (d < _wall_clock(f"{CURRENT_YEAR + 1}-01-01")))
     cents = _cents("o_totalprice")
 
