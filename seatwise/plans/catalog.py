@@ -25,6 +25,7 @@ from seatwise.operators.panel import expand_users
 from seatwise.sources import testdata as T
 
 AS_OF = T.AS_OF
+RETENTION_MONTH = "1997-06-01"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -115,6 +116,10 @@ OPERATORS: dict[str, Callable] = {
     "segment_trend_volatility": lambda i: S.segment_trend_volatility(i.health, AS_OF),
     "segment_addon_exposure": lambda i: S.segment_addon_exposure(i.user_days, AS_OF),
     "segment_retention": lambda i: S.segment_retention(i.health, i.retention, AS_OF),
+    "segment_retention_one_month": lambda i: S.segment_retention(i.health, i.retention, AS_OF,
+                                                                 month=RETENTION_MONTH),
+    "segment_addon_exposure_by_account": lambda i: S.segment_addon_exposure(i.user_days, AS_OF,
+                                                                            weight="account"),
     "segment_breadth": lambda i: S.segment_breadth(i.user_days, i.health, AS_OF),
     # deterministic derivation rules
     "health_score_rebuild": _health_score_rebuild,
