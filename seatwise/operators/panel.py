@@ -15,7 +15,11 @@ def calendar(spark: SparkSession, start: dt.date, end: dt.date, step: str = "1 d
     return spark.range(1).select(F.explode(seq).alias(name))
 
 
-def panel(keys: DataFrame, dates: DataFrame, date_col: str = "measurement_date") -> DataFrame:
+MAX_CALENDAR_DAYS = 36600  # about a century of daily dates
+
+
+def panel(keys: DataFrame, dates: DataFrame, date_col: str = "measurement_date",
+          max_days: int = MAX_CALENDAR_DAYS) -> DataFrame:
     """Every row of ``keys`` paired with every date in ``dates`` — no cross join.
 
     Each key row explodes the range [first, last] of ``dates`` (two scalar
@@ -27,7 +31,11 @@ def panel(keys: DataFrame, dates: DataFrame, date_col: str = "measurement_date")
     """
     first = dates.agg(F.min(date_col)).scalar()
     last = dates.agg(F.max(date_col)).scalar()
-    spine = keys.select("*", F.explode(F.sequence(first, last)).alias(date_col))
+    # the size check behind the broadcast: a span beyond max_days (a stray
+    # far-future date, say) fails the job instead of multiplying every key
+    span = F.when(F.datediff(last, first) <= max_days, F.sequence(first, last)).otherwise(
+        F.raise_error(F.lit(f"calendar spans more than {max_days} days")))
+    spine = keys.select("*", F.explode(span).alias(date_col))
     return spine.join(F.broadcast(dates.select(date_col).distinct()), date_col, "left_semi")
 
 

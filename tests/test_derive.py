@@ -77,3 +77,12 @@ def test_expand_users_and_fill_inactive(spark):
     act = spark.createDataFrame([(3000, dt.date(2024, 1, 1), True)], "user_id long, d date, is_active boolean")
     got = {r.user_id: r.is_active for r in fill_inactive(p, act, ["user_id", "d"], ["is_active"]).collect()}
     assert got == {3000: True, 3001: False, 12000: False}
+
+
+def test_panel_rejects_a_runaway_calendar(spark):
+    import pytest
+    keys = spark.createDataFrame([("A",)], "k string")
+    dates = spark.createDataFrame([(dt.date(2024, 1, 1),), (dt.date(2024, 3, 1),)], "measurement_date date")
+    assert panel(keys, dates, max_days=100).count() == 2
+    with pytest.raises(Exception, match="calendar spans more than 10 days"):
+        panel(keys, dates, max_days=10).collect()
