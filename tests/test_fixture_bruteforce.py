@@ -19,6 +19,7 @@ from decimal import Decimal
 from types import SimpleNamespace
 
 import duckdb
+import pytest
 
 from seatwise.plans.catalog import AS_OF, OPERATORS
 from seatwise.plans.oracle import oracle_sql
@@ -98,8 +99,9 @@ def build_fixture(rnd: random.Random):
     return ud, health, retention, objects
 
 
-def test_operators_equal_bruteforce_sql(spark):
-    rnd = random.Random(20241203)
+@pytest.mark.parametrize("seed", [20241203, 7, 99])
+def test_operators_equal_bruteforce_sql(spark, seed):
+    rnd = random.Random(seed)
     ud, health, retention, objects = build_fixture(rnd)
     hot = sum(1 for r in ud if r[1] == "ACC_000000")
     assert hot * 3 > len(ud)
