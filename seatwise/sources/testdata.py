@@ -270,15 +270,18 @@ class Inputs:
         self.spark, self.sf_dir, self.materialize = spark, sf_dir, materialize
         self._store: str | None = None
 
-    def _stored(self, name: str, build, schema) -> DataFrame:
+    def _stored(self, name: str, build, schema, partition_by: str | None = None) -> DataFrame:
         if not self.materialize:
             return build()
         if self._store is None:
             from seatwise.session import checkpoint_dir
             self._store = f"{checkpoint_dir(self.spark).rstrip('/')}/seatwise-inputs-{uuid.uuid4().hex}"
         path = f"{self._store}/{name}"
-        build().write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(schema).parquet(path)
+        writer = build().write.mode("overwrite")
+        if partition_by:
+            writer = writer.partitionBy(partition_by)   # one-date queries prune directories
+        writer.parquet(path)
+        return conform(self.spark.read.schema(schema).parquet(path), schema)
 
     @cached_property
     def events(self) -> DataFrame:
@@ -290,11 +293,13 @@ class Inputs:
 
     @cached_property
     def user_days(self) -> DataFrame:
-        return self._stored("user_days", lambda: _user_days(self.spark, self.sf_dir, self.events), C.USER_DAYS)
+        return self._stored("user_days", lambda: _user_days(self.spark, self.sf_dir, self.events), C.USER_DAYS,
+                            "measurement_date")
 
     @cached_property
     def health(self) -> DataFrame:
-        return self._stored("health", lambda: _health(self.user_days, self.day_events), C.HEALTH)
+        return self._stored("health", lambda: _health(self.user_days, self.day_events), C.HEALTH,
+                            "measurement_date")
 
     @cached_property
     def retention(self) -> DataFrame:
@@ -302,7 +307,8 @@ class Inputs:
 
     @cached_property
     def objects(self) -> DataFrame:
-        return self._stored("objects", lambda: _objects(self.events, self.day_events), C.OBJECTS)
+        return self._stored("objects", lambda: _objects(self.events, self.day_events), C.OBJECTS,
+                            "measurement_date")
 
 
 _INPUTS: dict[tuple[int, str, bool], Inputs] = {}

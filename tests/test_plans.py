@@ -38,6 +38,6 @@ def test_one_date_queries_push_the_date_into_the_scan(spark):
     # not cross; over stored inputs every one-date query prunes its scan)
     for name in ("segment_addon_exposure", "account_utilisation", "segment_breadth"):
         plan = formatted_plan(queries()[name](spark, SF))
-        pushed = re.findall(r"PushedFilters: \[[^\]]*\]", plan)
-        assert any("EqualTo(measurement_date,2024-01-15)" in p or "GreaterThanOrEqual(ts,2024-01-15" in p
-                   for p in pushed), (name, pushed)
+        pushed = re.findall(r"(?:PushedFilters|PartitionFilters): \[[^\n]*\]", plan)
+        assert any(re.search(r"measurement_date(#\d+)? = 2024-01-15|EqualTo\(measurement_date,2024-01-15\)"
+                             r"|GreaterThanOrEqual\(ts,2024-01-15", p) for p in pushed), (name, pushed)

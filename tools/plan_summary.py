@@ -49,6 +49,8 @@ def markdown(spark, sf: str, names: list[str]) -> str:
         plan = df._jdf.queryExecution().executedPlan().toString()
         formatted = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
         pushed = sorted({p for p in re.findall(r"PushedFilters: \[([^\n]*)\]", formatted) if p})
+        pushed += sorted({"partition: " + re.sub(r"#\d+", "", p)
+                          for p in re.findall(r"PartitionFilters: \[([^\n]*)\]", formatted) if p})
         lines.append(f"| `{n}` | " + " | ".join(str(plan.count(c)) for c in cols)
                      + " | " + ("; ".join(pushed) or "—").replace("|", "/") + " |")
     return "\n".join(lines)
