@@ -13,3 +13,30 @@ the executors.  Sub-packages:
 """
 
 __version__ = "0.1.0"
+
+from seatwise.operators import (  # noqa: E402
+    ADOPTION_CHECKS,
+    RISK_CHECKS,
+    RiskThresholds,
+    account_day_activity,
+    account_day_adoption,
+    account_day_attributes,
+    account_utilisation,
+    activity_baseline,
+    retention_risk,
+    run_checks,
+    segment_addon_exposure,
+    segment_breadth,
+    segment_retention,
+    segment_seat_penetration,
+    segment_trend_volatility,
+)
+from seatwise.sources import contracts  # noqa: E402
+from seatwise.sources.io import read_csv, read_parquet, write_model  # noqa: E402
+
+__all__ = [
+    "ADOPTION_CHECKS", "RISK_CHECKS", "RiskThresholds", "account_day_activity", "account_day_adoption",
+    "account_day_attributes", "account_utilisation", "activity_baseline", "retention_risk", "run_checks",
+    "segment_addon_exposure", "segment_breadth", "segment_retention", "segment_seat_penetration",
+    "segment_trend_volatility", "contracts", "read_csv", "read_parquet", "write_model",
+]
