@@ -100,7 +100,7 @@ def run_checks(df: DataFrame, checks=ADOPTION_CHECKS) -> DataFrame:
     if uniques:
         first, rest = uniques[0], uniques[1:]
         per_key = df.groupBy(*first.columns).agg(F.count(F.lit(1)).alias("_n"), *counts)
-        totals = per_key.agg(*[F.sum(n).cast("long").alias(n) for n in names],
+        totals = per_key.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in names],
                              F.count(F.when(F.col("_n") > 1, 1)).alias("_u0"))
         labels = [(c.kind, c.column_label, n) for c, n in zip(row_checks, names)]
         labels.append((first.kind, first.column_label, "_u0"))

@@ -46,3 +46,9 @@ def test_second_unique_key(spark):
 
 def test_declared_suites_have_23_checks():
     assert len(ADOPTION_CHECKS) == 11 and len(RISK_CHECKS) == 12
+
+
+def test_empty_input_reports_zero_failures(spark):
+    df = _df(spark, [])
+    rows = run_checks(df, [not_null("x"), in_range("x", 0, 1), unique_key("k", "d")]).collect()
+    assert [r.failing_rows for r in rows] == [0, 0, 0]
