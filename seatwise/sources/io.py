@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seatwise.sources.contracts import conform
@@ -64,12 +65,20 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_model(df: DataFrame, path: str, partition_by: str | None = "measurement_date",
-                mode: str = "overwrite") -> None:
+                mode: str = "overwrite", files_per_date: int | None = None,
+                bucket_column: str = "account_id") -> None:
     """Materialise a model as Parquet, partitioned by date so readers prune.
 
     With ``partitionOverwriteMode=dynamic`` only the dates present in ``df``
     are replaced, so a daily rebuild does not erase history.
+
+    ``files_per_date`` (for backfills of many dates): shuffle rows by
+    (date, hash(account) mod n) first, so each date gets about n files instead
+    of one per writing task, and no date is funnelled into a single task.
     """
+    if files_per_date and partition_by:
+        bucket = F.pmod(F.xxhash64(F.col(bucket_column)), F.lit(files_per_date))
+        df = df.repartition(F.col(partition_by), bucket)
     w = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
     if partition_by:
         w = w.partitionBy(partition_by)

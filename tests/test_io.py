@@ -82,3 +82,16 @@ def test_build_models_writes_both_and_checks_them(spark, user_days, health, obje
     checks = built.checks.collect()
     assert len(checks) == 23 and sum(c.failing_rows for c in checks) == 0
     assert {c.model for c in checks} == {"account_day_adoption", "retention_risk"}
+
+
+def test_files_per_date_bounds_file_count(spark, user_days):
+    from seatwise.operators import account_day_adoption
+    rows = [dict(account_id=f"A{a}", user_id=a * 10 + u, measurement_date=dt.date(2024, 1, d))
+            for a in range(20) for u in range(2) for d in (1, 2)]
+    df = account_day_adoption(user_days(rows)).repartition(16)
+    folder = tempfile.mkdtemp(prefix="seatwise-io-")
+    write_model(df, folder, files_per_date=2)
+    for part in ("measurement_date=2024-01-01", "measurement_date=2024-01-02"):
+        files = [f for f in os.listdir(os.path.join(folder, part)) if f.endswith(".parquet")]
+        assert 1 <= len(files) <= 2
+    assert read_model(spark, folder, C.ACCOUNT_DAY_ADOPTION).count() == 40
