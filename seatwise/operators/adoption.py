@@ -15,6 +15,7 @@ from seatwise.functions.adoption import (
 )
 from seatwise.functions.rounding import round_half_up
 from seatwise.functions.stats import ratio
+from seatwise.sources.contracts import ACCOUNT_DAY_ADOPTION, conform
 
 
 def on_date(df: DataFrame, as_of: str | dt.date, col: str = "measurement_date") -> DataFrame:
@@ -88,7 +89,7 @@ def account_day_adoption(user_days: DataFrame) -> DataFrame:
     activity = account_day_activity(user_days).drop("paid_seats")
     j = spine.join(activity, ["measurement_date", "account_id"], "left")
     zero = F.lit(0)
-    return j.select(
+    return conform(j.select(
         "measurement_date", "account_id", "segment", "paid_seats", "arr", "platform_arr",
         "addon_arr", "addon_a", "addon_b",
         addon_arr_pct().alias("addon_arr_pct"),
@@ -97,4 +98,4 @@ def account_day_adoption(user_days: DataFrame) -> DataFrame:
         F.coalesce("full_breadth_users", zero.cast("long")).alias("full_breadth_users"),
         F.coalesce("seat_penetration", F.lit(0.0)).alias("seat_penetration"),
         F.coalesce("full_breadth_penetration", F.lit(0.0)).alias("full_breadth_penetration"),
-    )
+    ), ACCOUNT_DAY_ADOPTION)

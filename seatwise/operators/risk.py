@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seatwise.functions.objects import active_object_ratio
 from seatwise.operators.adoption import account_day_adoption
 from seatwise.operators.baseline import activity_baseline, activity_vs_baseline
+from seatwise.sources.contracts import RETENTION_RISK, conform
 
 # ---- fixed values: reason texts and tier labels --------------------------------
 REASON_ADDON = "Add-on ARR at risk — renewal within 90 days"
@@ -151,5 +152,5 @@ def retention_risk(user_days: DataFrame | None, health: DataFrame, objects: Data
     """
     a = adoption if adoption is not None else account_day_adoption(user_days)
     j = enrich(a, health, objects, **baseline_options)
-    return j.select(*MART_COLUMNS, risk_tier(thresholds).alias("risk_tier"),
-                    risk_reason(thresholds).alias("primary_risk_reason"))
+    return conform(j.select(*MART_COLUMNS, risk_tier(thresholds).alias("risk_tier"),
+                            risk_reason(thresholds).alias("primary_risk_reason")), RETENTION_RISK)

@@ -10,7 +10,38 @@ MONEY = T.DecimalType(18, 2)
 
 
 def _f(name: str, dtype: T.DataType, nullable: bool = True) -> T.StructField:
-    return T.StructField(name, dtype, nullable)
+    doc = COLUMN_DOCS.get(name)
+    return T.StructField(name, dtype, nullable, {"comment": doc} if doc else None)
+
+
+# Column documentation for the two models (Spark field comments).
+COLUMN_DOCS = {
+    "measurement_date": "day the row describes",
+    "account_id": "account (customer) identifier",
+    "segment": "customer segment",
+    "paid_seats": "licensed seats",
+    "arr": "annual recurring revenue",
+    "platform_arr": "platform part of ARR",
+    "addon_arr": "sum of the five add-on ARR parts; null if any part is null",
+    "addon_a": "first add-on ARR part",
+    "addon_b": "second add-on ARR part",
+    "addon_arr_pct": "add-on ARR / ARR, 3 dp; null when ARR is 0",
+    "next_renewal_date": "next contract renewal",
+    "days_to_renewal": "renewal date minus measurement date; negative when overdue",
+    "active_users": "distinct users active that day (0 when none)",
+    "full_breadth_users": "active users that used all three feature categories",
+    "seat_penetration": "active users / seats, 3 dp (0 when none active)",
+    "full_breadth_penetration": "full-breadth users / active users, 3 dp (0 when none active)",
+    "health_score": "daily health score",
+    "percent_days_active": "percent of days active, 0-100",
+    "feature_categories_used": "feature categories used by the account (0-3)",
+    "net_positive_periods": "trend score; negative when declining",
+    "trailing_activity_baseline": "mean percent active over the account's previous 364 rows",
+    "activity_vs_baseline": "percent active minus the baseline, 2 dp",
+    "active_object_ratio": "active / total dashboards, reports and lists, 3 dp",
+    "risk_tier": "High, Medium or Low",
+    "primary_risk_reason": "first High condition that holds; null below High",
+}
 
 
 USER_DAYS = T.StructType([
@@ -129,7 +160,8 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     missing = [f.name for f in schema.fields if f.name not in df.columns]
     if missing:
         raise ContractError(f"missing columns: {missing}")
-    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    return df.select([F.col(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata or {})
+                      for f in schema.fields])
 
 
 def check_contract(df: DataFrame, schema: T.StructType) -> None:

@@ -113,3 +113,8 @@ def test_custom_thresholds(user_days, health, objects):
     t = RiskThresholds(medium_object_ratio=0.9, medium_seat_penetration=1.5)
     r = _mart(user_days, health, objects, users, thresholds=t).first()
     assert r.risk_tier == "Medium"
+
+
+def test_mart_columns_carry_comments(user_days, health, objects):
+    m = _mart(user_days, health, objects, [dict(user_id=1, **FULL)])
+    assert m.schema["risk_tier"].metadata.get("comment") == "High, Medium or Low"
