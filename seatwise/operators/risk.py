@@ -124,11 +124,18 @@ def health_with_baseline(health: DataFrame, **baseline_options) -> DataFrame:
 
 
 def enrich(adoption: DataFrame, health: DataFrame, objects: DataFrame,
-           **baseline_options) -> DataFrame:
+           health_baseline: DataFrame | None = None, **baseline_options) -> DataFrame:
     """Adoption left join (health + baseline) left join object ratio on
-    (account, date).  Missing health or objects leave nulls, never risk."""
+    (account, date).  Missing health or objects leave nulls, never risk.
+
+    ``health_baseline`` may supply health rows that already carry
+    ``trailing_activity_baseline`` (e.g. from an incremental build); then
+    ``health`` is not used."""
     keys = ["account_id", "measurement_date"]
-    h = health_with_baseline(health, **baseline_options)
+    if health_baseline is not None:
+        h = health_baseline.withColumn("activity_vs_baseline", activity_vs_baseline())
+    else:
+        h = health_with_baseline(health, **baseline_options)
     o = objects.select(*keys, active_object_ratio().alias("active_object_ratio"))
     return adoption.join(h, keys, "left").join(o, keys, "left")
 
@@ -142,15 +149,16 @@ MART_COLUMNS = (
 )
 
 
-def retention_risk(user_days: DataFrame | None, health: DataFrame, objects: DataFrame,
+def retention_risk(user_days: DataFrame | None, health: DataFrame | None, objects: DataFrame,
                    thresholds: RiskThresholds = DEFAULT, adoption: DataFrame | None = None,
-                   **baseline_options) -> DataFrame:
+                   health_baseline: DataFrame | None = None, **baseline_options) -> DataFrame:
     """The retention-risk mart: one row per account-day, 25 columns.
 
     ``adoption`` may be passed pre-built (e.g. read back from Parquet);
-    otherwise it is derived from ``user_days``.
+    otherwise it is derived from ``user_days``.  ``health_baseline`` may pass
+    health rows with the baseline already computed (see ``enrich``).
     """
     a = adoption if adoption is not None else account_day_adoption(user_days)
-    j = enrich(a, health, objects, **baseline_options)
+    j = enrich(a, health, objects, health_baseline, **baseline_options)
     return conform(j.select(*MART_COLUMNS, risk_tier(thresholds).alias("risk_tier"),
                             risk_reason(thresholds).alias("primary_risk_reason")), RETENTION_RISK)

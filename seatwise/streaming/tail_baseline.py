@@ -1,0 +1,106 @@
+"""Incremental trailing baseline from a bounded per-account tail.
+
+The rows-frame mean needs each account's previous ``rows`` values.  Instead
+of re-reading the whole health history every batch, a state table keeps, per
+account, the last ``rows`` (date, value) pairs.  For a batch of new health
+rows the frame of each new row is taken from ``tail ++ new`` with array
+functions, and the new tail is the last ``rows`` entries.  Work per batch is
+bounded by accounts x ``rows`` plus the batch; nothing grows with history.
+
+Frame sums are exact decimal sums, so results equal the batch window's.  The
+tail is valid only when every new date is after the account's last tail
+date; ``rebuild_dates`` falls back to the full history otherwise.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+ACCOUNT, DATE, VALUE = "account_id", "measurement_date", "percent_days_active"
+VALUE_TYPE = T.DecimalType(5, 2)
+SUM_TYPE = "decimal(15,2)"
+ENTRY = T.StructType([T.StructField("d", T.DateType()), T.StructField("v", VALUE_TYPE)])
+STATE_SCHEMA = T.StructType([
+    T.StructField(ACCOUNT, T.StringType()),
+    T.StructField("last_date", T.DateType()),
+    T.StructField("tail", T.ArrayType(ENTRY)),
+])
+
+
+def _entry() -> F.Column:
+    return F.struct(F.col(DATE).alias("d"), F.col(VALUE).cast(VALUE_TYPE).alias("v"))
+
+
+def seed_state(history: DataFrame, rows: int = 364) -> DataFrame:
+    """State from a full history: each account's last ``rows`` values."""
+    w = Window.partitionBy(ACCOUNT).orderBy(F.col(DATE).desc())
+    last = history.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= rows)
+    return last.groupBy(ACCOUNT).agg(
+        F.max(DATE).alias("last_date"),
+        F.array_sort(F.collect_list(_entry())).alias("tail"),   # at most `rows` entries
+    )
+
+
+def batch_accounts(batch_health: DataFrame, state: DataFrame) -> DataFrame:
+    """Per account: new entries (sorted), earliest new date, and its tail."""
+    new = batch_health.groupBy(ACCOUNT).agg(
+        F.array_sort(F.collect_list(_entry())).alias("new"),    # bounded by the batch's days
+        F.min(DATE).alias("first_new"),
+    )
+    return new.join(state, ACCOUNT, "left")
+
+
+def has_late_rows(joined: DataFrame) -> bool:
+    """True when some account's new dates do not all follow its tail."""
+    return not joined.filter(F.col("first_new") <= F.col("last_date")).isEmpty()
+
+
+def baseline_from_tail(joined: DataFrame, rows: int = 364) -> tuple[DataFrame, DataFrame]:
+    """(baselines for the new rows, updated state rows for the batch's accounts)."""
+    empty = F.array().cast(T.ArrayType(ENTRY))
+    j = joined.withColumn("_all", F.concat(F.coalesce(F.col("tail"), empty), F.col("new"))) \
+              .withColumn("_old", F.size(F.coalesce(F.col("tail"), empty)))
+    frame = f"slice(_all, greatest(1, p - {rows}), p - greatest(1, p - {rows}))"
+    stats = F.expr(
+        f"transform(sequence(_old + 1, size(_all)), p -> named_struct("
+        f"'d', _all[p - 1].d, "
+        f"'s', aggregate({frame}, cast(0 as {SUM_TYPE}), "
+        f"(acc, x) -> cast(acc + coalesce(x.v, cast(0 as decimal(5,2))) as {SUM_TYPE})), "
+        f"'n', size(filter({frame}, x -> x.v is not null))))")
+    per_row = j.select(ACCOUNT, F.explode(stats).alias("st")).select(
+        ACCOUNT,
+        F.col("st.d").alias(DATE),
+        (F.col("st.s").cast("double") / F.nullif(F.col("st.n"), F.lit(0))).alias("trailing_activity_baseline"),
+    )
+    state = j.select(
+        ACCOUNT,
+        F.element_at("_all", -1).getField("d").alias("last_date"),
+        F.expr(f"slice(_all, greatest(1, size(_all) - {rows - 1}), least(size(_all), {rows}))").alias("tail"),
+    )
+    return per_row, state
+
+
+def merge_state(previous: DataFrame, updated: DataFrame) -> DataFrame:
+    """Accounts untouched by the batch keep their tail."""
+    return previous.join(updated.select(ACCOUNT), ACCOUNT, "left_anti").unionByName(updated)
+
+
+def latest_state_path(spark: SparkSession, root: str, before: int) -> str | None:
+    """Path of the newest complete state version below ``before`` (or None)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    best = None
+    for status in fs.listStatus(path):
+        name = status.getPath().getName()
+        if not name.startswith("v="):
+            continue
+        version = int(name[2:])
+        done = fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
+        if done and version < before and (best is None or version > best):
+            best = version
+    return None if best is None else f"{root.rstrip('/')}/v={best}"
