@@ -314,7 +314,7 @@ class Inputs:
                             "measurement_date")
 
 
-_INPUTS: dict[tuple[int, str, bool], Inputs] = {}
+_INPUTS: dict[tuple[int, int, str, bool], Inputs] = {}
 
 
 def load(spark: SparkSession, sf_dir: str, materialize: bool | None = None) -> Inputs:
@@ -324,9 +324,10 @@ def load(spark: SparkSession, sf_dir: str, materialize: bool | None = None) -> I
     the inputs as lazy plans."""
     if materialize is None:
         materialize = os.environ.get("SEATWISE_MATERIALIZE_INPUTS", "1") != "0"
-    key = (id(spark), sf_dir, materialize)
+    # the JVM session's identity too: a restarted session must not reuse plans
+    key = (id(spark), spark._jsparkSession.hashCode(), sf_dir, materialize)
     got = _INPUTS.get(key)
-    if got is None or got.spark is not spark:
+    if got is None or got.spark is not spark or spark.sparkContext._jsc is None:
         got = _INPUTS[key] = Inputs(spark, sf_dir, materialize)
     return got
 
