@@ -93,3 +93,32 @@ def test_active_object_ratio_zero_objects_is_null(objects):
     ])
     got = {r.account_id: r.x for r in df.select("account_id", active_object_ratio().alias("x")).collect()}
     assert got == {"A": None, "B": 0.333}
+
+
+def test_rounding_twins_agree_on_random_fractions(spark):
+    """Spark's helper and its DuckDB SQL twin give the same double, equal to
+    exact half-up rounding of the fraction, on random num/den pairs."""
+    import random
+
+    import duckdb
+
+    from seatwise.plans.oracle import r as sql_round
+
+    rnd = random.Random(11)
+    pairs = [(rnd.randint(-10**6, 10**6), rnd.randint(1, 10**4)) for _ in range(600)]
+    pairs += [(k * 5 + 1, 2000) for k in range(-50, 50)] + [(2 * k + 1, 200) for k in range(-50, 50)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    digits = (0, 2, 3)
+    got = df.select("a", "b", *[round_half_up(F.col("a") / F.col("b"), n).alias(f"r{n}") for n in digits]).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (a BIGINT, b BIGINT)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", pairs)
+    sql = ", ".join(f"{sql_round('a / b', n)} AS r{n}" for n in digits)
+    duck = {(a, b): rest for a, b, *rest in con.execute(f"SELECT a, b, {sql} FROM t").fetchall()}
+    for row in got:
+        q = Fraction(row.a, row.b)
+        for k, n in enumerate(digits):
+            spark_v, duck_v = row[f"r{n}"], duck[(row.a, row.b)][k]
+            assert spark_v == duck_v, (row.a, row.b, n, spark_v, duck_v)
+            if abs(q) * 10 ** n < 10 ** 6:   # the helper's documented range
+                assert spark_v == exact_half_up(q, n), (row.a, row.b, n)
