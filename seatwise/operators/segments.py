@@ -11,6 +11,7 @@ account into one task, and every aggregate has a map-side partial step.
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,6 +65,11 @@ def segment_addon_exposure(user_days: DataFrame, as_of: str | dt.date,
     ``weight='user'`` (default) averages over user rows, so large accounts
     weigh more; ``weight='account'`` averages one row per account-day
     attribute set.
+
+    Money is summed per (segment, account) as exact ``long`` cents (codegen'd
+    arithmetic on every user row, bounded per account), and those partials
+    are added across accounts as ``decimal(38,0)``, so nothing overflows and
+    the mean equals ``double(sum(x)) / count(x)`` over the rows.
     """
     u = on_date(user_days, as_of).select("segment", "account_id", "arr",
                                          addon_total().alias("addon_arr"))
@@ -71,9 +77,22 @@ def segment_addon_exposure(user_days: DataFrame, as_of: str | dt.date,
         u = u.distinct()
     elif weight != "user":
         raise ValueError(f"unknown weight {weight!r}")
-    mean_arr, mean_addon = exact_mean("arr"), exact_mean("addon_arr")
-    out = u.groupBy("segment").agg(
-        F.count_distinct("account_id").alias("accounts"),
+
+    def cents(c: str) -> Column:
+        return (F.col(c) * 100).cast("long")
+
+    per_account = u.groupBy("segment", "account_id").agg(
+        F.sum(cents("arr")).alias("arr_c"), F.count("arr").alias("arr_n"),
+        F.sum(cents("addon_arr")).alias("addon_c"), F.count("addon_arr").alias("addon_n"),
+    )
+
+    def mean(c: str, n: str) -> Column:
+        total = F.sum(F.col(c).cast("decimal(38,0)")) * F.lit(Decimal("0.01"))
+        return total.cast("double") / F.nullif(F.sum(n), F.lit(0))
+
+    mean_arr, mean_addon = mean("arr_c", "arr_n"), mean("addon_c", "addon_n")
+    out = per_account.groupBy("segment").agg(
+        F.count("account_id").alias("accounts"),
         round_half_up(mean_arr, 0).alias("avg_arr"),
         round_half_up(mean_addon, 0).alias("avg_addon_arr"),
         round_half_up(mean_addon / F.nullif(mean_arr, F.lit(0.0)), 3).alias("addon_share"),
