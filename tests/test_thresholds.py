@@ -82,3 +82,14 @@ def test_two_medium_signals_make_medium(spark):
 def test_rounding_decides_the_side(spark, num, den, digits, want):
     got = spark.range(1).select(round_half_up(F.lit(num) / F.lit(den), digits).alias("x")).first().x
     assert got == want
+
+
+def test_dataframe_wrappers(spark):
+    from seatwise.operators import with_high_risk, with_medium_signals, with_risk_reason, with_risk_tier
+    rows = [dict(QUIET, seat_penetration=0.2, paid_seats=20), dict(QUIET, addon_arr_pct=0.16, active_object_ratio=0.1),
+            dict(QUIET)]
+    df = spark.createDataFrame([tuple(r[f.name] for f in SCHEMA.fields) for r in rows], SCHEMA)
+    out = with_risk_reason(with_risk_tier(with_medium_signals(with_high_risk(df)))).collect()
+    assert [(r.is_high_risk, r.medium_signal_count, r.risk_tier) for r in out] == [
+        (1, 1, "High"), (0, 2, "Medium"), (0, 0, "Low")]
+    assert [r.primary_risk_reason for r in out] == [REASON_SEATS, None, None]
