@@ -40,11 +40,21 @@ def panel(keys: DataFrame, dates: DataFrame, date_col: str = "measurement_date",
 
 
 def expand_users(accounts: DataFrame, n_users: Column, account_no: Column,
-                 users_per_account: int = 1000) -> DataFrame:
+                 users_per_account: int = 1000, chunk: int = 100_000) -> DataFrame:
     """One row per user of each account: ``user_id = account_no * k + index``.
-    An account with no users (or a null count) yields no rows."""
-    idx = F.explode(F.when(n_users > 0, F.sequence(F.lit(0), n_users - 1))).alias("user_index")
-    out = accounts.select("*", idx)
+
+    An account with no users (or a null count) yields no rows.  The index
+    range is cut into chunks of at most ``chunk`` indices; the chunk rows (a
+    few per account) are spread by hash before the second explode, so a huge
+    account's users are generated by many tasks, never one array in one task.
+    """
+    first = accounts.select(
+        "*", F.explode(F.when(n_users > 0, F.sequence(F.lit(0), ((n_users - 1) / chunk).cast("int"))))
+        .alias("_chunk"), n_users.alias("_n"))
+    spread = first.repartition(account_no, F.col("_chunk"))
+    lo = F.col("_chunk") * chunk
+    hi = F.least(lo + chunk, F.col("_n")) - 1
+    out = spread.select("*", F.explode(F.sequence(lo, hi)).alias("user_index")).drop("_chunk", "_n")
     return out.withColumn("user_id", (account_no.cast("long") * users_per_account + F.col("user_index")))
 
 

@@ -86,3 +86,10 @@ def test_panel_rejects_a_runaway_calendar(spark):
     assert panel(keys, dates, max_days=100).count() == 2
     with pytest.raises(Exception, match="calendar spans more than 10 days"):
         panel(keys, dates, max_days=10).collect()
+
+
+def test_expand_users_in_chunks(spark):
+    acc = spark.createDataFrame([(1, 23), (2, 0), (3, 5)], "no int, n int")
+    users = expand_users(acc, F.col("n"), F.col("no"), chunk=4)
+    got = sorted((r.no, r.user_index) for r in users.collect())
+    assert got == [(1, i) for i in range(23)] + [(3, i) for i in range(5)]
