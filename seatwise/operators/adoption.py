@@ -75,11 +75,14 @@ def account_day_attributes(user_days: DataFrame) -> DataFrame:
     with the add-on total and days to renewal.  An account-day whose user rows
     disagree on an attribute yields one row per variant (the uniqueness check
     reports it)."""
-    return user_days.select(
+    # days to renewal is a function of two key columns, so it is added after
+    # the distinct (one column fewer in the map-side hash key); the add-on
+    # total must stay inside: it depends on parts that are not in the spine
+    spine = user_days.select(
         "measurement_date", "account_id", "segment", "paid_seats", "arr", "platform_arr",
         addon_total().alias("addon_arr"), "addon_a", "addon_b", "next_renewal_date",
-        days_to_renewal().alias("days_to_renewal"),
     ).distinct()
+    return spine.withColumn("days_to_renewal", days_to_renewal())
 
 
 def account_day_adoption(user_days: DataFrame) -> DataFrame:
