@@ -22,7 +22,7 @@ from seatwise.operators.adoption import account_day_adoption
 from seatwise.operators.quality import ADOPTION_CHECKS, RISK_CHECKS, run_checks
 from seatwise.operators.risk import DEFAULT, RiskThresholds, retention_risk
 from seatwise.sources import contracts as C
-from seatwise.sources.io import read_csv, read_model, read_parquet, write_model
+from seatwise.sources.io import read_csv, read_model, read_parquet, write_csv, write_model
 
 
 @dataclass(frozen=True)
@@ -33,14 +33,24 @@ class Built:
 
 
 def build(spark: SparkSession, user_days: DataFrame, health: DataFrame, objects: DataFrame, out: str,
-          thresholds: RiskThresholds = DEFAULT, **baseline_options) -> Built:
+          thresholds: RiskThresholds = DEFAULT, output_format: str = "parquet", **baseline_options) -> Built:
     """Write ``{out}/account_day_adoption`` and ``{out}/retention_risk``; return
-    both (read back) and the 23 check results over the written tables."""
+    both (read back) and the 23 check results over the written tables.
+
+    ``output_format='csv'`` writes header CSV (one file per task, in
+    parallel) instead of date-partitioned Parquet."""
     adoption_path, risk_path = f"{out}/account_day_adoption", f"{out}/retention_risk"
-    write_model(account_day_adoption(user_days), adoption_path)
-    adoption = read_model(spark, adoption_path, C.ACCOUNT_DAY_ADOPTION)
-    write_model(retention_risk(None, health, objects, thresholds, adoption=adoption, **baseline_options), risk_path)
-    risk = read_model(spark, risk_path, C.RETENTION_RISK)
+
+    def write(df: DataFrame, path: str, schema) -> DataFrame:
+        if output_format == "csv":
+            write_csv(df, path)
+            return read_csv(spark, path, schema)
+        write_model(df, path)
+        return read_model(spark, path, schema)
+
+    adoption = write(account_day_adoption(user_days), adoption_path, C.ACCOUNT_DAY_ADOPTION)
+    risk = write(retention_risk(None, health, objects, thresholds, adoption=adoption, **baseline_options),
+                 risk_path, C.RETENTION_RISK)
     checks = (run_checks(adoption, ADOPTION_CHECKS).withColumn("model", F.lit("account_day_adoption"))
               .unionByName(run_checks(risk, RISK_CHECKS).withColumn("model", F.lit("retention_risk"))))
     return Built(adoption, risk, checks.select("model", "check_name", "column_name", "failing_rows"))
@@ -59,6 +69,7 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--objects", required=True)
     ap.add_argument("--out", required=True)
     ap.add_argument("--format", choices=("csv", "parquet"), default="parquet")
+    ap.add_argument("--output-format", choices=("csv", "parquet"), default="parquet")
     ap.add_argument("--columns", help="JSON object: source column name -> contract name", default=None)
     args = ap.parse_args(argv)
     columns = json.loads(args.columns) if args.columns else None
@@ -67,7 +78,7 @@ def main(argv: list[str] | None = None) -> int:
                   _read(spark, args.format, args.user_days, C.USER_DAYS, columns),
                   _read(spark, args.format, args.health, C.HEALTH, columns),
                   _read(spark, args.format, args.objects, C.OBJECTS, columns),
-                  args.out)
+                  args.out, output_format=args.output_format)
     failing = 0
     for row in built.checks.collect():  # one row per declared check (23)
         print(f"{row.model:22s} {row.check_name:20s} {row.column_name:32s} {row.failing_rows}")

@@ -95,3 +95,17 @@ def test_files_per_date_bounds_file_count(spark, user_days):
         files = [f for f in os.listdir(os.path.join(folder, part)) if f.endswith(".parquet")]
         assert 1 <= len(files) <= 2
     assert read_model(spark, folder, C.ACCOUNT_DAY_ADOPTION).count() == 40
+
+
+def test_build_models_as_csv(spark, user_days, health, objects):
+    from decimal import Decimal
+
+    from seatwise.plans.models import build
+    # rule 1 fires, so a reason with an em dash makes the CSV round trip
+    ud = user_days([dict(user_id=i, paid_seats=3, arr=1000, addon_a=500, next_renewal_date=dt.date(2024, 1, 5))
+                    for i in range(3)])
+    h, o = health([dict(percent_days_active=Decimal("50.00"))]), objects([dict()])
+    as_csv = build(spark, ud, h, o, tempfile.mkdtemp(prefix="seatwise-build-"), output_format="csv")
+    as_parquet = build(spark, ud, h, o, tempfile.mkdtemp(prefix="seatwise-build-"))
+    assert sorted(as_csv.risk.collect()) == sorted(as_parquet.risk.collect())
+    assert "—" in as_csv.risk.first().primary_risk_reason
