@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import threading
 import uuid
 from functools import cached_property
 from decimal import Decimal
@@ -269,8 +270,16 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
         self.spark, self.sf_dir, self.materialize = spark, sf_dir, materialize
         self._store: str | None = None
+        self._done: dict[str, DataFrame] = {}
+        self._lock = threading.RLock()   # queries may run from several threads
 
     def _stored(self, name: str, build, schema, cluster_by: str | None = None) -> DataFrame:
+        with self._lock:
+            if name not in self._done:
+                self._done[name] = self._write(name, build, schema, cluster_by)
+            return self._done[name]
+
+    def _write(self, name: str, build, schema, cluster_by: str | None) -> DataFrame:
         if not self.materialize:
             return build()
         if self._store is None:
@@ -315,6 +324,7 @@ class Inputs:
 
 
 _INPUTS: dict[tuple[int, int, str, bool], Inputs] = {}
+_LOAD_LOCK = threading.Lock()
 
 
 def load(spark: SparkSession, sf_dir: str, materialize: bool | None = None) -> Inputs:
@@ -326,10 +336,11 @@ def load(spark: SparkSession, sf_dir: str, materialize: bool | None = None) -> I
         materialize = os.environ.get("SEATWISE_MATERIALIZE_INPUTS", "1") != "0"
     # the JVM session's identity too: a restarted session must not reuse plans
     key = (id(spark), spark._jsparkSession.hashCode(), sf_dir, materialize)
-    got = _INPUTS.get(key)
-    if got is None or got.spark is not spark or spark.sparkContext._jsc is None:
-        got = _INPUTS[key] = Inputs(spark, sf_dir, materialize)
-    return got
+    with _LOAD_LOCK:
+        got = _INPUTS.get(key)
+        if got is None or got.spark is not spark or spark.sparkContext._jsc is None:
+            got = _INPUTS[key] = Inputs(spark, sf_dir, materialize)
+        return got
 
 
 def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
