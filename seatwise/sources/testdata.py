@@ -284,7 +284,12 @@ class Inputs:
             return build()
         if self._store is None:
             from seatwise.session import checkpoint_dir
-            self._store = f"{checkpoint_dir(self.spark).rstrip('/')}/seatwise-inputs-{uuid.uuid4().hex}"
+            try:
+                root = checkpoint_dir(self.spark)
+            except Exception:  # e.g. a remote session without a SparkContext
+                self.materialize = False
+                return build()
+            self._store = f"{root.rstrip('/')}/seatwise-inputs-{uuid.uuid4().hex}"
         path = f"{self._store}/{name}"
         df = build()
         if cluster_by:
@@ -335,10 +340,14 @@ def load(spark: SparkSession, sf_dir: str, materialize: bool | None = None) -> I
     if materialize is None:
         materialize = os.environ.get("SEATWISE_MATERIALIZE_INPUTS", "1") != "0"
     # the JVM session's identity too: a restarted session must not reuse plans
-    key = (id(spark), spark._jsparkSession.hashCode(), sf_dir, materialize)
+    try:
+        jvm_id, stopped = spark._jsparkSession.hashCode(), spark.sparkContext._jsc is None
+    except Exception:  # a remote session: no JVM handles here
+        jvm_id, stopped = 0, False
+    key = (id(spark), jvm_id, sf_dir, materialize)
     with _LOAD_LOCK:
         got = _INPUTS.get(key)
-        if got is None or got.spark is not spark or spark.sparkContext._jsc is None:
+        if got is None or got.spark is not spark or stopped:
             got = _INPUTS[key] = Inputs(spark, sf_dir, materialize)
         return got
 
