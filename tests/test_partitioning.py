@@ -52,3 +52,19 @@ def test_many_partitions_same_results(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_ansi_off_same_results(spark):
+    old = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        spark.conf.set("spark.sql.ansi.enabled", "false")
+        inputs = T.Inputs(spark, SF, materialize=False)
+        sql = oracle_sql()
+        con = duck(SF)
+        for name in ("retention_risk", "segment_addon_exposure", "segment_retention", "risk_quality"):
+            df = OPERATORS[name](inputs)
+            got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+            rel = con.execute(sql[name])
+            assert got == rows_of([c[0] for c in rel.description], rel.fetchall()), name
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", old)
