@@ -6,7 +6,10 @@ import datetime as dt
 import os
 import tempfile
 
+from decimal import Decimal
+
 import pytest
+from pyspark.sql import functions as F
 
 from seatwise.sources import contracts as C
 from seatwise.sources.io import read_csv, read_model, read_parquet, write_csv, write_model
@@ -109,3 +112,16 @@ def test_build_models_as_csv(spark, user_days, health, objects):
     as_parquet = build(spark, ud, h, o, tempfile.mkdtemp(prefix="seatwise-build-"))
     assert sorted(as_csv.risk.collect()) == sorted(as_parquet.risk.collect())
     assert "—" in as_csv.risk.first().primary_risk_reason
+
+
+def test_parquet_with_source_names(spark):
+    folder = os.path.join(tempfile.mkdtemp(prefix="seatwise-io-"), "ret")
+    spark.createDataFrame([(dt.date(1997, 2, 1), "B", 5.5)], "month_start date, customer string, extra double") \
+        .withColumn("prior", F.lit(Decimal("10.00"))).withColumn("current", F.lit(Decimal("12.00"))) \
+        .withColumn("kept", F.lit(Decimal("10.00"))).write.parquet(folder)
+    cols = {"month_start": "measurement_month", "customer": "account_id", "prior": "arr_prior",
+            "current": "arr_current", "kept": "arr_retained"}
+    df = read_parquet(spark, folder, C.RETENTION, columns=cols)
+    assert df.columns == [f.name for f in C.RETENTION.fields]
+    r = df.first()
+    assert (r.account_id, str(r.arr_current), r.measurement_month) == ("B", "12.00", dt.date(1997, 2, 1))
