@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seatwise.llm import chunk_dedup, mixing, packing, simhash
+from seatwise.llm import backoff_lm, chunk_dedup, mixing, packing, simhash
 from seatwise.llm.common import read
 
 
@@ -22,6 +22,10 @@ def op7_linear_grouping_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score(read(spark, sf_dir, "documents"))
+
+
 def op10_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_dedup(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", simhash.hex_digits(rows.fp).alias("fingerprint"), "component_id")
@@ -31,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chunk_recipe_dedup": op2_chunk_recipe_dedup,
     "op5_water_filling": op5_water_filling,
     "op7_linear_grouping_pack": op7_linear_grouping_pack,
+    "op9_backoff_lm": op9_backoff_lm,
     "op10_simhash_popcount": op10_simhash_popcount,
 }
 
