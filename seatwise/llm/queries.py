@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seatwise.llm import backoff_lm, chunk_dedup, mixing, packing, simhash
+from seatwise.llm import backoff_lm, bit_sliced, chunk_dedup, mixing, packing, simhash
 from seatwise.llm.common import read
 
 
@@ -22,6 +22,10 @@ def op7_linear_grouping_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op8_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_sliced.top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_lm.score(read(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chunk_recipe_dedup": op2_chunk_recipe_dedup,
     "op5_water_filling": op5_water_filling,
     "op7_linear_grouping_pack": op7_linear_grouping_pack,
+    "op8_bit_sliced_topk": op8_bit_sliced_topk,
     "op9_backoff_lm": op9_backoff_lm,
     "op10_simhash_popcount": op10_simhash_popcount,
 }
@@ -42,4 +47,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_chunk_recipe_dedup": chunk_dedup.ORACLE_SQL,
     "op5_water_filling": mixing.ORACLE_SQL,
+    "op8_bit_sliced_topk": bit_sliced.ORACLE_SQL,
 }
