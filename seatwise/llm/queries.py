@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seatwise.llm import backoff_lm, bit_sliced, chunk_dedup, mixing, packing, simhash
+from seatwise.llm import backoff_lm, bit_sliced, chunk_dedup, mixing, packing, simhash, warc
 from seatwise.llm.common import read
 
 
+def op1_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -36,6 +41,7 @@ def op10_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_segments": op1_warc_segments,
     "op2_chunk_recipe_dedup": op2_chunk_recipe_dedup,
     "op5_water_filling": op5_water_filling,
     "op7_linear_grouping_pack": op7_linear_grouping_pack,
@@ -45,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc_segments": warc.ORACLE_SQL,
     "op2_chunk_recipe_dedup": chunk_dedup.ORACLE_SQL,
     "op5_water_filling": mixing.ORACLE_SQL,
     "op8_bit_sliced_topk": bit_sliced.ORACLE_SQL,
