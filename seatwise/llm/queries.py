@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seatwise.llm import backoff_lm, bit_sliced, chunk_dedup, mixing, packing, simhash, warc
+from seatwise.llm import backoff_lm, bit_sliced, chunk_dedup, mixing, packing, simhash, toxic_crf, warc
 from seatwise.llm.common import read
 
+#: Scores from which a document is predicted toxic.
+TOXIC = 0.7
+
 
 def op1_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages")).select(
@@ -19,6 +23,15 @@ def op2_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op4_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = "pmod(crc32(cast(doc_id as string)), 3) = 1"
+    model = toxic_crf.fit(docs, read(spark, sf_dir, "labels"), "toxic", held_out)
+    return toxic_crf.tag(docs, model).select(
+        "doc_id", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op5_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -43,6 +56,7 @@ def op10_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_segments": op1_warc_segments,
     "op2_chunk_recipe_dedup": op2_chunk_recipe_dedup,
+    "op4_toxic_crf": op4_toxic_crf,
     "op5_water_filling": op5_water_filling,
     "op7_linear_grouping_pack": op7_linear_grouping_pack,
     "op8_bit_sliced_topk": op8_bit_sliced_topk,
