@@ -153,7 +153,8 @@ def _sent(blocks: DataFrame, order: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - bits)
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 b = _Block(row["lengths"], row["held"], row["ids"], row["words"])
                 out = defaultdict(lambda: [None] * (2 * order))
                 edges = np.arange(1, 1 << bits, dtype=np.uint64) << shift
@@ -239,14 +240,14 @@ def _scored(blocks: DataFrame, answers: DataFrame, order: int, stats: tuple[int,
         for k in range(1, order):
             total = np.concatenate([_unsqueeze(x, np.int64) for x in told[f"t{k}"] if x is not None])
             count.append(total[np.unique(b.numbers(k + 1), return_inverse=True)[1]])
+            del total
         context = [None, seen[b.before(1)]]
         for k in range(2, order):  # the n-gram that ended one token earlier; none at the start of a text
             c = np.zeros_like(count[0])
             c[1:] = count[k - 1][:-1]
             c[b.first] = 0
             context.append(c)
-        doc = np.repeat(np.arange(len(b.lengths)), b.lengths)
-        total = lambda x: np.bincount(doc, weights=x, minlength=len(b.lengths))
+        total = lambda x: np.add.reduceat(x, b.first)
         scores, left_out = [], []
         for m in weights:
             p, less = root(count[0]), root(count[0] - 1)
@@ -258,7 +259,7 @@ def _scored(blocks: DataFrame, answers: DataFrame, order: int, stats: tuple[int,
             scores.append(total(np.log10(p)))
             left_out.append(float(np.log10(less[b.learnt]).sum()))
         return pd.DataFrame(dict(zip(names, [
-            list(row["doc_ids"]), list(row["held"]), b.lengths, total(seen[b.ids] > 0).astype(np.int64),
+            list(row["doc_ids"]), list(row["held"]), b.lengths, total((seen[b.ids] > 0).astype(np.int64)),
             total(np.log10((count[0] + 1) / (n + v + 1))), list(np.stack(scores, axis=1)),
             [left_out] + [None] * (len(b.lengths) - 1)])))
 

@@ -23,18 +23,18 @@ from pyspark.sql import functions as F
 from seatwise.llm.labelled import DIMENSIONS, bucket, logistic, ordered_ids, sigmoid, texts_of
 
 SAMPLE_ROWS = 10_000
-SAMPLE_CHARS = 16_000_000
+SAMPLE_CHARS = 5_000_000
 SEED = "toxic-1"
 
 #: A feature is tied to toxic documents at this log ratio of document frequencies and this G statistic.
 LOG_RATIO = 2.0
 G_LEAST = 16.0
 PREFIXES = (3, 4, 5, 6)
-STEPS = 60
+STEPS = 40
 RATE = 0.5
 PENALTY = 1e-7
 
-MEMORY = 300_000
+MEMORY = 500_000
 LONGEST = 48
 TOKENS_AT_ONCE = 1 << 20
 EDGES = ".,;:!?\"'()[]{}«»„“”…-*_"
@@ -232,7 +232,9 @@ def _emissions(model: Model, documents: list[list[bytes]]) -> np.ndarray:
         known.clear()
     fresh = []
     for words in documents:
-        for w in set(words) - known.keys():
+        for w in words:
+            if w in known:
+                continue
             known[w] = float(model.weights[features(w)].sum())
             if len(w) > LONGEST:
                 fresh.append(w)
