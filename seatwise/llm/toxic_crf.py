@@ -26,9 +26,10 @@ SAMPLE_ROWS = 10_000
 SAMPLE_CHARS = 5_000_000
 SEED = "toxic-1"
 
-#: A feature is tied to toxic documents at this log ratio of document frequencies and this G statistic.
-LOG_RATIO = 2.0
-G_LEAST = 16.0
+#: A feature is tied to toxic documents from this log ratio of document frequencies, if its G statistic
+#: is above twice the log of the number of features tried by this much, so that chance ties none.
+LOG_RATIO = 3.0
+G_MORE = 4.0
 PREFIXES = (3, 4, 5, 6)
 STEPS = 40
 RATE = 0.5
@@ -142,12 +143,13 @@ def marginals(emission: np.ndarray, first: np.ndarray, start: float, chain: np.n
 def _tied(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict[str, float]:
     """Features far more frequent in toxic documents than chance allows."""
     out, share = {}, n_toxic / max(1, n_toxic + n_clean)
+    least = 2 * np.log(len(toxic.keys() | clean.keys()) + 1) + G_MORE
     for f, a in toxic.items():
         b = clean[f]
         ratio = np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1))
         if ratio > LOG_RATIO:
             g = 2 * (a * np.log(a / ((a + b) * share)) + (b * np.log(b / ((a + b) * (1 - share))) if b else 0))
-            if g > G_LEAST:
+            if g > least:
                 out[f] = float(ratio)
     return out
 
@@ -167,9 +169,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     size = {r["y"]: r["n"] for r in labels.groupBy("y").agg(F.count("*").alias("n")).collect()}
     texts = {y: texts_of(docs, ordered_ids(labels.filter(F.col("y") == y), sample_rows, SEED), sample_chars)["text"].tolist()
              if size.get(y) else [] for y in (0, 1)}
-    nothing = Model(np.zeros(DIMENSIONS, np.float32), -20.0, np.zeros((2, 2)), np.array([0.0, 0.0, -35.0]))
+    return learn(texts, size)
+
+
+def learn(texts: dict[int, list[str]], size: dict[int, int]) -> Model:
+    """The model of sampled texts by label; ``size``: how many labelled rows there are of each."""
     if not texts[1]:
-        return nothing
+        return Model(np.zeros(DIMENSIONS, np.float32), -20.0, np.zeros((2, 2)), np.array([0.0] * N_SUMMARY + [-35.0]))
+    texts = {y: list(dict.fromkeys(t)) for y, t in texts.items()}
     number: dict[bytes, int] = {}
     split = {y: [t.encode("utf-8", "replace").split() for t in texts[y]] for y in (0, 1)}
     seen = {y: Counter() for y in (0, 1)}
@@ -214,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
         weights -= change[:DIMENSIONS]
         start -= float(change[DIMENSIONS])
         chain -= change[DIMENSIONS + 1:].reshape(2, 2)
-    model = Model(weights.astype(np.float32), start, chain, np.zeros(3))
+    model = Model(weights.astype(np.float32), start, chain, np.zeros(N_SUMMARY + 1))
     x, y = [], []
     for label_, words in split.items():
         x.append(_document_features(model, words))
@@ -254,12 +261,16 @@ def _token_marginals(model: Model, documents: list[list[bytes]]) -> list[np.ndar
     return np.split(p, ends[:-1])
 
 
-def _summary(p: np.ndarray) -> tuple[float, float]:
-    return float(np.log(p.sum() + 1e-4)), float(p.max(initial=0))
+N_SUMMARY = 2
+
+
+def _summary(p: np.ndarray) -> tuple[float, ...]:
+    """Of a text's marginals: how sure it is that some token is toxic, and how many there may be."""
+    return float(p.max(initial=0)), float(np.log1p(p[p > 0.1].sum()))
 
 
 def _document_features(model: Model, documents: list[list[bytes]]) -> np.ndarray:
-    return np.array([_summary(p) for p in _token_marginals(model, documents)]).reshape(-1, 2)
+    return np.array([_summary(p) for p in _token_marginals(model, documents)]).reshape(-1, N_SUMMARY)
 
 
 def _spans(text: bytes, p: np.ndarray) -> list[dict]:
@@ -297,8 +308,8 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
                 size += len(text)
                 if size >= 6 * TOKENS_AT_ONCE or n + 1 == batch.num_rows:
                     p = _token_marginals(own, [t.split() for t in texts])
-                    x = np.array([_summary(q) for q in p]).reshape(-1, 2)
-                    score = sigmoid(x @ own.document[:2] + own.document[2])
+                    x = np.array([_summary(q) for q in p]).reshape(-1, N_SUMMARY)
+                    score = sigmoid(x @ own.document[:-1] + own.document[-1])
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).slice(at, len(texts)), pa.array(score),
                          pa.array([_spans(t, q) for t, q in zip(texts, p)], pa.list_(span))], ["doc_id", "score", "spans"])
