@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatwise.llm import backoff_lm, bit_sliced, chunk_dedup, mixing, packing, simhash, toxic_crf, warc
+from seatwise.llm import backoff_lm, bit_sliced, chunk_dedup, mixing, packing, pu_quality, simhash, toxic_crf, warc
 from seatwise.llm.common import read
 
 #: Scores from which a document is predicted toxic.
 TOXIC = 0.7
 
+#: Scores from which a document is predicted to be of quality.
+GOOD = 0.3
+
 
 def op1_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages")).select(
@@ -36,6 +39,13 @@ def op5_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = "pmod(crc32(cast(doc_id as string)), 5) = 0"
+    rows = pu_quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), held_out)
+    return rows.select("doc_id", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), "score",
+                       (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def op7_linear_grouping_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -58,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chunk_recipe_dedup": op2_chunk_recipe_dedup,
     "op4_toxic_crf": op4_toxic_crf,
     "op5_water_filling": op5_water_filling,
+    "op6_pu_quality": op6_pu_quality,
     "op7_linear_grouping_pack": op7_linear_grouping_pack,
     "op8_bit_sliced_topk": op8_bit_sliced_topk,
     "op9_backoff_lm": op9_backoff_lm,
