@@ -68,8 +68,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: (node, component), component the smallest node id.
 
     Alternating large-star and small-star rounds, each a minimum over neighbours and a join, until the
-    edges no longer change; every edge then points from a node to its component. Nodes without an edge
-    to another node have no row. Each round is written to the shared folder.
+    edges no longer change; every edge then points from a node to its component. Nodes that no edge joins
+    to another have no row. Each round is written to the shared folder.
     """
     e = (edges.select(F.least(a, b).alias("b"), F.greatest(a, b).alias("a"))
          .filter("a <> b").select("a", "b").distinct())
@@ -87,7 +87,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         e = stage(small, "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            roots = e.select(F.col("b").alias("node")).distinct()
+            return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+                roots.withColumn("component", F.col("node")))
         seen = now
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatwise.llm import backoff_lm, bit_sliced, chunk_dedup, mixing, packing, pu_quality, simhash, toxic_crf, warc
+from seatwise.llm import backoff_lm, bit_sliced, chunk_dedup, line_dedup, mixing, packing, pu_quality, simhash, toxic_crf, warc
 from seatwise.llm.common import read
 
 #: Scores from which a document is predicted toxic.
@@ -26,6 +26,14 @@ def op2_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op3_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup(read(spark, sf_dir, "documents"))
+    gone = F.coalesce("gone", F.array().cast(rows.schema["gone"].dataType))
+    return rows.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_dropped"),
+                       gone["line"].alias("dropped_lines"), gone["keep_id"].alias("keep_ids"), gone["keep_line"].alias("keep_lines"),
+                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op4_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = "pmod(crc32(cast(doc_id as string)), 3) = 1"
@@ -66,6 +74,7 @@ def op10_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_segments": op1_warc_segments,
     "op2_chunk_recipe_dedup": op2_chunk_recipe_dedup,
+    "op3_line_edit_join": op3_line_edit_join,
     "op4_toxic_crf": op4_toxic_crf,
     "op5_water_filling": op5_water_filling,
     "op6_pu_quality": op6_pu_quality,
