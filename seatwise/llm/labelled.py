@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DIMENSIONS = 1 << 18
+DIMENSIONS = 1 << 20
 
 
 def ordered_ids(ids: DataFrame, rows: int, seed: str) -> DataFrame:

@@ -11,7 +11,7 @@ are returned as offending offsets.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -140,18 +140,15 @@ def marginals(emission: np.ndarray, first: np.ndarray, start: float, chain: np.n
 
 # --- learning ------------------------------------------------------------------------------------------
 
-def _tied(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Features far more frequent in toxic documents than chance allows."""
-    out, share = {}, n_toxic / max(1, n_toxic + n_clean)
-    least = 2 * np.log(len(toxic.keys() | clean.keys()) + 1) + G_MORE
-    for f, a in toxic.items():
-        b = clean[f]
-        ratio = np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1))
-        if ratio > LOG_RATIO:
-            g = 2 * (a * np.log(a / ((a + b) * share)) + (b * np.log(b / ((a + b) * (1 - share))) if b else 0))
-            if g > least:
-                out[f] = float(ratio)
-    return out
+def _tied(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Which features are far more frequent in toxic documents than chance allows; counts are of documents."""
+    share = n_toxic / max(1, n_toxic + n_clean)
+    least = 2 * np.log(np.count_nonzero(toxic + clean) + 1) + G_MORE
+    ratio = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
+    both = np.maximum(toxic + clean, 1)
+    g = 2 * (toxic * np.log(np.maximum(toxic, 1) / (both * share))
+             + clean * np.log(np.maximum(clean, 1) / (both * max(1 - share, 1e-9))))
+    return (ratio > LOG_RATIO) & (g > least)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
@@ -174,33 +171,42 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
 
 def learn(texts: dict[int, list[str]], size: dict[int, int]) -> Model:
     """The model of sampled texts by label; ``size``: how many labelled rows there are of each."""
+    nothing = Model(np.zeros(DIMENSIONS, np.float32), -30.0, np.array([[0.0, -30.0], [0.0, -30.0]]),
+                    np.array([0.0] * N_SUMMARY + [-35.0]))
     if not texts[1]:
-        return Model(np.zeros(DIMENSIONS, np.float32), -20.0, np.zeros((2, 2)), np.array([0.0] * N_SUMMARY + [-35.0]))
-    texts = {y: list(dict.fromkeys(t)) for y, t in texts.items()}
+        return nothing
     number: dict[bytes, int] = {}
-    split = {y: [t.encode("utf-8", "replace").split() for t in texts[y]] for y in (0, 1)}
-    seen = {y: Counter() for y in (0, 1)}
-    cues: dict[bytes, list[str]] = {}
-    for y in (0, 1):
-        for words in split[y]:
-            own = set()
-            for w in set(words):
-                if w not in cues:
-                    cues[w] = evidence(w)
+    cues, how_many = array("i"), array("i")
+    documents, y, seen = [], [], np.zeros((2, DIMENSIONS), dtype=np.int32)
+    for label, own in sorted(texts.items()):
+        for text in dict.fromkeys(own):
+            words = text.encode("utf-8", "replace").split()
+            for w in words:
+                if w not in number:
                     number[w] = len(number)
-                own.update(cues[w])
-            seen[y].update(own)
-    tied = _tied(seen[1], seen[0], len(texts[1]), len(texts[0]))
-    marked = np.array([any(f in tied for f in cues[w]) for w in number], dtype=bool)
-    listed = [features(w) for w in number]
-    row = np.repeat(np.arange(len(listed)), [len(x) for x in listed])
-    column = np.array([f for x in listed for f in x], dtype=np.int64)
-    documents = [(1, w) for w in split[1]] + [(0, w) for w in split[0]]
-    documents = [(y, w) for y, w in documents if w]
-    lengths = np.array([len(w) for _, w in documents])
-    ids = np.array([number[w] for _, words in documents for w in words], dtype=np.int64)
-    first = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
-    label = np.repeat(np.array([y == 1 for y, _ in documents]), lengths) & marked[ids]
+                    found = features(w)
+                    cues.extend(found)
+                    how_many.append(len(found))
+            documents.append(np.array([number[w] for w in words], dtype=np.int32))
+            y.append(label)
+    del texts
+    column = np.array(cues, dtype=np.int64)
+    sizes = np.array(how_many, dtype=np.int64)
+    row, first_cue = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+    for label, ids in zip(y, documents):
+        words = np.unique(ids)
+        found = [column[first_cue[w]:first_cue[w] + sizes[w]] for w in words.tolist()]
+        if found:
+            seen[label, np.unique(np.concatenate(found))] += 1
+    y = np.array(y)
+    tied = _tied(seen[1].astype(float), seen[0].astype(float), int((y == 1).sum()), int((y == 0).sum()))
+    marked = np.bincount(row, weights=tied[column], minlength=len(sizes)) > 0
+    lengths = np.array([len(d) for d in documents])
+    ids = np.concatenate(documents).astype(np.int64)
+    if not len(ids):
+        return nothing
+    first = (np.cumsum(lengths) - lengths)[lengths > 0]
+    label = np.repeat(y == 1, lengths) & marked[ids]
 
     weights, start, chain = np.zeros(DIMENSIONS), 0.0, np.zeros((2, 2))
     inside = np.ones(len(ids), dtype=bool)
@@ -210,9 +216,9 @@ def learn(texts: dict[int, list[str]], size: dict[int, int]) -> Model:
     # Adam on the mean log-likelihood of the tokens, toxic ones weighted up only by their features.
     moment, square = np.zeros(DIMENSIONS + 5), np.zeros(DIMENSIONS + 5)
     for t in range(1, STEPS + 1):
-        emission = np.bincount(row, weights=weights[column], minlength=len(listed))[ids]
+        emission = np.bincount(row, weights=weights[column], minlength=len(sizes))[ids]
         p, pairs = marginals(emission, first, start, chain)
-        by_word = np.bincount(ids, weights=p - label, minlength=len(listed))
+        by_word = np.bincount(ids, weights=p - label, minlength=len(sizes))
         gradient = np.concatenate([np.bincount(column, weights=by_word[row], minlength=DIMENSIONS) + PENALTY * len(ids) * weights,
                                    [float((p[first] - label[first]).sum())], pairs - observed])
         moment = 0.9 * moment + 0.1 * gradient
@@ -221,14 +227,11 @@ def learn(texts: dict[int, list[str]], size: dict[int, int]) -> Model:
         weights -= change[:DIMENSIONS]
         start -= float(change[DIMENSIONS])
         chain -= change[DIMENSIONS + 1:].reshape(2, 2)
-    model = Model(weights.astype(np.float32), start, chain, np.zeros(N_SUMMARY + 1))
-    x, y = [], []
-    for label_, words in split.items():
-        x.append(_document_features(model, words))
-        y += [label_] * len(words)
-    sampled = {k: size.get(k, 0) / max(1, len(texts[k])) for k in (0, 1)}
-    model.document = logistic(np.concatenate(x), np.array(y, float), np.array([sampled[k] for k in y]))
-    return model
+    emission = np.bincount(row, weights=weights[column], minlength=len(sizes))[ids]
+    p, _ = marginals(emission, first, start, chain)
+    x = np.array([_summary(q) for q in np.split(p, np.cumsum(lengths)[:-1])]).reshape(-1, N_SUMMARY)
+    sampled = np.array([size.get(k, 0) / max(1, int((y == k).sum())) for k in (0, 1)])
+    return Model(weights.astype(np.float32), start, chain, logistic(x, y.astype(float), sampled[y]))
 
 
 # --- scoring -------------------------------------------------------------------------------------------
@@ -269,10 +272,6 @@ def _summary(p: np.ndarray) -> tuple[float, ...]:
     return float(p.max(initial=0)), float(np.log1p(p[p > 0.1].sum()))
 
 
-def _document_features(model: Model, documents: list[list[bytes]]) -> np.ndarray:
-    return np.array([_summary(p) for p in _token_marginals(model, documents)]).reshape(-1, N_SUMMARY)
-
-
 def _spans(text: bytes, p: np.ndarray) -> list[dict]:
     """Character offsets of the tokens that are likelier toxic than not."""
     if not (p >= 0.5).any():
@@ -286,6 +285,34 @@ def _spans(text: bytes, p: np.ndarray) -> list[dict]:
     return out
 
 
+def _read(model: Model, batches: Iterator[pa.RecordBatch], column: int
+          ) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[np.ndarray], np.ndarray]]:
+    """Slices of the batches, with their texts, token marginals and scores; a bounded number of tokens at once."""
+    for batch in batches:
+        texts, at, size = [], 0, 0
+        for n in range(batch.num_rows):
+            text = batch.column(column)[n].as_py() or b""
+            texts.append(text if isinstance(text, bytes) else text.encode("utf-8", "replace"))
+            size += len(texts[-1])
+            if size >= 6 * TOKENS_AT_ONCE or n + 1 == batch.num_rows:
+                p = _token_marginals(model, [t.split() for t in texts])
+                x = np.array([_summary(q) for q in p]).reshape(-1, N_SUMMARY)
+                yield batch.slice(at, len(texts)), texts, p, sigmoid(x @ model.document[:-1] + model.document[-1])
+                texts, at, size = [], n + 1, 0
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is below ``threshold``; see :func:`tag`."""
+    column = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(model.weights, model.start, model.chain, model.document)
+        for part, _, _, score in _read(own, batches, column):
+            yield part.filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def tag(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: ``doc_id, score, spans``, spans of (start, end, probability) in characters.
 
@@ -299,20 +326,9 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(model.weights, model.start, model.chain, model.document)
-        for batch in batches:
-            texts, at = [], 0
-            size = 0
-            for n in range(batch.num_rows):
-                text = batch.column(1)[n].as_py()
-                texts.append(text)
-                size += len(text)
-                if size >= 6 * TOKENS_AT_ONCE or n + 1 == batch.num_rows:
-                    p = _token_marginals(own, [t.split() for t in texts])
-                    x = np.array([_summary(q) for q in p]).reshape(-1, N_SUMMARY)
-                    score = sigmoid(x @ own.document[:-1] + own.document[-1])
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(at, len(texts)), pa.array(score),
-                         pa.array([_spans(t, q) for t, q in zip(texts, p)], pa.list_(span))], ["doc_id", "score", "spans"])
-                    texts, at, size = [], n + 1, 0
+        for part, texts, p, score in _read(own, batches, 1):
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(score), pa.array([_spans(t, q) for t, q in zip(texts, p)], pa.list_(span))],
+                ["doc_id", "score", "spans"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, score double, spans array<struct<start: bigint, end: bigint, probability: double>>")
