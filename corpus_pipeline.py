@@ -9,12 +9,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from seatwise.llm import line_dedup, mixing, packing, simhash, toxic_crf
 from seatwise.llm.common import read, stage
+from seatwise.llm.queries import TOXIC
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject; it learns from labelled documents of this stage's input."""
+    model = toxic_crf.fit(docs, read(spark, sf_dir, "labels"))
+    return toxic_crf.without_toxic(docs, model, TOXIC)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their texts less the lines that repeat an earlier one."""
+    rows = line_dedup.dedup(docs)
+    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints."""
+    return simhash.keep_first(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the sources' target weights ask for."""
+    return mixing.mixed(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces in sequences."""
+    return packing.pack(docs, keep_ids=False)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
+    ("line_dedup", lines),
+    ("simhash_near_dedup", near_duplicates),
+    ("source_mix", mixture),
+    ("packing", packed),
+]
 
 #: SQL can't express the stages; tests hold them against brute force.
 ORACLE_SQL = None

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seatwise.llm.common import WORD, rank_small, stage
+from seatwise.llm.common import WORD, rank_small, row_ids, stage
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -47,8 +47,9 @@ def water_fill(sources: DataFrame, total: float, epochs: float = EPOCHS) -> Data
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS,
-        seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: ``doc_id, size, source_size, target, taken``.
+        seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        row_col: str | None = None) -> DataFrame:
+    """One row per document: ``doc_id, size, source_size, target, taken, repeats`` (and ``row``, from ``row_col``).
 
     ``size`` counts the words of the text (null: 0); ``taken`` is ``size`` times the repetitions that the
     mix holds. Sources in code point order, null (a source of its own) last, weigh ``weights`` in turn.
@@ -58,7 +59,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     """
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     rows = stage(docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
+        *[F.col(c).alias("row") for c in [row_col] if c])
         .withColumn("key", key).withColumn("bucket", F.substring("key", 1, DIGITS)), "sizes")
     buckets = stage(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
     sources = rank_small(buckets.groupBy("source").agg(F.sum("words").alias("source_size")),
@@ -81,7 +83,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     cut = placed.filter("cut").withColumn("more", (upto - F.col("size") / 2 <= F.col("part")).cast("int"))
     clear = placed.filter("not cut").withColumn("more", (F.col("before") < F.col("part")).cast("int"))
     return cut.unionByName(clear).select(
-        "doc_id", "size", "source_size", "target", ((F.col("whole") + F.col("more")) * F.col("size")).cast("long").alias("taken"))
+        "doc_id", "size", "source_size", "target", ((F.col("whole") + F.col("more")) * F.col("size")).cast("long").alias("taken"),
+        (F.col("whole") + F.col("more")).cast("int").alias("repeats"), *[c for c in ["row"] if row_col])
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, each as often as the mix holds it; see :func:`mix`."""
+    numbered = stage(row_ids(docs, "_row_number"), "numbered")
+    plan = mix(numbered, row_col="_row_number", **options).filter("repeats > 0").select(F.col("row").alias("_row_number"), "repeats")
+    rows = numbered.join(plan, "_row_number").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE_SQL = rf"""

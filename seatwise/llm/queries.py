@@ -44,7 +44,7 @@ def op4_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents"))
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,16 +49,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp``: fp is the fingerprint as a signed 64-bit number."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``doc_id, row, fp`` of ``doc_id, row, text``: fp is the fingerprint as a signed 64-bit number."""
+    rows = docs.select("doc_id", "row", F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], ["doc_id", "row", "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row long, fp long")
 
 
 def _long(value: int) -> Column:
@@ -111,16 +111,16 @@ def links(points: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id",
-               text_col: str = "text") -> DataFrame:
+               text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per document: ``doc_id, fp, component_id, row, first_row``.
 
     ``component_id`` is the smallest id that links of at most ``max_bits`` bits reach, itself included;
-    ``row`` numbers the rows, ``first_row`` is the row that stays of its component. Null and empty texts
+    ``row`` numbers the rows (or is ``row_col``, distinct numbers), ``first_row`` is the row that stays of its component. Null and empty texts
     have fingerprint 0, linked like any other; null ids come after all others, and repeated ids are rows
     of their own. An empty table gives an empty result; other columns play no part.
     """
-    rows = stage(row_ids(fingerprints(docs, shingle, id_col, text_col), "row"), "fingerprints")
-    # Rows are numbered in id order only within ties: the node of a fingerprint is its least (id, row).
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias("row") for c in [row_col] if c])
+    rows = stage(fingerprints(own if row_col else row_ids(own, "row"), shingle), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row"))
     points = stage(rows.groupBy("fp").agg(first.alias("first")), "points")
     nodes = points.select("fp", F.col("first.row").alias("node"), F.col("first").alias("own"))
@@ -132,5 +132,13 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS
         "doc_id", "fp", F.col("least.doc_id").alias("component_id"), "row", F.col("least.row").alias("first_row"))
 
 
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which one stays of each component; see :func:`near_dedup`."""
+    numbered = stage(row_ids(docs, "_row_number"), "numbered")
+    rows = near_dedup(numbered, shingle, max_bits, row_col="_row_number")
+    first = rows.filter("row = first_row").select(F.col("row").alias("_row_number"))
+    return numbered.join(first, "_row_number", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
