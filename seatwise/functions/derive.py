@@ -71,7 +71,7 @@ def business_type(segment: Column | str) -> Column:
 
 def padded_id(prefix: str, number: Column | str, width: int = 4) -> Column:
     """``prefix`` + zero-padded number, e.g. CUS_0007."""
-    return F.format_string(f"{prefix}%0{width}d", _col(number).cast("int"))
+    return F.format_string(f"{prefix}%0{width}d", _col(number).cast("long"))
 
 
 def id_number(identifier: Column | str, prefix: str) -> Column:
@@ -82,4 +82,4 @@ def id_number(identifier: Column | str, prefix: str) -> Column:
 def truncated_share(count: Column | str, share: Column | str | float) -> Column:
     """int(count x share), floored at 0 (truncates toward zero first)."""
     s = F.lit(share) if isinstance(share, (int, float)) else _col(share)
-    return F.greatest(F.lit(0), (_col(count) * s).cast("int"))
+    return F.greatest(F.lit(0).cast("long"), (_col(count) * s).cast("long"))

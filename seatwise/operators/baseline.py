@@ -29,6 +29,19 @@ def _trailing_mean_rows(df: DataFrame, rows: int) -> DataFrame:
                          s.cast("double") / F.nullif(n, F.lit(0))).drop("_rs", "_rc")
 
 
+def _trailing_mean_range(df: DataFrame, days: int) -> DataFrame:
+    """Mean of the rows dated within the previous ``days`` days, in O(n).
+
+    Two growing frames, up to yesterday and up to before the span: the exact
+    decimal sums' difference is the span's sum.
+    """
+    w = Window.partitionBy(ACCOUNT).orderBy(F.unix_date(F.col(DATE)))
+    upto, before = (w.rangeBetween(Window.unboundedPreceding, -n) for n in (1, days + 1))
+    s = F.coalesce(F.sum(VALUE).over(upto), F.lit(0)) - F.coalesce(F.sum(VALUE).over(before), F.lit(0))
+    n = F.count(VALUE).over(upto) - F.count(VALUE).over(before)
+    return df.withColumn("trailing_activity_baseline", s.cast("double") / F.nullif(n, F.lit(0)))
+
+
 def _frame_stat(method: str, w) -> Column:
     v = F.col(VALUE)
     if method == "mean":
@@ -53,6 +66,8 @@ def activity_baseline(health: DataFrame, rows: int = 364, method: str = "mean",
     """
     if frame == "rows" and method == "mean":
         return _trailing_mean_rows(health, rows)
+    if frame == "range" and method == "mean":
+        return _trailing_mean_range(health, days)
     if frame == "rows":
         w = Window.partitionBy(ACCOUNT).orderBy(DATE).rowsBetween(-rows, -1)
     elif frame == "range":

@@ -15,28 +15,15 @@ def calendar(spark: SparkSession, start: dt.date, end: dt.date, step: str = "1 d
     return spark.range(1).select(F.explode(seq).alias(name))
 
 
-MAX_CALENDAR_DAYS = 36600  # about a century of daily dates
-
-
-def panel(keys: DataFrame, dates: DataFrame, date_col: str = "measurement_date",
-          max_days: int = MAX_CALENDAR_DAYS) -> DataFrame:
+def panel(keys: DataFrame, dates: DataFrame, date_col: str = "measurement_date") -> DataFrame:
     """Every row of ``keys`` paired with every date in ``dates`` — no cross join.
 
-    Each key row explodes the range [first, last] of ``dates`` (two scalar
-    subqueries that Spark merges into one small job) and a semi join keeps
-    only dates present in ``dates``, so gaps survive.  The work is linear in
-    the output.  The distinct dates are broadcast: their number is bounded by
-    the days between first and last, whatever the table size, and a shuffle
-    keyed on a few hundred dates would be badly skewed.
+    The distinct dates, as many as there are days with data, come as one
+    scalar subquery; each key row explodes them.  Gaps survive, a stray date
+    adds one row per key, and the work is linear in the output.
     """
-    first = dates.agg(F.min(date_col)).scalar()
-    last = dates.agg(F.max(date_col)).scalar()
-    # the size check behind the broadcast: a span beyond max_days (a stray
-    # far-future date, say) fails the job instead of multiplying every key
-    span = F.when(F.datediff(last, first) <= max_days, F.sequence(first, last)).otherwise(
-        F.raise_error(F.lit(f"calendar spans more than {max_days} days")))
-    spine = keys.select("*", F.explode(span).alias(date_col))
-    return spine.join(F.broadcast(dates.select(date_col).distinct()), date_col, "left_semi")
+    days = dates.agg(F.array_sort(F.collect_set(date_col))).scalar()
+    return keys.select("*", F.explode(days).alias(date_col))
 
 
 def expand_users(accounts: DataFrame, n_users: Column, account_no: Column,

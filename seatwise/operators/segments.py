@@ -23,9 +23,12 @@ from seatwise.operators.adoption import account_utilisation, on_date
 
 
 def _weighted_mean(x: str, w: str) -> Column:
-    """Mean of ``x`` as if each row were repeated ``w`` times (nulls skipped)."""
+    """Mean of ``x``, of at most 3 decimals, as if each row were repeated ``w`` times (nulls skipped).
+
+    The sum is over decimals, so it does not depend on the order of rows.
+    """
     weight = F.when(F.col(x).isNotNull(), F.col(w))
-    return F.sum(F.col(x) * F.col(w)).cast("double") / F.nullif(F.sum(weight), F.lit(0))
+    return F.sum(F.col(x).cast("decimal(18,3)") * F.col(w)).cast("double") / F.nullif(F.sum(weight), F.lit(0))
 
 
 def segment_seat_penetration(user_days: DataFrame) -> DataFrame:
@@ -35,7 +38,7 @@ def segment_seat_penetration(user_days: DataFrame) -> DataFrame:
              .groupBy("measurement_date", "account_id", "segment", "paid_seats")
              .agg(F.count_distinct("user_id").alias("active_users")))
     out = daily.groupBy("segment").agg(
-        round_half_up(F.avg(ratio("active_users", "paid_seats")), 3).alias("avg_seat_penetration"),
+        round_half_up(exact_mean(ratio("active_users", "paid_seats").cast("decimal(28,12)")), 3).alias("avg_seat_penetration"),
         F.count_distinct("account_id").alias("accounts"),
     )
     return out.orderBy(F.col("avg_seat_penetration").desc_nulls_first())

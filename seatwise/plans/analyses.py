@@ -24,7 +24,7 @@ from seatwise.operators import segments as S
 from seatwise.operators.adoption import account_day_adoption
 from seatwise.operators.risk import retention_risk
 from seatwise.sources import contracts as C
-from seatwise.sources.io import read_csv, read_parquet
+from seatwise.sources.io import columns_of, read_csv, read_parquet
 
 
 def segment_summaries(user_days: DataFrame, health: DataFrame, retention: DataFrame,
@@ -61,14 +61,16 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--retention", required=True)
     ap.add_argument("--as-of", required=True)
     ap.add_argument("--format", choices=("csv", "parquet"), default="parquet")
-    ap.add_argument("--columns", help="JSON object: source column name -> contract name", default=None)
+    ap.add_argument("--columns", help="JSON: source column -> contract column, for all tables or {table: {...}}", default=None)
     args = ap.parse_args(argv)
     columns = json.loads(args.columns) if args.columns else None
     spark = SparkSession.builder.getOrCreate()
     read = read_csv if args.format == "csv" else read_parquet
-    out = segment_summaries(read(spark, args.user_days, C.USER_DAYS, columns),
-                            read(spark, args.health, C.HEALTH, columns),
-                            read(spark, args.retention, C.RETENTION, columns), args.as_of)
+    def table(name: str, path: str, schema) -> DataFrame:
+        return read(spark, path, schema, columns_of(columns, name, schema))
+
+    out = segment_summaries(table("user_days", args.user_days, C.USER_DAYS), table("health", args.health, C.HEALTH),
+                            table("retention", args.retention, C.RETENTION), args.as_of)
     for name, df in out.items():
         print(f"== {name}")
         df.show(truncate=False)

@@ -22,7 +22,7 @@ from seatwise.operators.adoption import account_day_adoption
 from seatwise.operators.quality import ADOPTION_CHECKS, RISK_CHECKS, run_checks
 from seatwise.operators.risk import DEFAULT, RiskThresholds, retention_risk
 from seatwise.sources import contracts as C
-from seatwise.sources.io import read_csv, read_model, read_parquet, write_csv, write_model
+from seatwise.sources.io import columns_of, read_csv, read_model, read_parquet, write_csv, write_model
 
 
 @dataclass(frozen=True)
@@ -70,14 +70,15 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--out", required=True)
     ap.add_argument("--format", choices=("csv", "parquet"), default="parquet")
     ap.add_argument("--output-format", choices=("csv", "parquet"), default="parquet")
-    ap.add_argument("--columns", help="JSON object: source column name -> contract name", default=None)
+    ap.add_argument("--columns", help="JSON: source column -> contract column, for all tables or {table: {...}}", default=None)
     args = ap.parse_args(argv)
     columns = json.loads(args.columns) if args.columns else None
     spark = SparkSession.builder.getOrCreate()
-    built = build(spark,
-                  _read(spark, args.format, args.user_days, C.USER_DAYS, columns),
-                  _read(spark, args.format, args.health, C.HEALTH, columns),
-                  _read(spark, args.format, args.objects, C.OBJECTS, columns),
+    def table(name: str, path: str, schema) -> DataFrame:
+        return _read(spark, args.format, path, schema, columns_of(columns, name, schema))
+
+    built = build(spark, table("user_days", args.user_days, C.USER_DAYS), table("health", args.health, C.HEALTH),
+                  table("objects", args.objects, C.OBJECTS),
                   args.out, output_format=args.output_format)
     failing = 0
     for row in built.checks.collect():  # one row per declared check (23)

@@ -71,11 +71,11 @@ HEALTH = T.StructType([
     _f("measurement_date", T.DateType(), False),
     _f("account_id", T.StringType(), False),
     _f("segment", T.StringType()),
-    _f("health_score", T.DecimalType(6, 2)),
+    _f("health_score", MONEY),
     _f("feature_score", T.DoubleType()),
     _f("percent_days_active", T.DecimalType(5, 2)),
     _f("feature_categories_used", T.IntegerType()),
-    _f("net_positive_periods", T.IntegerType()),
+    _f("net_positive_periods", T.LongType()),
 ])
 
 RETENTION = T.StructType([
@@ -89,12 +89,12 @@ RETENTION = T.StructType([
 OBJECTS = T.StructType([
     _f("measurement_date", T.DateType(), False),
     _f("account_id", T.StringType(), False),
-    _f("report_count", T.IntegerType()),
-    _f("active_report_count", T.IntegerType()),
-    _f("dashboard_count", T.IntegerType()),
-    _f("active_dashboard_count", T.IntegerType()),
-    _f("list_count", T.IntegerType()),
-    _f("active_list_count", T.IntegerType()),
+    _f("report_count", T.LongType()),
+    _f("active_report_count", T.LongType()),
+    _f("dashboard_count", T.LongType()),
+    _f("active_dashboard_count", T.LongType()),
+    _f("list_count", T.LongType()),
+    _f("active_list_count", T.LongType()),
 ])
 
 ACCOUNT_DAY_ADOPTION = T.StructType([
@@ -133,10 +133,10 @@ RETENTION_RISK = T.StructType([
     _f("full_breadth_penetration", T.DoubleType()),
     _f("next_renewal_date", T.DateType()),
     _f("days_to_renewal", T.IntegerType()),
-    _f("health_score", T.DecimalType(6, 2)),
+    _f("health_score", MONEY),
     _f("percent_days_active", T.DecimalType(5, 2)),
     _f("feature_categories_used", T.IntegerType()),
-    _f("net_positive_periods", T.IntegerType()),
+    _f("net_positive_periods", T.LongType()),
     _f("trailing_activity_baseline", T.DoubleType()),
     _f("activity_vs_baseline", T.DoubleType()),
     _f("active_object_ratio", T.DoubleType()),

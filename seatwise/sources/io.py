@@ -9,6 +9,18 @@ from pyspark.sql import types as T
 from seatwise.sources.contracts import conform
 
 
+def columns_of(columns: dict | None, table: str, schema: T.StructType) -> dict[str, str]:
+    """One table's map, source name -> contract name.
+
+    ``columns`` is one map for all tables, or a map for each table name; only
+    names of the table's own contract are renamed to.
+    """
+    columns = columns or {}
+    if any(isinstance(v, dict) for v in columns.values()):
+        columns = columns.get(table, {})
+    return {k: v for k, v in columns.items() if v in schema.names}
+
+
 def source_schema(schema: T.StructType, columns: dict[str, str] | None) -> T.StructType:
     """The contract schema under the source's column names.
 
@@ -41,6 +53,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType,
              columns: dict[str, str] | None = None) -> DataFrame:
     """Header CSV with a declared schema; malformed rows fail the job.
 
+    The header line is read when this is called, not when a query runs.
     Columns are matched by header name (``enforceSchema`` off), so extra
     source columns are ignored and order does not matter.  Booleans are read
     from ``True``/``False`` (any case); dates as ISO ``yyyy-MM-dd``.

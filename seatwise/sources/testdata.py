@@ -8,7 +8,7 @@ work grows with the source tables.
 
 Rules (fixed; the oracle SQL in ``seatwise.plans.oracle`` states the same):
 
-* account number ``a = user_id div 3``; ``account_id = 'ACC_' || lpad(a, 6, '0')``
+* account number ``a = user_id div 3``; ``account_id`` = ``ACC_`` and a, filled to six digits
 * segment = ``c_mktsegment`` of ``c_custkey = a``; seats = ``3 + a % 20``
 * arr = ``(decimal(c_acctbal) + 1000) * 10``; platform share = ``arr * 0.7``
 * add-ons a..e = orders of ``o_custkey = a`` by priority 1-URGENT..5-LOW:
@@ -20,8 +20,9 @@ Rules (fixed; the oracle SQL in ``seatwise.plans.oracle`` states the same):
 * health per account-day: percent active from the integer ``10000*active div
   users``; categories = research + monitoring + relationship (max over users);
   trend = events today - events on the previous panel date (0 on the first)
-* retention per account and order month: current = 1997 orders, prior = 1996
-  orders, retained = least of the two; month stamped as 1997-MM-01
+* retention per customer and month, from the second order year on: current =
+  that month's orders, prior = the same month's a year before, retained = least
+  of the two; rows where either has orders
 * objects per account-day: total = 1 + running event count (view -> dashboard,
   signup -> report, purchase -> list); active = count over the last 7 panel rows
 """
@@ -29,9 +30,7 @@ Rules (fixed; the oracle SQL in ``seatwise.plans.oracle`` states the same):
 from __future__ import annotations
 
 import datetime as dt
-import os
 import threading
-import uuid
 from functools import cached_property
 from decimal import Decimal
 
@@ -51,7 +50,6 @@ ADDON_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"
 ADDON_DIVISOR = 400
 RENEWAL_START = dt.date(2024, 1, 20)
 RENEWAL_STEP, RENEWAL_CYCLE = 37, 365
-PRIOR_YEAR, CURRENT_YEAR = 1996, 1997
 ACTIVE_OBJECT_ROWS = 7
 AS_OF = "2024-01-15"
 # -----------------------------------------------------------------------------
@@ -76,14 +74,10 @@ def _cents(c: str) -> Column:
     return (F.col(c).cast(C.MONEY) * 100).cast("long")
 
 
-def _wall_clock(ts: str) -> Column:
-    """A zone-free timestamp literal (the order dates are ``timestamp_ntz``),
-    so the comparison does not depend on the session or process time zone."""
-    return F.lit(ts).cast("timestamp_ntz")
-
-
 def account_id(no: Column) -> Column:
-    return F.concat(F.lit("ACC_"), F.lpad(no.cast("string"), 6, "0"))
+    """At least six digits; longer numbers keep all of theirs."""
+    digits = no.cast("string")
+    return F.concat(F.lit("ACC_"), F.when(F.length(digits) < 6, F.lpad(digits, 6, "0")).otherwise(digits))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,12 +186,12 @@ def _health(ud: DataFrame, day_events: DataFrame) -> DataFrame:
     trend = F.coalesce(n - F.lag(n, 1).over(w), F.lit(0))
     out = daily.select(
         "measurement_date", "account_id", "segment",
-        pct.alias("pct_int"), cats.cast("int").alias("cats"), trend.cast("int").alias("trend"),
+        pct.alias("pct_int"), cats.cast("int").alias("cats"), trend.alias("trend"),
     )
     score_cents = F.expr("(pct_int + 5) div 10") + (F.col("cats") + F.col("trend")) * 100
     return conform(out.select(
         "measurement_date", "account_id", "segment",
-        (score_cents * F.lit(CENTS)).cast("decimal(6,2)").alias("health_score"),
+        (score_cents * F.lit(CENTS)).cast(C.MONEY).alias("health_score"),
         F.col("cats").cast("double").alias("feature_score"),
         (F.col("pct_int") * F.lit(CENTS)).cast("decimal(5,2)").alias("percent_days_active"),
         F.col("cats").alias("feature_categories_used"),
@@ -205,27 +199,22 @@ def _health(ud: DataFrame, day_events: DataFrame) -> DataFrame:
     ), C.HEALTH)
 
 
-def _retention(spark: SparkSession, sf_dir: str, ev: DataFrame) -> DataFrame:
-    """One row per (order month, account) with 1996/1997 order value."""
-    nos = ev.select(F.col("account_no").alias("o_custkey")).distinct()
+def _retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (month, customer) with that month's orders and those of a year before."""
     d = F.col("o_orderdate")
-    orders = _source(spark, sf_dir, "orders", ORDERS_SCHEMA).filter(
-        (d >= _wall_clock(f"{PRIOR_YEAR}-01-01")) & (d < _wall_clock(f"{CURRENT_YEAR + 1}-01-01")))
-    cents = _cents("o_totalprice")
-
-    def money(c: Column) -> Column:
-        return (F.coalesce(c, F.lit(0)) * F.lit(CENTS)).cast(C.MONEY)
-
-    # Keep only account customers.  Catalyst moves this semi join below the
-    # aggregate (it filters on a grouping key): broadcast when the account set
-    # is small, else a sort-merge semi join whose hot-customer partitions AQE
-    # splits.
-    monthly = orders.join(nos, "o_custkey", "left_semi").groupBy("o_custkey", F.month(d).alias("m")).agg(
-        money(F.sum(F.when(F.year(d) == PRIOR_YEAR, cents))).alias("arr_prior"),
-        money(F.sum(F.when(F.year(d) == CURRENT_YEAR, cents))).alias("arr_current"),
-    )
-    return conform(monthly.select(
-        F.make_date(F.lit(CURRENT_YEAR), F.col("m"), F.lit(1)).alias("measurement_month"),
+    orders = _source(spark, sf_dir, "orders", ORDERS_SCHEMA).filter(F.col("o_custkey").isNotNull() & d.isNotNull())
+    years = orders.agg(F.min(F.year(d)).alias("first"), F.max(F.year(d)).alias("last"))
+    first, last = years.select("first").scalar(), years.select("last").scalar()
+    monthly = orders.groupBy("o_custkey", F.year(d).alias("y"), F.month(d).alias("m")).agg(
+        F.sum(_cents("o_totalprice")).alias("cents"))
+    # each month's orders count for its own year and, as the prior ones, for the next
+    both = monthly.select("o_custkey", "m", "cents", F.explode(F.array(F.lit(0), F.lit(1))).alias("later"), "y")
+    paired = (both.groupBy("o_custkey", (F.col("y") + F.col("later")).alias("year"), "m").agg(
+        *[(F.coalesce(F.sum(F.when(F.col("later") == k, F.col("cents"))), F.lit(0)) * F.lit(CENTS)).cast(C.MONEY).alias(name)
+          for name, k in (("arr_prior", 1), ("arr_current", 0))])
+        .filter((F.col("year") > first) & (F.col("year") <= last)))
+    return conform(paired.select(
+        F.make_date("year", "m", F.lit(1)).alias("measurement_month"),
         account_id(F.col("o_custkey")).alias("account_id"),
         "arr_prior", "arr_current",
         F.least("arr_prior", "arr_current").alias("arr_retained"),
@@ -241,10 +230,10 @@ def _objects(ev: DataFrame, day_events: DataFrame) -> DataFrame:
     recent = w.rowsBetween(-(ACTIVE_OBJECT_ROWS - 1), Window.currentRow)
 
     def total(c: str) -> Column:
-        return (F.lit(1) + F.sum(F.coalesce(F.col(c), F.lit(0))).over(running)).cast("int")
+        return (F.lit(1) + F.sum(F.coalesce(F.col(c), F.lit(0))).over(running))
 
     def active(c: str) -> Column:
-        return F.sum(F.coalesce(F.col(c), F.lit(0))).over(recent).cast("int")
+        return F.sum(F.coalesce(F.col(c), F.lit(0))).over(recent)
 
     return conform(daily.select(
         "measurement_date",
@@ -258,48 +247,32 @@ def _objects(ev: DataFrame, day_events: DataFrame) -> DataFrame:
 class Inputs:
     """The four inputs over one data folder.
 
-    With ``materialize=True`` (default) each input is derived once and
-    written as Parquet under the session's ``spark.checkpoint.dir`` (a shared
-    folder on a cluster); queries then scan those tables, as they would scan
-    the real input tables.  This cuts the lineage: a query's plan no longer
-    carries three copies of the derivation, and a lost executor recomputes
-    from the written files.  With ``materialize=False`` the inputs stay lazy
-    plans over the source tables.
+    They are lazy plans over the source tables.  With ``store``, a folder that
+    all executors share, each input is derived once and written there as
+    Parquet; queries then scan those tables, as they would scan the real input
+    tables.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
-        self.spark, self.sf_dir, self.materialize = spark, sf_dir, materialize
-        self._store: str | None = None
+    def __init__(self, spark: SparkSession, sf_dir: str, store: str | None = None):
+        self.spark, self.sf_dir, self.store = spark, sf_dir, store
         self._done: dict[str, DataFrame] = {}
         self._lock = threading.RLock()   # queries may run from several threads
 
     def _stored(self, name: str, build, schema, cluster_by: str | None = None) -> DataFrame:
+        if self.store is None:
+            return build()
         with self._lock:
             if name not in self._done:
-                self._done[name] = self._write(name, build, schema, cluster_by)
+                path = f"{self.store.rstrip('/')}/{name}"
+                df = build()
+                if cluster_by:
+                    # rows of a date sit together in each file, so a date filter
+                    # skips row groups by their min/max statistics
+                    df = df.sortWithinPartitions(cluster_by)
+                df.write.mode("overwrite").parquet(path)
+                self._done[name] = conform(self.spark.read.schema(schema).parquet(path), schema)
             return self._done[name]
 
-    def _write(self, name: str, build, schema, cluster_by: str | None) -> DataFrame:
-        if not self.materialize:
-            return build()
-        if self._store is None:
-            from seatwise.session import checkpoint_dir
-            try:
-                root = checkpoint_dir(self.spark)
-            except Exception:  # e.g. a remote session without a SparkContext
-                self.materialize = False
-                return build()
-            self._store = f"{root.rstrip('/')}/seatwise-inputs-{uuid.uuid4().hex}"
-        path = f"{self._store}/{name}"
-        df = build()
-        if cluster_by:
-            # rows of a date sit together in each file, so a date filter skips
-            # row groups by their min/max statistics (no small-file explosion
-            # from a partition directory per date and task)
-            df = df.sortWithinPartitions(cluster_by)
-        df.write.mode("overwrite").parquet(path)
-        return conform(self.spark.read.schema(schema).parquet(path), schema)
-
     @cached_property
     def events(self) -> DataFrame:
         return _events(self.spark, self.sf_dir)
@@ -320,7 +293,7 @@ class Inputs:
 
     @cached_property
     def retention(self) -> DataFrame:
-        return self._stored("retention", lambda: _retention(self.spark, self.sf_dir, self.events), C.RETENTION)
+        return self._stored("retention", lambda: _retention(self.spark, self.sf_dir), C.RETENTION)
 
     @cached_property
     def objects(self) -> DataFrame:
@@ -328,28 +301,9 @@ class Inputs:
                             "measurement_date")
 
 
-_INPUTS: dict[tuple[int, int, str, bool], Inputs] = {}
-_LOAD_LOCK = threading.Lock()
-
-
-def load(spark: SparkSession, sf_dir: str, materialize: bool | None = None) -> Inputs:
-    """The shared ``Inputs`` for this session and folder.
-
-    ``materialize`` defaults to on; ``SEATWISE_MATERIALIZE_INPUTS=0`` keeps
-    the inputs as lazy plans."""
-    if materialize is None:
-        materialize = os.environ.get("SEATWISE_MATERIALIZE_INPUTS", "1") != "0"
-    # the JVM session's identity too: a restarted session must not reuse plans
-    try:
-        jvm_id, stopped = spark._jsparkSession.hashCode(), spark.sparkContext._jsc is None
-    except Exception:  # a remote session: no JVM handles here
-        jvm_id, stopped = 0, False
-    key = (id(spark), jvm_id, sf_dir, materialize)
-    with _LOAD_LOCK:
-        got = _INPUTS.get(key)
-        if got is None or got.spark is not spark or stopped:
-            got = _INPUTS[key] = Inputs(spark, sf_dir, materialize)
-        return got
+def load(spark: SparkSession, sf_dir: str, store: str | None = None) -> Inputs:
+    """The inputs over ``sf_dir``: lazy, or written once under ``store``."""
+    return Inputs(spark, sf_dir, store)
 
 
 def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,5 @@
 """Incremental builds of the daily models (Structured Streaming, ``foreachBatch``)."""
 
-from seatwise.streaming.daily_build import rebuild_dates, start
+from seatwise.streaming.daily_build import rebuild_from, start
 
-__all__ = ["rebuild_dates", "start"]
+__all__ = ["rebuild_from", "start"]

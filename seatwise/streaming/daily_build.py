@@ -1,20 +1,21 @@
 """Incremental daily build of the adoption and risk models.
 
-New user-day files (partitioned by ``measurement_date``) arrive as a file
-stream.  Each micro-batch only names the dates that changed; for those dates
-the models are rebuilt from the full source tables and written with dynamic
-partition overwrite.  Rewriting a date is idempotent, so a batch replayed
-after a failure (the checkpoint records progress) gives the same output.
-
-Why re-read instead of using the batch rows: a date's user rows may arrive
-across several batches, and the baseline needs each account's earlier health
-rows.  The set of changed dates is small and bounded by the calendar, so it is
-broadcast into the source scans.
+New files of the three inputs (partitioned by ``measurement_date``) arrive as
+file streams.  A micro-batch only names the dates that changed.  A changed
+health row takes part in the baselines of its account's later rows, so both
+models are rebuilt from the earliest changed date on: in the usual order of
+arrival that is the newest date, and a late row reaches every date whose frame
+holds it.  Dates are written with dynamic partition overwrite, so a batch that
+is replayed after a failure gives the same output, and there is no state
+besides the streams' own progress.
+
+The baseline is the batch window over three columns of the health history;
+user-days and objects are read from the earliest changed date on only.
 """
 
 from __future__ import annotations
 
-import os
+import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,105 +23,60 @@ from pyspark.sql.streaming import StreamingQuery
 
 from seatwise.operators.adoption import account_day_adoption
 from seatwise.operators.baseline import activity_baseline
-from seatwise.streaming import tail_baseline as TB
 from seatwise.operators.risk import DEFAULT, RiskThresholds, retention_risk
-from seatwise.session import checkpoint_dir
 from seatwise.sources import contracts as C
 from seatwise.sources.io import read_parquet, write_model
 
 DATE = "measurement_date"
 
-
-def _tail_applies(options: dict) -> bool:
-    return options.get("method", "mean") == "mean" and options.get("frame", "rows") == "rows"
-
-
 HEALTH_COLUMNS = ["account_id", DATE, "health_score", "percent_days_active",
                   "feature_categories_used", "net_positive_periods"]
 
 
-def _health_baseline(spark: SparkSession, health: DataFrame, days: DataFrame, last, state_root: str | None,
-                     batch_id: int | None, options: dict) -> tuple[DataFrame, str]:
-    """Health rows of the batch dates with their baseline, and which path ran.
-
-    With a ``state_root`` (rows frame, mean) the baseline comes from the
-    bounded per-account tail; the first batch, or a batch whose dates are not
-    after the processed ones, reads the full history and re-seeds the tail.
-    """
-    rows = options.get("rows", 364)
-    if state_root is None or batch_id is None or not _tail_applies(options):
-        hb = activity_baseline(health.select(*HEALTH_COLUMNS), **options)
-        return hb.join(days, DATE, "left_semi"), "window"
-
-    prev_path = TB.latest_state_path(spark, state_root, batch_id)
-    out = f"{state_root.rstrip('/')}/v={batch_id}"
-    if prev_path is not None:
-        prev = spark.read.schema(TB.STATE_SCHEMA).parquet(prev_path)
-        processed = prev.agg(F.max("last_date")).scalar()
-        if days.filter(F.col(DATE) <= processed).isEmpty():
-            # health is loaded append-only by date: everything after the
-            # processed date (up to this batch) is new to every tail
-            fresh = health.filter(F.col(DATE) > processed).select(*HEALTH_COLUMNS)
-            joined = TB.batch_accounts(fresh, prev)
-            if not TB.has_late_rows(joined):
-                per_row, updated = TB.baseline_from_tail(joined, rows)
-                TB.merge_state(prev, updated).write.mode("overwrite").parquet(out)
-                hb = fresh.join(days, DATE, "left_semi").join(per_row, ["account_id", DATE], "left")
-                return hb, "tail"
-    history = health.select(*HEALTH_COLUMNS)
-    TB.seed_state(history, rows).write.mode("overwrite").parquet(out)
-    hb = activity_baseline(history, **options)
-    return hb.join(days, DATE, "left_semi"), "full"
-
-
-def rebuild_dates(spark: SparkSession, dates: DataFrame, user_days_path: str, health_path: str,
-                  objects_path: str, adoption_out: str, risk_out: str,
-                  thresholds: RiskThresholds = DEFAULT, state_root: str | None = None,
-                  batch_id: int | None = None, **baseline_options) -> str:
-    """Rebuild both models for the dates in ``dates`` (one column, ``measurement_date``).
-
-    Returns how the baseline was computed: ``'tail'`` (bounded state),
-    ``'full'`` (history read, state re-seeded) or ``'window'`` (no state).
-    """
-    days = F.broadcast(dates.select(DATE).distinct())
-    ud = read_parquet(spark, user_days_path, C.USER_DAYS).join(days, DATE, "left_semi")
-    last = dates.agg(F.max(DATE)).scalar()
-    # a baseline needs earlier health rows, never later ones
-    health = read_parquet(spark, health_path, C.HEALTH).filter(F.col(DATE) <= last)
-    objects = read_parquet(spark, objects_path, C.OBJECTS).join(days, DATE, "left_semi")
-
-    adoption = account_day_adoption(ud)
+def rebuild_from(spark: SparkSession, first: dt.date, user_days_path: str, health_path: str,
+                 objects_path: str, adoption_out: str, risk_out: str,
+                 thresholds: RiskThresholds = DEFAULT, **baseline_options) -> None:
+    """Rebuild both models for all dates from ``first`` on."""
+    recent = F.col(DATE) >= F.lit(first)
+    adoption = account_day_adoption(read_parquet(spark, user_days_path, C.USER_DAYS).filter(recent))
     write_model(adoption, adoption_out)
-    adoption = read_parquet(spark, adoption_out, C.ACCOUNT_DAY_ADOPTION).join(days, DATE, "left_semi")
-    hb, how = _health_baseline(spark, health, days, last, state_root, batch_id, baseline_options)
-    risk = retention_risk(None, None, objects, thresholds, adoption=adoption, health_baseline=hb)
-    write_model(risk.join(days, DATE, "left_semi"), risk_out)
-    return how
+    adoption = read_parquet(spark, adoption_out, C.ACCOUNT_DAY_ADOPTION).filter(recent)
+    health = read_parquet(spark, health_path, C.HEALTH).select(*HEALTH_COLUMNS)
+    baseline = activity_baseline(health, **baseline_options).filter(recent)
+    objects = read_parquet(spark, objects_path, C.OBJECTS).filter(recent)
+    write_model(retention_risk(None, None, objects, thresholds, adoption=adoption, health_baseline=baseline), risk_out)
+
+
+def _progress_folder(spark: SparkSession) -> str:
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        raise ValueError("name a checkpoint folder, or set spark.checkpoint.dir")
+    return f"{named.rstrip('/')}/seatwise-daily-build"
 
 
 def start(spark: SparkSession, user_days_path: str, health_path: str, objects_path: str,
-          adoption_out: str, risk_out: str, checkpoint: str | None = None, state_root: str | None = None,
+          adoption_out: str, risk_out: str, checkpoint: str | None = None,
           available_now: bool = True, processing_time: str | None = None,
           max_files_per_trigger: int | None = None, **options) -> StreamingQuery:
     """Start the stream.  ``available_now`` processes what is there and stops;
     otherwise it polls every ``processing_time``."""
-    reader = spark.readStream.schema(C.USER_DAYS)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(user_days_path).select(DATE)
-    ckpt = checkpoint or os.path.join(checkpoint_dir(spark), "seatwise-daily-build")
-    # the baseline tail lives with the stream's progress, so the two are
-    # always reset together
-    state_root = state_root or f"{ckpt.rstrip('/')}/baseline-state"
+
+    def dates_of(path: str, schema) -> DataFrame:
+        reader = spark.readStream.schema(schema)
+        if max_files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+        return reader.parquet(path).select(DATE)
+
+    stream = (dates_of(user_days_path, C.USER_DAYS).unionByName(dates_of(health_path, C.HEALTH))
+              .unionByName(dates_of(objects_path, C.OBJECTS)))
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        dates = batch.select(DATE).distinct()
-        if dates.isEmpty():
-            return
-        rebuild_dates(batch.sparkSession, dates, user_days_path, health_path, objects_path,
-                      adoption_out, risk_out, state_root=state_root, batch_id=batch_id, **options)
+        first = batch.agg(F.min(DATE)).first()[0]
+        if first is not None:
+            rebuild_from(batch.sparkSession, first, user_days_path, health_path, objects_path,
+                         adoption_out, risk_out, **options)
 
-    writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", ckpt)
+    writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint or _progress_folder(spark))
     if available_now:
         writer = writer.trigger(availableNow=True)
     elif processing_time:

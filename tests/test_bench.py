@@ -23,5 +23,5 @@ def test_bench_prints_one_json_line():
     assert len(lines) == 1
     d = json.loads(lines[0])
     assert d["unit"] == "sec" and d["sf"] == 0.001 and d["value"] > 0
-    assert set(d["queries"]) == {"inputs_materialize", "segment_breadth", "retention_risk"}
+    assert set(d["queries"]) == {"segment_breadth", "retention_risk"}
     assert "failed" not in d

@@ -79,17 +79,41 @@ def test_expand_users_and_fill_inactive(spark):
     assert got == {3000: True, 3001: False, 12000: False}
 
 
-def test_panel_rejects_a_runaway_calendar(spark):
-    import pytest
-    keys = spark.createDataFrame([("A",)], "k string")
-    dates = spark.createDataFrame([(dt.date(2024, 1, 1),), (dt.date(2024, 3, 1),)], "measurement_date date")
-    assert panel(keys, dates, max_days=100).count() == 2
-    with pytest.raises(Exception, match="calendar spans more than 10 days"):
-        panel(keys, dates, max_days=10).collect()
-
-
 def test_expand_users_in_chunks(spark):
     acc = spark.createDataFrame([(1, 23), (2, 0), (3, 5)], "no int, n int")
     users = expand_users(acc, F.col("n"), F.col("no"), chunk=4)
     got = sorted((r.no, r.user_index) for r in users.collect())
     assert got == [(1, i) for i in range(23)] + [(3, i) for i in range(5)]
+
+
+def test_account_ids_are_never_cut(spark):
+    from seatwise.sources.testdata import account_id
+    numbers = [7, 99999, 100000, 1000000, 1000001, 12345678901]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in numbers], "n long").select(account_id(F.col("n"))).collect()]
+    assert got == ["ACC_000007", "ACC_099999", "ACC_100000", "ACC_1000000", "ACC_1000001", "ACC_12345678901"]
+
+
+def test_padded_ids_hold_long_numbers(spark):
+    from seatwise.functions.derive import padded_id
+    row = spark.createDataFrame([(1 << 40,)], "n long").select(padded_id("CUS_", "n")).first()
+    assert row[0] == f"CUS_{1 << 40}"
+
+
+def test_large_trends_survive(spark):
+    import datetime as dt
+
+    from seatwise.sources import testdata as T
+    ud = spark.createDataFrame([(dt.date(2024, 1, d), "ACC_000000", 0, "S", True) + (False,) * 6 for d in (1, 2)],
+                               "measurement_date date, account_id string, user_id long, segment string, " + ", ".join(f"{c} boolean" for c in T.FLAG_COLUMNS))
+    events = spark.createDataFrame([(0, dt.date(2024, 1, 1), 1), (0, dt.date(2024, 1, 2), 12_001)],
+                                   "account_no long, measurement_date date, n_events long")
+    rows = {r.measurement_date.day: r for r in T._health(ud, events).collect()}
+    assert rows[2].net_positive_periods == 12_000 and rows[2].health_score > 12_000
+
+
+def test_panel_takes_stray_dates(spark):
+    import datetime as dt
+
+    from seatwise.operators.panel import panel
+    dates = spark.createDataFrame([(dt.date(y, 1, 1),) for y in (1, 2024, 9999)], "measurement_date date")
+    assert panel(spark.range(3), dates).count() == 9

@@ -34,7 +34,7 @@ def test_many_partitions_same_results(spark):
     try:
         for k, v in CONF.items():
             spark.conf.set(k, v)
-        inputs = T.Inputs(spark, SF, materialize=False)
+        inputs = T.Inputs(spark, SF)
         sql = oracle_sql()
         con: duckdb.DuckDBPyConnection = duck(SF)
         checks = {"user_days": inputs.user_days, "health_daily": inputs.health,
@@ -58,7 +58,7 @@ def test_ansi_off_same_results(spark):
     old = spark.conf.get("spark.sql.ansi.enabled")
     try:
         spark.conf.set("spark.sql.ansi.enabled", "false")
-        inputs = T.Inputs(spark, SF, materialize=False)
+        inputs = T.Inputs(spark, SF)
         sql = oracle_sql()
         con = duck(SF)
         for name in ("retention_risk", "segment_addon_exposure", "segment_retention", "risk_quality"):

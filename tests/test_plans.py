@@ -7,7 +7,8 @@ import re
 
 import pytest
 
-from seatwise.plans.catalog import queries
+from seatwise.plans.catalog import OPERATORS, queries
+from seatwise.sources import testdata as T
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="testdata not present")
@@ -32,12 +33,23 @@ def test_plan_shape(spark, name):
         assert "o_orderstatus" not in schema and "c_name" not in schema, f"{name} reads unused columns"
 
 
-def test_one_date_queries_push_the_date_into_the_scan(spark):
-    # (over lazy inputs, health-based one-date queries cannot: the derived
-    # trend needs the previous date through a window, which a filter must
-    # not cross; over stored inputs every one-date query prunes its scan)
-    for name in ("segment_addon_exposure", "account_utilisation", "segment_breadth"):
-        plan = formatted_plan(queries()[name](spark, SF))
-        pushed = re.findall(r"(?:PushedFilters|PartitionFilters): \[[^\n]*\]", plan)
-        assert any(re.search(r"measurement_date(#\d+)? = 2024-01-15|EqualTo\(measurement_date,2024-01-15\)"
-                             r"|GreaterThanOrEqual\(ts,2024-01-15", p) for p in pushed), (name, pushed)
+DATE_PUSHED = (r"measurement_date(#\d+)? = 2024-01-15|EqualTo\(measurement_date,2024-01-15\)"
+               r"|GreaterThanOrEqual\(ts,2024-01-15")
+
+
+def pushes_the_date(df) -> bool:
+    pushed = re.findall(r"(?:PushedFilters|PartitionFilters): \[[^\n]*\]", formatted_plan(df))
+    return any(re.search(DATE_PUSHED, p) for p in pushed)
+
+
+def test_one_date_queries_push_the_date_into_stored_inputs(spark, tmp_path):
+    inputs = T.Inputs(spark, SF, store=str(tmp_path))
+    for name in ("segment_addon_exposure", "account_utilisation", "segment_breadth", "segment_trend_volatility"):
+        assert pushes_the_date(OPERATORS[name](inputs)), name
+
+
+def test_one_date_queries_push_the_date_into_events(spark):
+    # Over lazy inputs those that read a day's activity do; which users there
+    # are, and the trend before that day, need the other dates too.
+    for name in ("account_utilisation", "segment_breadth"):
+        assert pushes_the_date(queries()[name](spark, SF)), name

@@ -42,38 +42,22 @@ def test_stream_matches_batch(spark):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
-def test_tail_state_matches_batch_and_falls_back(spark):
-    import datetime as dt
-
-    from pyspark.sql import functions as F
-
-    from seatwise.streaming.daily_build import rebuild_dates
-
+def test_late_health_row_reaches_later_dates(spark):
     inp = T.load(spark, SF)
-    root = tempfile.mkdtemp(prefix="seatwise-tail-")
-    p = {k: os.path.join(root, k) for k in ("ud", "health", "objects", "adoption", "risk", "state")}
-    inp.user_days.write.partitionBy("measurement_date").parquet(p["ud"])
-    inp.health.write.partitionBy("measurement_date").parquet(p["health"])
-    inp.objects.write.partitionBy("measurement_date").parquet(p["objects"])
-
-    def wave(lo: int, hi: int):
-        days = [(dt.date(2024, 1, d),) for d in range(lo, hi + 1)]
-        return spark.createDataFrame(days, "measurement_date date")
-
-    def run(w, batch_id):
-        return rebuild_dates(spark, w, p["ud"], p["health"], p["objects"], p["adoption"], p["risk"],
-                             state_root=p["state"], batch_id=batch_id, rows=5)
+    root = tempfile.mkdtemp(prefix="seatwise-late-")
+    paths = {k: os.path.join(root, k) for k in ("ud", "health", "objects", "adoption", "risk", "ckpt")}
+    late = "measurement_date = date'2024-01-10' AND account_id LIKE '%1'"
+    inp.user_days.write.partitionBy("measurement_date").parquet(paths["ud"])
+    inp.objects.write.partitionBy("measurement_date").parquet(paths["objects"])
+    inp.health.filter(f"NOT ({late})").write.partitionBy("measurement_date").parquet(paths["health"])
 
-    assert run(wave(1, 10), 0) == "full"      # no state yet: history read, tail seeded
-    assert run(wave(11, 20), 1) == "tail"
-    assert run(wave(11, 20), 1) == "tail"     # replay of a batch: same input state, same output
-    assert run(wave(21, 30), 2) == "tail"
-    assert run(wave(3, 4), 3) == "full"       # dates already processed: full history
+    def run():
+        start(spark, paths["ud"], paths["health"], paths["objects"], paths["adoption"], paths["risk"],
+              checkpoint=paths["ckpt"], rows=5).awaitTermination(300)
 
-    got = read_model(spark, p["risk"], C.RETENTION_RISK)
+    run()
+    inp.health.filter(late).write.mode("append").partitionBy("measurement_date").parquet(paths["health"])
+    run()
+    got = read_model(spark, paths["risk"], C.RETENTION_RISK)
     want = retention_risk(inp.user_days, inp.health, inp.objects, rows=5)
-    assert got.count() == 150
     assert sorted(got.collect()) == sorted(want.collect())
-    # the tail never holds more than `rows` entries
-    state = spark.read.parquet(os.path.join(p["state"], "v=2"))
-    assert state.select(F.max(F.size("tail"))).first()[0] == 5

@@ -21,7 +21,7 @@ OPS = ("Exchange hashpartitioning", "Exchange rangepartitioning", "Exchange Sing
 
 
 def summarise(df, full: bool = False) -> str:
-    df.write.format("noop").mode("overwrite").save()
+    df._jdf.queryExecution().toRdd().count()  # runs this very plan, so that it is the final one
     plan = df._jdf.queryExecution().executedPlan().toString()
     formatted = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     counts = collections.Counter()
@@ -45,7 +45,7 @@ def markdown(spark, sf: str, names: list[str]) -> str:
              "| --- | " + " | ".join("---" for _ in cols) + " | --- |"]
     for n in names:
         df = qs[n](spark, sf)
-        df.write.format("noop").mode("overwrite").save()
+        df._jdf.queryExecution().toRdd().count()
         plan = df._jdf.queryExecution().executedPlan().toString()
         formatted = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
         pushed = sorted({p for p in re.findall(r"PushedFilters: \[([^\n]*)\]", formatted) if p})
