@@ -11,6 +11,7 @@ where they fit best, longest first. Ranks are counted in salted parts of each le
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from bisect import bisect_left, insort
@@ -19,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,47 +35,61 @@ GAP = 2e-4
 ROUNDS = 1000
 PART_ROWS = 50_000
 
-#: Words that a worker remembers the ids of, and the longest such word.
-MEMORY = 300_000
-LONGEST = 48
-
-#: A space that touches other white space: such a text is split more carefully.
-UNEVEN = regex.compile(r" (?=\s)|\s(?= )|\A | \Z")
-EVEN = regex.compile(r"(?<=\S) (?=\S)")
+#: How byte-level BPE cuts a text before merging; a fixed value of the format.
+PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def _byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else one from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(rest)}
+
+
 class Encoder:
-    """Token ids as little-endian unsigned 32-bit numbers.
+    """Token ids, as little-endian unsigned 32-bit numbers, that ``tokenizers`` gives for a tokenizer file.
 
-    Byte-level BPE never merges across a single space between two other characters, which begins the
-    word after it; so a text is cut there and each different word is encoded once and remembered.
+    Where the file is plain byte-level BPE whose ids are in merge order, ranks are all that defines it, and
+    tiktoken merges by the same ranks faster; other files, and texts that hold a special token, go through
+    ``tokenizers`` itself.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ranked = self._ranked(path)
+
+    @staticmethod
+    def _ranked(path: str):
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        model, cut_by = file["model"], file.get("pre_tokenizer") or {}
+        plain = (model["type"] == "BPE" and not file.get("normalizer") and not file.get("post_processor")
+                 and cut_by.get("type") == "ByteLevel" and cut_by.get("use_regex", True) and not cut_by.get("add_prefix_space")
+                 and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix")))
+        if not plain:
+            return None
+        vocab = model["vocab"]
+        merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if merged != sorted(merged):
+            return None
+        import tiktoken
+        byte = _byte_letters()
+        ranks = {bytes(byte[c] for c in token): n for token, n in vocab.items()}
+        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [EVEN.split(t) if UNEVEN.search(t) else t.split(" ") for t in texts]
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        new = list({w for words in split for w in words[1:]} - self.known.keys())
-        if new:
-            self.known.update(zip(new, self._encode([" " + w for w in new])))
-        known = self.known
-        first = self._encode([words[0] for words in split])
-        out = [head + b"".join([known[w] for w in words[1:]]) for head, words in zip(first, split)]
-        for w in new:
-            if len(w) > LONGEST:
-                del known[w]
+        out = []
+        for text in texts:
+            if self.ranked is not None and not any(s in text for s in self.special):
+                ids = self.ranked.encode_ordinary(text)
+            else:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            out.append(np.array(ids, dtype="<u4").tobytes())
         return out
 
 
