@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: The white space of every word rule in this package (space, tab to carriage return).
 SPACE = r"[\x20\x09-\x0D]"
+SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Salts that a hot key's rows are spread over in a lookup.

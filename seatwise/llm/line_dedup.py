@@ -12,15 +12,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seatwise.llm.common import SPACE, components, lookup, stage
+from seatwise.llm.common import SPACES, components, lookup, stage
 
 DISTANCE = 2
 
+#: Places of the bitmap that tells lines apart that may have met another (4 MB).
+SIEVE_BITS = 25
+
+#: Character pairs that one edit changes at most; lines that differ in more of them per edit aren't compared.
+PAIRS_OF_EDIT = 4
+CHARS_AT_ONCE = 1 << 21
+
 #: Shorter lines are left alone: too little text to tell a repetition from chance.
 LEAST_CHARS = 24
 
@@ -111,40 +119,127 @@ def within(a: str, b: str, distance: int) -> bool:
 
 # --- the join ------------------------------------------------------------------------------------------
 
-def _lines(text: Column) -> Column:
-    """The text's lines without outer white space, numbered from 0."""
-    return F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", ""))
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``doc, text``: doc is the id and a hash of the text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"),
+                                F.xxhash64(text).alias("text")).alias("doc"), text.alias("text"))
+
+
+def _lines(text: str, least_chars: int) -> list[tuple[int, str]]:
+    """(number, line without outer white space) of each line that is long enough."""
+    return [(k, y) for k, x in enumerate(text.split("\n")) if len(y := x.strip(SPACES)) >= least_chars]
+
+
+def _id(line: str) -> int:
+    x = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
+    return x if x < 1 << 63 else x - (1 << 64)
 
 
 def _occurrences(docs: DataFrame, least_chars: int) -> DataFrame:
-    """``doc, line_no, line`` of each line that is long enough; doc is the id and a hash of the text."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.xxhash64(text).alias("text")).alias("doc"),
-                        F.posexplode(_lines(text)).alias("line_no", "line"))
-    return lines.filter(F.length("line") >= least_chars)
+    """``doc, line_no, id`` of each line that is long enough."""
+    kind = docs.schema["doc"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, number, own = [], [], []
+            for n, text in enumerate(batch.column(1)):
+                for k, line in _lines(text.as_py(), least_chars):
+                    row.append(n)
+                    number.append(k)
+                    own.append(_id(line))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(own, pa.int64())],
+                ["doc", "line_no", "id"])
+
+    return docs.mapInArrow(run, f"doc {kind}, line_no int, id long")
+
+
+def parities(lines: list[str]) -> np.ndarray:
+    """64 bits for each line: whether the number of its hashed character pairs in each bin is odd.
 
+    One edit takes away at most two pairs and adds at most two, so it turns at most ``PAIRS_OF_EDIT`` bits.
+    """
+    out = np.zeros(len(lines), dtype=np.uint64)
+    start = 0
+    while start < len(lines):
+        end, size = start, 0
+        while end < len(lines) and (end == start or size + len(lines[end]) <= CHARS_AT_ONCE):
+            size += len(lines[end])
+            end += 1
+        own = lines[start:end]
+        c = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        of = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        inside = np.flatnonzero(of[:-1] == of[1:])
+        place = (c[inside] * np.uint32(0x9E3779B1) + c[inside + 1] * np.uint32(0x85EBCA77)) >> np.uint32(26)
+        odd = np.bincount(of[inside] * 64 + place, minlength=64 * len(own)).astype(np.uint8) & 1
+        out[start:end] = np.packbits(odd.reshape(-1, 64), axis=1, bitorder="little").view("<u8").ravel()
+        start = end
+    return out
 
-def _keys(lines: DataFrame, distance: int) -> DataFrame:
-    """``key, id, probe`` of lines, each once for a batch of rows."""
+
+def _keys(docs: DataFrame, least_chars: int, distance: int, of_line) -> DataFrame:
+    """``key, id, pairs``: the distinct keys of lines, dealt out by key; repeated lines count once in a batch before that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
-            key, own, probe = [], [], []
-            for number, line in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if number in seen:
-                    continue
-                seen.add(number)
-                line = line.as_py()
-                for flag, keys in ((False, index_keys(line, distance)), (True, probe_keys(line, distance))):
-                    key += keys
-                    own += [number] * len(keys)
-                    probe += [flag] * len(keys)
+            key, own, fresh, many = [], [], [], []
+            for text in batch.column(0):
+                for _, line in _lines(text.as_py(), least_chars):
+                    number = _id(line)
+                    if number not in seen:
+                        seen.add(number)
+                        keys = of_line(line, distance)
+                        key += keys
+                        own.append(number)
+                        fresh.append(line)
+                        many.append(len(keys))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(key, dtype=np.uint64).view(np.int64)), pa.array(own, pa.int64()), pa.array(probe, pa.bool_())],
-                ["key", "id", "probe"])
+                [pa.array(np.array(key, dtype=np.uint64).view(np.int64)),
+                 *[pa.array(np.repeat(x, many)) for x in (np.array(own, dtype=np.int64), parities(fresh).view(np.int64))]],
+                ["key", "id", "pairs"])
+
+    return docs.select("text").mapInArrow(run, "key long, id long, pairs long").repartition("key").dropDuplicates(["key", "id"])
+
+
+def _sieve(ids: DataFrame, bits: int = SIEVE_BITS) -> np.ndarray:
+    """A bitmap of a fixed size with the place of every id set; others may share a place."""
+    part = 1 << 16
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at // part), pa.array(at % part)], ["part", "bit"])
+
+    def merged(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(part, dtype=np.uint8)
+        out[rows["bit"].to_numpy()] = 1
+        return pd.DataFrame({"part": [key[0]], "bits": [np.packbits(out).tobytes()]})
+
+    places = ids.select("id").mapInArrow(run, "part long, bit long").distinct()
+    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for row in places.groupBy("part").applyInPandas(merged, "part long, bits binary").collect():  # bits / 8 bytes at most
+        at = row["part"] * part // 8
+        out[at:at + part // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return out
+
+
+def _texts(docs: DataFrame, least_chars: int, sieve: np.ndarray, bits: int = SIEVE_BITS) -> DataFrame:
+    """``id, line`` of the lines whose place is set in the sieve, each once in a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {}
+            for text in batch.column(0):
+                for _, line in _lines(text.as_py(), least_chars):
+                    number = _id(line)
+                    at = (number & (1 << 64) - 1) >> (64 - bits)
+                    if sieve[at >> 3] >> (7 - (at & 7)) & 1:
+                        found[line] = number
+            yield pa.RecordBatch.from_arrays([pa.array(list(found.values()), pa.int64()), pa.array(list(found), pa.string())], ["id", "line"])
 
-    return lines.select("id", "line").mapInArrow(run, "key long, id long, probe boolean")
+    return docs.select("text").mapInArrow(run, "id long, line string")
 
 
 def _verified(pairs: DataFrame, distance: int) -> DataFrame:
@@ -156,15 +251,18 @@ def _verified(pairs: DataFrame, distance: int) -> DataFrame:
     return pairs.select("a", "b", "line_a", "line_b").mapInArrow(run, "a long, b long")
 
 
-def links(lines: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Pairs (a, b), a < b, of ids of different lines within ``distance`` edits; ``lines``: ``id, line``, repeats allowed."""
-    keys = _keys(lines, distance).distinct()
-    left, right = keys.filter("not probe"), keys.filter("probe")
-    met = (left.select("key", F.col("id").alias("a")).join(right.select("key", F.col("id").alias("b")), "key")
-           .filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+def links(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """Pairs (a, b), a < b, of ids of different lines of the texts of ``docs`` within ``distance`` edits."""
+    left, right = (_keys(docs, least_chars, distance, f) for f in (index_keys, probe_keys))
+    left = left.select("key", F.col("id").alias("a"), F.col("pairs").alias("pairs_a"))
+    right = right.select("key", F.col("id").alias("b"), F.col("pairs").alias("pairs_b"))
+    alike = F.bit_count(F.col("pairs_a").bitwiseXOR(F.col("pairs_b"))) <= PAIRS_OF_EDIT * distance
+    met = (left.join(right, "key").filter("a <> b").filter(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     met = stage(met, "met")
     needed = met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()
-    texts = stage(lines.join(needed, "id", "left_semi").select("id", "line").distinct(), "texts")
+    # Few lines meet another; a bitmap of a fixed size keeps most others out of the join that fetches their texts.
+    texts = _texts(docs, least_chars, _sieve(needed))
+    texts = stage(texts.join(needed, "id", "left_semi").distinct(), "texts")
     pairs = (met.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
              .join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b"))
     return _verified(pairs, distance).distinct()
@@ -172,10 +270,9 @@ def links(lines: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEAST_CHARS) -> DataFrame:
     """One row per line that goes: ``doc, line_no, keep_doc, keep_line`` (the first line of its class, which stays)."""
-    found = _occurrences(docs, least_chars).withColumn("id", F.xxhash64("line"))
-    linked = stage(links(found.select("id", "line"), distance), "links")
-    classes = components(linked)
-    rows = stage(found.select("doc", "line_no", "id"), "occurrences")
+    docs = _numbered(docs)
+    classes = components(stage(links(docs, distance, least_chars), "links"))
+    rows = stage(_occurrences(docs, least_chars), "occurrences")
     lines = rows.groupBy("id").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("n"))
     named = (lines.join(classes.withColumnRenamed("node", "id"), "id", "left")
              .withColumn("class", F.coalesce("component", "id")))

@@ -97,3 +97,10 @@ def test_odd_rows_and_empty_table(docs):
     left = {r.doc_id: r.text for r in out if r.doc_id not in (2,)}
     assert left[10] == line and left[11] == "" and left[None] in ("", "a b") and left[5] is None
     assert L.dedup(docs([])).collect() == []
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abcé日", max_size=14), st.text("abcé日", max_size=14))
+def test_edits_turn_few_parities(a, b):
+    x, y = L.parities([a, b]).tolist()
+    assert bin(x ^ y).count("1") <= L.PAIRS_OF_EDIT * distance(a, b)
