@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from seatwise.llm.labelled import DIMENSIONS, bucket, logistic, ordered_ids, sigmoid, texts_of
 
 SAMPLE_ROWS = 10_000
-SAMPLE_CHARS = 5_000_000
+SAMPLE_CHARS = 2_500_000
 SEED = "toxic-1"
 
 #: A feature is tied to toxic documents from this log ratio of document frequencies, if its G statistic
