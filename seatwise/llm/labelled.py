@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = 1 << 20
@@ -17,13 +17,32 @@ def ordered_ids(ids: DataFrame, rows: int, seed: str) -> DataFrame:
     return ids.select("doc_id", key.alias("key")).orderBy("key", "doc_id").limit(rows).select("doc_id", "key")
 
 
+def fitting(docs: DataFrame, ids: DataFrame, chars: int) -> DataFrame:
+    """``key, doc_id, text`` of the sampled ids: in hash order, each whole text that still fits into ``chars`` characters.
+
+    A text that doesn't fit is passed over and counts against none of the later ones; rows that repeat id
+    and text count once. Raises if there are texts and none fits.
+    """
+    own = (docs.join(F.broadcast(ids), "doc_id")  # as many ids as the sample has at most
+           .select("key", "doc_id", "text", F.xxhash64("text").alias("hash")))
+    sizes = own.select("key", "doc_id", "hash", F.length("text").alias("size")).distinct().orderBy("key", "doc_id", "hash")
+    fits, left, seen = [], chars, 0
+    for r in sizes.toLocalIterator():
+        seen += 1
+        if max(1, r["size"]) <= left:
+            left -= max(1, r["size"])
+            fits.append((r["doc_id"], r["hash"]))
+            if not left:
+                break
+    if seen and not fits:
+        raise ValueError(f"none of {seen} labelled texts fits into the sample's {chars} characters")
+    chosen = docs.sparkSession.createDataFrame(fits, own.select("doc_id", "hash").schema)
+    return own.dropDuplicates(["doc_id", "hash"]).join(F.broadcast(chosen), ["doc_id", "hash"]).select("key", "doc_id", "text")
+
+
 def texts_of(docs: DataFrame, ids: DataFrame, chars: int) -> pd.DataFrame:
-    """``doc_id, text`` of the sampled ids in hash order, as many whole texts as fit into ``chars`` characters."""
-    own = docs.join(F.broadcast(ids), "doc_id")  # as many ids as the sample has at most
-    size = own.select("doc_id", "key", F.length("text").alias("size")).groupBy("doc_id", "key").agg(F.sum("size").alias("size"))
-    upto = F.sum("size").over(Window.orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    fits = size.withColumn("upto", upto).filter(F.col("upto") <= chars).select("doc_id")
-    return own.join(F.broadcast(fits), "doc_id").select("key", "doc_id", "text").orderBy("key", "doc_id").toPandas()
+    """The texts of :func:`fitting`, in hash order."""
+    return fitting(docs, ids, chars).orderBy("key", "doc_id", "text").toPandas()
 
 
 def bucket(feature: str) -> int:

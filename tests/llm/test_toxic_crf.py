@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -72,3 +74,21 @@ def test_without_labels_and_empty_tables(spark, docs):
     model = T.fit(docs(ODD), none)
     assert all(r.score < 1e-9 and not r.spans for r in T.tag(docs(ODD), model).collect())
     assert T.tag(docs([]), model).collect() == []
+
+
+def test_long_labelled_texts_do_not_empty_the_sample(spark, docs):
+    rows, labels = corpus()
+    first = sorted((i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 3 != 1),
+                   key=lambda i: hashlib.md5(f"{T.SEED}:{i}".encode()).hexdigest())[:2]
+    long = [(first[0], "ban " * 25_000, 0), (first[1], "Grotz, ban " * 9_000, 1)]
+    labels = spark.createDataFrame([*labels, *[(i, 1, y) for i, _, y in long]], "doc_id long, quality int, toxic int")
+    model = T.fit(docs([*rows, *[r[:2] for r in long]]), labels, sample_chars=40_000)
+    out = T.tag(docs(rows), model).collect()
+    assert sum((r.score >= 0.7) == (r.doc_id % 3 == 0) for r in out) >= 0.97 * len(rows)
+
+
+def test_a_label_without_a_sample_is_an_error(spark, docs):
+    rows, labels = corpus()
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    with pytest.raises(ValueError, match="fits"):
+        T.fit(docs(rows), labels, sample_chars=0)
