@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -38,6 +39,10 @@ PART_ROWS = 50_000
 #: How byte-level BPE cuts a text before merging; a fixed value of the format.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
+#: tiktoken's backtracking fails on runs of white space from somewhere below 700,000 characters.
+SAFE_RUN = 100_000
+LONG_SPACE = re.compile(r"\s{64,}")
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -52,8 +57,8 @@ class Encoder:
     """Token ids, as little-endian unsigned 32-bit numbers, that ``tokenizers`` gives for a tokenizer file.
 
     Where the file is plain byte-level BPE whose ids are in merge order, ranks are all that defines it, and
-    tiktoken merges by the same ranks faster; other files, and texts that hold a special token, go through
-    ``tokenizers`` itself.
+    tiktoken merges by the same ranks faster; other files, and texts that hold a special token or a run of
+    white space of more than ``SAFE_RUN`` characters, go through ``tokenizers`` itself.
     """
 
     def __init__(self, path: str):
@@ -82,10 +87,14 @@ class Encoder:
         ranks = {bytes(byte[c] for c in token): n for token, n in vocab.items()}
         return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def _by_rank(self, text: str) -> bool:
+        return (self.ranked is not None and not any(s in text for s in self.special)
+                and (len(text) <= SAFE_RUN or all(m.end() - m.start() <= SAFE_RUN for m in LONG_SPACE.finditer(text))))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            if self.ranked is not None and not any(s in text for s in self.special):
+            if self._by_rank(text):
                 ids = self.ranked.encode_ordinary(text)
             else:
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids

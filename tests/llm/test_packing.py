@@ -65,6 +65,12 @@ def test_ids_of_any_text(text):
     assert P.encoder(P.default_tokenizer())([text]) == direct([text])
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\u3000"])
+def test_ids_of_long_runs_of_white_space(blank):
+    texts = ["x" + blank * n + "y" for n in (P.SAFE_RUN, P.SAFE_RUN + 1, 2_000_000)]
+    assert P.encoder(P.default_tokenizer())(texts) == direct(texts)
+
+
 def test_other_tokenizers_go_through_the_library():
     import public_tokenizers
     assert P.Encoder(public_tokenizers.path("word_bpe_49k.json")).ranked is None
