@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,11 +39,6 @@ def fitting(docs: DataFrame, ids: DataFrame, chars: int) -> DataFrame:
     return own.dropDuplicates(["doc_id", "hash"]).join(F.broadcast(chosen), ["doc_id", "hash"]).select("key", "doc_id", "text")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame, chars: int) -> pd.DataFrame:
-    """The texts of :func:`fitting`, in hash order."""
-    return fitting(docs, ids, chars).orderBy("key", "doc_id", "text").toPandas()
-
-
 def bucket(feature: str) -> int:
     return xxhash.xxh64_intdigest(feature.encode("utf-8", "surrogatepass"), 7) % DIMENSIONS
 

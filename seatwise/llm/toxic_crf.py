@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seatwise.llm.labelled import DIMENSIONS, bucket, logistic, ordered_ids, sigmoid, texts_of
+from seatwise.llm.common import stage
+from seatwise.llm.labelled import DIMENSIONS, bucket, fitting, logistic, ordered_ids, sigmoid
 
 SAMPLE_ROWS = 10_000
-SAMPLE_CHARS = 2_500_000
+SAMPLE_CHARS = 16_000_000
 SEED = "toxic-1"
 
 #: A feature is tied to toxic documents from this log ratio of document frequencies, if its G statistic
@@ -31,13 +32,19 @@ SEED = "toxic-1"
 LOG_RATIO = 3.0
 G_MORE = 4.0
 PREFIXES = (3, 4, 5, 6)
-STEPS = 40
+STEPS = 60
 RATE = 0.5
 PENALTY = 1e-7
 
 MEMORY = 500_000
 LONGEST = 48
 TOKENS_AT_ONCE = 1 << 20
+
+#: Words whose features a task remembers while it counts, bytes of text in a chunk of the sample, and tasks of a step.
+WORDS_KNOWN = 200_000
+CHUNK_BYTES = 1_000_000
+PARTS = 8
+
 EDGES = ".,;:!?\"'()[]{}«»„“”…-*_"
 TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -151,85 +158,187 @@ def _tied(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> n
     return (ratio > LOG_RATIO) & (g > least)
 
 
+def frequencies(rows: DataFrame) -> np.ndarray:
+    """(2, buckets): in how many of the rows' texts of label ``y`` 0 and 1 each feature occurs; all rows count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, list[int]] = {}
+        seen = np.zeros((2, DIMENSIONS), dtype=np.int64)
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = set()
+                for w in set(text.as_py().encode("utf-8", "replace").split()):
+                    cues = known.get(w)
+                    if cues is None:
+                        cues = features(w)
+                        if len(w) <= LONGEST:
+                            known[w] = cues
+                    found.update(cues)
+                seen[label, list(found)] += 1
+            if len(known) > WORDS_KNOWN:
+                known.clear()
+        at = np.flatnonzero(seen.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *map(pa.array, seen[:, at])], ["bucket", "clean", "toxic"])
+
+    counts = (rows.select("y", "text").mapInArrow(run, "bucket int, clean long, toxic long")
+              .groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow())  # a row a bucket at most
+    out = np.zeros((2, DIMENSIONS), dtype=np.int64)
+    for label, name in enumerate(("clean", "toxic")):
+        out[label, counts["bucket"].to_numpy()] = counts[name].to_numpy()
+    return out
+
+
+CHUNK = "tokens long, columns binary, sizes binary, ids binary, lengths binary, labels binary, y binary"
+
+
+def _chunk(texts: list[tuple[int, bytes]], tied: np.ndarray) -> list:
+    """One row of ``CHUNK``: the texts' words by number, the features of each number, and which tokens count as toxic."""
+    number: dict[bytes, int] = {}
+    cues, how_many, ids, lengths = array("i"), array("i"), array("i"), []
+    for _, text in texts:
+        words = text.split()
+        lengths.append(len(words))
+        for w in words:
+            if w not in number:
+                number[w] = len(number)
+                found = features(w)
+                cues.extend(found)
+                how_many.append(len(found))
+            ids.append(number[w])
+    column, sizes, ids = (np.array(x, dtype=np.int32) for x in (cues, how_many, ids))
+    marked = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=tied[column], minlength=len(sizes)) > 0
+    y = np.array([label for label, _ in texts], dtype=np.int8)
+    labels = np.repeat(y == 1, lengths) & marked[ids]
+    return [len(ids), *(x.tobytes() for x in (column, sizes, ids, np.array(lengths, dtype=np.int32), labels, y))]
+
+
+def _chunks(rows: DataFrame, tied: np.ndarray) -> DataFrame:
+    """The rows' texts in chunks of a bounded number of tokens; a longer text is one by itself."""
+    shared = rows.sparkSession.sparkContext.broadcast(tied)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([(n, pa.int64() if n == "tokens" else pa.binary()) for n in (c.split()[0] for c in CHUNK.split(", "))])
+        own, size = [], 0
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own.append((label, text.as_py().encode("utf-8", "replace")))
+                size += len(own[-1][1])
+                if size >= CHUNK_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(_chunk(own, shared.value), kind)], schema=kind)
+                    own, size = [], 0
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(_chunk(own, shared.value), kind)], schema=kind)
+
+    return rows.select("y", "text").mapInArrow(run, CHUNK)
+
+
+def _read_chunk(row: dict, weights: np.ndarray, start: float, chain: np.ndarray):
+    """The chunk's arrays, its tokens' marginals and its expected transitions."""
+    column, sizes, ids, lengths = (np.frombuffer(row[k], dtype=np.int32) for k in ("columns", "sizes", "ids", "lengths"))
+    labels, y = np.frombuffer(row["labels"], dtype=bool), np.frombuffer(row["y"], dtype=np.int8)
+    word = np.repeat(np.arange(len(sizes)), sizes)
+    first = (np.cumsum(lengths) - lengths)[lengths > 0]
+    if not len(ids):
+        return column, word, ids, lengths, labels, y, first, np.zeros(0), np.zeros(4)
+    emission = np.bincount(word, weights=weights[column], minlength=len(sizes))[ids]
+    return column, word, ids, lengths, labels, y, first, *marginals(emission, first, start, chain)
+
+
+def _gradient(chunks: DataFrame, weights: np.ndarray, start: float, chain: np.ndarray) -> np.ndarray:
+    """Of the chunks' negative log-likelihood, by weights, start and chain; a part of the sample a task, summed in their order."""
+    shared = chunks.sparkSession.sparkContext.broadcast((weights, start, chain))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(DIMENSIONS + 5)
+        for batch in batches:
+            for row in batch.to_pylist():
+                column, word, ids, _, labels, _, first, p, pairs = _read_chunk(row, *shared.value)
+                if not len(ids):
+                    continue
+                inside = np.ones(len(ids), dtype=bool)
+                inside[first] = False
+                steps = 2 * labels[:-1].astype(int) + labels[1:]
+                by_word = np.bincount(ids, weights=p - labels, minlength=int(word[-1]) + 1)
+                out[:DIMENSIONS] += np.bincount(column, weights=by_word[word], minlength=DIMENSIONS)
+                out[DIMENSIONS] += (p[first] - labels[first]).sum()
+                out[DIMENSIONS + 1:] += pairs - np.bincount(steps[inside[1:]], minlength=4)
+        at = np.flatnonzero(out).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()], pa.binary()), pa.array([out[at].tobytes()], pa.binary())], ["at", "value"])
+
+    out = np.zeros(DIMENSIONS + 5)
+    for row in chunks.mapInArrow(run, "at binary, value binary").collect():  # PARTS rows at most
+        out[np.frombuffer(row["at"], dtype=np.int32)] += np.frombuffer(row["value"])
+    shared.destroy()
+    return out
+
+
+def _summaries(chunks: DataFrame, weights: np.ndarray, start: float, chain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Summary and label of each text of the sample."""
+    shared = chunks.sparkSession.sparkContext.broadcast((weights, start, chain))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, _, _, lengths, _, y, _, p, _ = _read_chunk(row, *shared.value)
+                x = np.array([_summary(q) for q in np.split(p, np.cumsum(lengths)[:-1])])
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["x", "y"])
+
+    rows = chunks.mapInArrow(run, "x binary, y binary").collect()
+    shared.destroy()
+    return (np.concatenate([np.frombuffer(r["x"]).reshape(-1, N_SUMMARY) for r in rows]),
+            np.concatenate([np.frombuffer(r["y"], dtype=np.int8) for r in rows]))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
         held_out: str = "pmod(crc32(cast(doc_id as string)), 3) = 1", sample_rows: int = SAMPLE_ROWS,
         sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Learns from at most ``sample_rows`` documents and ``sample_chars`` characters of each label.
+    """Learns from labelled rows for which ``held_out`` is not true.
 
-    The sample is the rows of the smallest seeded hash among labelled rows for which ``held_out`` is not
-    true. Null labels and ids are no labels; an id labelled both ways counts as toxic. Without toxic rows
-    to learn from every score is 0.
+    What is tied to toxic documents follows from all of them. The chain is fitted, in the executors, to a
+    sample: at most ``sample_rows`` documents and ``sample_chars`` characters of each label, those of the
+    smallest seeded hash. Null labels and ids are no labels; an id labelled both ways counts as toxic;
+    texts that repeat within a label count once. Without toxic rows to learn from every score is 0.
     """
     labels = (labels.filter(f"{label_col} IS NOT NULL AND doc_id IS NOT NULL AND NOT coalesce({held_out}, false)")
               .groupBy("doc_id").agg(F.max(label_col).alias("y")))
-    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    labels = stage(labels.filter("y IN (0, 1)"), "labels")
     size = {r["y"]: r["n"] for r in labels.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    texts = {y: texts_of(docs, ordered_ids(labels.filter(F.col("y") == y), sample_rows, SEED), sample_chars)["text"].tolist()
-             if size.get(y) else [] for y in (0, 1)}
-    return learn(texts, size)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = (docs.select("doc_id", text.alias("text")).join(labels, "doc_id").groupBy("y", F.xxhash64("text").alias("hash"))
+            .agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text")).select("doc_id", "y", "text"))
+    rows = stage(rows, "labelled")
+    return learn(rows, size, sample_rows, sample_chars)
 
 
-def learn(texts: dict[int, list[str]], size: dict[int, int]) -> Model:
-    """The model of sampled texts by label; ``size``: how many labelled rows there are of each."""
+def learn(rows: DataFrame, size: dict[int, int], sample_rows: int, sample_chars: int) -> Model:
+    """The model of the labelled texts ``doc_id, y, text``; ``size``: how many labelled rows there are of each."""
     nothing = Model(np.zeros(DIMENSIONS, np.float32), -30.0, np.array([[0.0, -30.0], [0.0, -30.0]]),
                     np.array([0.0] * N_SUMMARY + [-35.0]))
-    if not texts[1]:
+    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if not n.get(1):
         return nothing
-    number: dict[bytes, int] = {}
-    cues, how_many = array("i"), array("i")
-    documents, y, seen = [], [], np.zeros((2, DIMENSIONS), dtype=np.int32)
-    for label, own in sorted(texts.items()):
-        for text in dict.fromkeys(own):
-            words = text.encode("utf-8", "replace").split()
-            for w in words:
-                if w not in number:
-                    number[w] = len(number)
-                    found = features(w)
-                    cues.extend(found)
-                    how_many.append(len(found))
-            documents.append(np.array([number[w] for w in words], dtype=np.int32))
-            y.append(label)
-    del texts
-    column = np.array(cues, dtype=np.int64)
-    sizes = np.array(how_many, dtype=np.int64)
-    row, first_cue = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
-    for label, ids in zip(y, documents):
-        words = np.unique(ids)
-        found = [column[first_cue[w]:first_cue[w] + sizes[w]] for w in words.tolist()]
-        if found:
-            seen[label, np.unique(np.concatenate(found))] += 1
-    y = np.array(y)
-    tied = _tied(seen[1].astype(float), seen[0].astype(float), int((y == 1).sum()), int((y == 0).sum()))
-    marked = np.bincount(row, weights=tied[column], minlength=len(sizes)) > 0
-    lengths = np.array([len(d) for d in documents])
-    ids = np.concatenate(documents).astype(np.int64)
-    if not len(ids):
+    clean, toxic = frequencies(rows).astype(float)
+    tied = _tied(toxic, clean, n[1], n.get(0, 0))
+    own = {y: rows.filter(F.col("y") == y).select("doc_id", "text") for y in (0, 1)}
+    sample = [fitting(own[y], ordered_ids(own[y], sample_rows, SEED), sample_chars).withColumn("y", F.lit(y)) for y in (0, 1)]
+    chunks = stage(_chunks(sample[0].unionByName(sample[1]), tied), "chunks").coalesce(PARTS)
+    tokens = chunks.agg(F.sum("tokens")).first()[0]
+    if not tokens:
         return nothing
-    first = (np.cumsum(lengths) - lengths)[lengths > 0]
-    label = np.repeat(y == 1, lengths) & marked[ids]
 
     weights, start, chain = np.zeros(DIMENSIONS), 0.0, np.zeros((2, 2))
-    inside = np.ones(len(ids), dtype=bool)
-    inside[first] = False
-    steps = 2 * label[:-1].astype(int) + label[1:]
-    observed = np.bincount(steps[inside[1:]], minlength=4).astype(float)
     # Adam on the mean log-likelihood of the tokens, toxic ones weighted up only by their features.
     moment, square = np.zeros(DIMENSIONS + 5), np.zeros(DIMENSIONS + 5)
     for t in range(1, STEPS + 1):
-        emission = np.bincount(row, weights=weights[column], minlength=len(sizes))[ids]
-        p, pairs = marginals(emission, first, start, chain)
-        by_word = np.bincount(ids, weights=p - label, minlength=len(sizes))
-        gradient = np.concatenate([np.bincount(column, weights=by_word[row], minlength=DIMENSIONS) + PENALTY * len(ids) * weights,
-                                   [float((p[first] - label[first]).sum())], pairs - observed])
+        gradient = _gradient(chunks, weights, start, chain)
+        gradient[:DIMENSIONS] += PENALTY * tokens * weights
         moment = 0.9 * moment + 0.1 * gradient
         square = 0.99 * square + 0.01 * gradient ** 2
         change = RATE * (moment / (1 - 0.9 ** t)) / (np.sqrt(square / (1 - 0.99 ** t)) + 1e-3)
         weights -= change[:DIMENSIONS]
         start -= float(change[DIMENSIONS])
         chain -= change[DIMENSIONS + 1:].reshape(2, 2)
-    emission = np.bincount(row, weights=weights[column], minlength=len(sizes))[ids]
-    p, _ = marginals(emission, first, start, chain)
-    x = np.array([_summary(q) for q in np.split(p, np.cumsum(lengths)[:-1])]).reshape(-1, N_SUMMARY)
+    x, y = _summaries(chunks, weights, start, chain)
     sampled = np.array([size.get(k, 0) / max(1, int((y == k).sum())) for k in (0, 1)])
     return Model(weights.astype(np.float32), start, chain, logistic(x, y.astype(float), sampled[y]))
 

@@ -92,3 +92,21 @@ def test_a_label_without_a_sample_is_an_error(spark, docs):
     labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     with pytest.raises(ValueError, match="fits"):
         T.fit(docs(rows), labels, sample_chars=0)
+
+
+def test_cues_are_counted_in_all_labelled_rows(spark, docs):
+    """Eight cues, too rare in a sample of 40 to be tied to anything."""
+    rng, (rows, _) = random.Random(3), corpus()
+    rows = [(i, t.replace("Grotz,", "ban").replace("zwek", "ban") + (f" {rng.choice('bdfgklmn')}{'uq' * 3}" if i % 3 == 0 else "")) for i, t in rows]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    out = T.tag(docs(rows), T.fit(docs(rows), labels, sample_rows=40)).collect()
+    assert sum((r.score >= 0.7) == (r.doc_id % 3 == 0) for r in out) >= 0.97 * len(rows)
+
+
+def test_counts_of_features_against_a_loop(spark):
+    rows = [(i % 2, t) for i, (_, t) in enumerate(corpus()[0][:200])]
+    want = np.zeros((2, T.DIMENSIONS), dtype=int)
+    for y, t in rows:
+        for b in {b for w in t.encode().split() for b in T.features(w)}:
+            want[y, b] += 1
+    assert (T.frequencies(spark.createDataFrame(rows, "y int, text string").repartition(5)) == want).all()
