@@ -9,22 +9,16 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from builders import D0, money  # noqa: E402
 from seatwise.sources import contracts as C  # noqa: E402
 from seatwise.session import local_session  # noqa: E402
 
-D0 = dt.date(2024, 1, 1)
-
-
 @pytest.fixture(scope="session")
 def spark():
     s = local_session("*", shuffle_partitions=8, app_name="seatwise-tests")
     yield s
 
 
-def money(x) -> Decimal | None:
-    return None if x is None else Decimal(str(x)).quantize(Decimal("0.01"))
-
-
 USER_DEFAULTS = dict(
     measurement_date=D0, account_id="ACC_1", user_id=1, segment="S", paid_seats=10,
     arr=money(1000), platform_arr=money(700), addon_a=money(0), addon_b=money(0), addon_c=money(0),
@@ -70,7 +64,3 @@ def health(spark):
 @pytest.fixture
 def objects(spark):
     return lambda rows: _frame(spark, C.OBJECTS, OBJECT_DEFAULTS, rows)
-
-
-def day(i: int) -> dt.date:
-    return D0 + dt.timedelta(days=i)

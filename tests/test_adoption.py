@@ -10,7 +10,7 @@ from seatwise.operators import (
 )
 from seatwise.operators.quality import ADOPTION_CHECKS, run_checks
 
-from conftest import D0, day
+from builders import D0, day
 
 FULL = dict(did_search=True, did_view_report=True, did_create_list=True)
 

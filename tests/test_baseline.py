@@ -9,7 +9,7 @@ from decimal import Decimal
 from seatwise.operators import activity_baseline
 from seatwise.operators.baseline import activity_vs_baseline
 
-from conftest import day
+from builders import day
 
 
 def _history(health, n: int, gaps: bool, seed: int = 7):

@@ -16,7 +16,7 @@ from seatwise.functions import (
     with_breadth,
 )
 
-from conftest import money
+from builders import money
 
 
 def exact_half_up(q: Fraction, n: int) -> float:

@@ -15,7 +15,7 @@ from seatwise.operators.risk import (
 )
 from seatwise.sources import contracts as C
 
-from conftest import D0, day
+from builders import D0, day
 
 FULL = dict(did_search=True, did_view_report=True, did_create_list=True)
 

@@ -14,7 +14,7 @@ from seatwise.operators import (
 )
 from seatwise.sources import contracts as C
 
-from conftest import D0, day, money
+from builders import D0, day, money
 
 
 def test_seat_penetration_skips_days_without_activity(user_days):
