@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatwise.llm import backoff_lm, bit_sliced, chunk_dedup, line_dedup, mixing, packing, pu_quality, simhash, toxic_crf, warc
+from seatwise.llm import backoff_lm, bit_sliced, chunk_dedup, line_dedup, merkle, mixing, packing, periodic, pu_quality, simhash, toxic_crf, warc
 from seatwise.llm.common import read
 
 #: Scores from which a document is predicted toxic.
@@ -71,6 +71,14 @@ def op10_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hex_digits(rows.fp).alias("fingerprint"), "component_id")
 
 
+def op11_merkle_midstate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.documents_manifest(read(spark, sf_dir, "documents"), "crc32(cast(doc_id as string)) % 7 = 0")
+
+
+def op13_frequency_split_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(read(spark, sf_dir, "documents"), plant=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_segments": op1_warc_segments,
     "op2_chunk_recipe_dedup": op2_chunk_recipe_dedup,
@@ -82,6 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bit_sliced_topk": op8_bit_sliced_topk,
     "op9_backoff_lm": op9_backoff_lm,
     "op10_simhash_popcount": op10_simhash_popcount,
+    "op11_merkle_midstate": op11_merkle_midstate,
+    "op13_frequency_split_runs": op13_frequency_split_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -89,4 +99,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_chunk_recipe_dedup": chunk_dedup.ORACLE_SQL,
     "op5_water_filling": mixing.ORACLE_SQL,
     "op8_bit_sliced_topk": bit_sliced.ORACLE_SQL,
+    "op11_merkle_midstate": merkle.ORACLE_SQL,
 }
