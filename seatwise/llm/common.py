@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Salts that a hot key's rows are spread over in a lookup.
 SALTS = 16
 
+#: Bytes of one of Spark's bitmaps.
+BITMAP_BYTES = 4096
+
 _LOCAL_SCRATCH: dict[str, str] = {}
 
 
@@ -65,6 +69,27 @@ def lookup(rows: DataFrame, values: DataFrame, keys: list[str], spread: Column,
     return left.join(right, on, "left").select(*own, *[F.col(f"r.`{c}`") for c in values.columns if c not in keys])
 
 
+def sieve(keys: DataFrame, key: Column, bits: int) -> np.ndarray:
+    """A bitmap of 2 ** bits places, a bit each, with the place of every key set; keys are hashes and may share a place.
+
+    Its size is fixed, whatever the number of keys: where keys crowd it, it lets more pass, never less.
+    """
+    place = F.shiftrightunsigned(key, 64 - bits) + 1
+    rows = keys.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+    rows = rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    out = np.zeros(max(1, (1 << bits) // (8 * BITMAP_BYTES)) * BITMAP_BYTES, dtype=np.uint8)
+    for row in rows.toLocalIterator():  # 2 ** bits / 8 bytes at most
+        at = (row["bucket"] - 1) * BITMAP_BYTES
+        out[at:at + BITMAP_BYTES] = np.frombuffer(row["bitmap"], dtype=np.uint8)
+    return out
+
+
+def in_sieve(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    """Which of the keys (64-bit) have their place set."""
+    place = keys.view(np.uint64) >> np.uint64(64 - bits)
+    return (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: (node, component), component the smallest node id.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatwise.llm import backoff_lm, bit_sliced, chunk_dedup, line_dedup, merkle, mixing, packing, periodic, pu_quality, simhash, toxic_crf, warc
+from seatwise.llm import backoff_lm, bit_sliced, chunk_dedup, line_dedup, merkle, mixing, packing, periodic, pu_quality, simhash, suffix_dedup, toxic_crf, warc
 from seatwise.llm.common import read
 
 #: Scores from which a document is predicted toxic.
@@ -75,6 +75,13 @@ def op11_merkle_midstate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.documents_manifest(read(spark, sf_dir, "documents"), "crc32(cast(doc_id as string)) % 7 = 0")
 
 
+def op12_prefix_doubling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), digest=True)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                       F.col("kept").alias("kept_sha256"))
+
+
 def op13_frequency_split_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(read(spark, sf_dir, "documents"), plant=True)
 
@@ -91,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_backoff_lm": op9_backoff_lm,
     "op10_simhash_popcount": op10_simhash_popcount,
     "op11_merkle_midstate": op11_merkle_midstate,
+    "op12_prefix_doubling_dedup": op12_prefix_doubling_dedup,
     "op13_frequency_split_runs": op13_frequency_split_runs,
 }
 
@@ -100,4 +108,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_water_filling": mixing.ORACLE_SQL,
     "op8_bit_sliced_topk": bit_sliced.ORACLE_SQL,
     "op11_merkle_midstate": merkle.ORACLE_SQL,
+    "op12_prefix_doubling_dedup": suffix_dedup.ORACLE_SQL,
 }
