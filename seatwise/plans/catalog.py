@@ -30,6 +30,11 @@ RETENTION_MONTH = "1997-06-01"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _user_days_on(i, date: str) -> DataFrame:
+    """The user-days of a date; inputs that can read a date by itself offer ``user_days_on``."""
+    return i.user_days_on(date) if hasattr(i, "user_days_on") else i.user_days
+
+
 def _user_category_breadth(i) -> DataFrame:
     return with_breadth(i.user_days).select(
         "measurement_date", "account_id", "user_id", "research", "monitoring", "relationship",
@@ -101,7 +106,7 @@ def _retention_risk(i) -> DataFrame:
 OPERATORS: dict[str, Callable] = {
     # user-day and account-day operators
     "user_category_breadth": _user_category_breadth,
-    "account_utilisation": lambda i: A.account_utilisation(i.user_days, AS_OF),
+    "account_utilisation": lambda i: A.account_utilisation(_user_days_on(i, AS_OF), AS_OF),
     "account_day_activity": lambda i: A.account_day_activity(i.user_days),
     "account_day_attributes": lambda i: A.account_day_attributes(i.user_days),
     "account_day_adoption": lambda i: A.account_day_adoption(i.user_days),
@@ -120,7 +125,7 @@ OPERATORS: dict[str, Callable] = {
                                                                  month=RETENTION_MONTH),
     "segment_addon_exposure_by_account": lambda i: S.segment_addon_exposure(i.user_days, AS_OF,
                                                                             weight="account"),
-    "segment_breadth": lambda i: S.segment_breadth(i.user_days, i.health, AS_OF),
+    "segment_breadth": lambda i: S.segment_breadth(_user_days_on(i, AS_OF), i.health, AS_OF),
     # deterministic derivation rules
     "health_score_rebuild": _health_score_rebuild,
     "account_directory": _account_directory,

@@ -39,7 +39,6 @@ from pyspark.sql import functions as F
 
 from seatwise.sources import contracts as C
 from seatwise.sources.contracts import conform
-from seatwise.operators.panel import fill_inactive, panel
 
 # ---- fixed values of the adapter rules -------------------------------------
 USERS_PER_ACCOUNT = 3
@@ -51,6 +50,7 @@ ADDON_DIVISOR = 400
 RENEWAL_START = dt.date(2024, 1, 20)
 RENEWAL_STEP, RENEWAL_CYCLE = 37, 365
 ACTIVE_OBJECT_ROWS = 7
+OBJECT_EVENTS = (("report", "signup"), ("dashboard", "view"), ("list", "purchase"))
 AS_OF = "2024-01-15"
 # -----------------------------------------------------------------------------
 
@@ -81,21 +81,13 @@ def account_id(no: Column) -> Column:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _source(spark, sf_dir, "events", EVENTS_SCHEMA)
-    return ev.select(
-        "event_id", "user_id", "event_type",
-        F.col("ts").cast("date").alias("measurement_date"),
-        F.expr(f"user_id div {USERS_PER_ACCOUNT}").alias("account_no"),
-    )
-
-
-def _calendar(ev: DataFrame) -> DataFrame:
-    return ev.select("measurement_date").distinct()
+    """Events with a time; one without it falls on no date."""
+    ev = _source(spark, sf_dir, "events", EVENTS_SCHEMA).filter(F.col("ts").isNotNull())
+    return ev.select("event_id", "user_id", "event_type", F.col("ts").cast("date").alias("measurement_date"))
 
 
-def _accounts(spark: SparkSession, sf_dir: str, ev: DataFrame) -> DataFrame:
-    """One row per account number with its static attributes."""
-    nos = ev.select("account_no").distinct()
+def _with_attributes(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adds the static attributes of each row's ``account_no``."""
     cust = _source(spark, sf_dir, "customer", CUSTOMER_SCHEMA).select(
         F.col("c_custkey").alias("account_no"),
         F.col("c_mktsegment").alias("segment"),
@@ -106,29 +98,34 @@ def _accounts(spark: SparkSession, sf_dir: str, ev: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("o_orderpriority") == p, _cents("o_totalprice"))).alias(f"_s{i}")
         for i, p in enumerate(ADDON_PRIORITIES)
     ])
-    addons = [
-        F.coalesce(
+    addons = {
+        name: F.coalesce(
             (F.expr(f"_s{i} div {ADDON_DIVISOR}") * F.lit(CENTS)).cast(C.MONEY),
             F.lit(Decimal("0.00")).cast(C.MONEY),
-        ).alias(name)
+        )
         for i, name in enumerate(("addon_a", "addon_b", "addon_c", "addon_d", "addon_e"))
-    ]
+    }
     no = F.col("account_no")
-    return (nos.join(cust, "account_no", "left").join(sums, "account_no", "left")
-            .select(
-                "account_no",
-                account_id(no).alias("account_id"),
-                "segment",
-                (F.lit(SEAT_BASE) + no % SEAT_SPREAD).cast("int").alias("paid_seats"),
-                "arr",
-                (F.col("arr") * F.lit(PLATFORM_SHARE)).cast(C.MONEY).alias("platform_arr"),
-                *addons,
-                F.date_add(F.lit(RENEWAL_START), ((no * RENEWAL_STEP) % RENEWAL_CYCLE).cast("int"))
-                .alias("next_renewal_date"),
-            ))
-
-
-def _user_flags(ev: DataFrame) -> DataFrame:
+    joined = rows.join(cust, "account_no", "left").join(sums, "account_no", "left")
+    return joined.withColumns({
+        "account_id": account_id(no),
+        "paid_seats": (F.lit(SEAT_BASE) + no % SEAT_SPREAD).cast("int"),
+        "platform_arr": (F.col("arr") * F.lit(PLATFORM_SHARE)).cast(C.MONEY),
+        **addons,
+        "next_renewal_date": F.date_add(F.lit(RENEWAL_START), ((no * RENEWAL_STEP) % RENEWAL_CYCLE).cast("int")),
+    })
+
+
+FLAG_COLUMNS = ("is_active", "did_search", "did_create_list", "did_pitch",
+                "did_view_report", "did_view_dashboard", "did_create_alert")
+COUNT_COLUMNS = ("n_events", "n_view", "n_signup", "n_purchase")
+
+
+def _user_event_days(ev: DataFrame) -> DataFrame:
+    """One row per (user, date) with events: the flags and the counts of that day.
+
+    The only pass over ``events``: all inputs follow from these rows.
+    """
     t, odd = F.col("event_type"), (F.col("event_id") % 2) == 1
     return ev.groupBy("user_id", "measurement_date").agg(
         F.bool_or(t != "error").alias("is_active"),
@@ -138,59 +135,104 @@ def _user_flags(ev: DataFrame) -> DataFrame:
         F.bool_or((t == "view") & ~odd).alias("did_view_report"),
         F.bool_or((t == "view") & odd).alias("did_view_dashboard"),
         F.bool_or(t == "signup").alias("did_create_alert"),
-    )
+        F.count(F.lit(1)).alias("n_events"),
+        F.count(F.when(t == "view", 1)).alias("n_view"),
+        F.count(F.when(t == "signup", 1)).alias("n_signup"),
+        F.count(F.when(t == "purchase", 1)).alias("n_purchase"),
+    ).withColumn("account_no", F.expr(f"user_id div {USERS_PER_ACCOUNT}"))
 
 
-FLAG_COLUMNS = ("is_active", "did_search", "did_create_list", "did_pitch",
-                "did_view_report", "did_view_dashboard", "did_create_alert")
+def _histories(days: DataFrame) -> DataFrame:
+    """One row per user: its days with events, as many as there are dates at most.
+
+    Every branch that needs users, accounts or the calendar reads this row whole, so Spark finds the same
+    exchange under each and runs it once.
+    """
+    day = F.struct("measurement_date", *FLAG_COLUMNS, *COUNT_COLUMNS)
+    return days.groupBy("user_id", "account_no").agg(F.collect_list(day).alias("days"))
+
+
+def _calendar(histories: DataFrame) -> Column:
+    """The dates with events, in order, as one scalar."""
+    dates = histories.select(F.explode(_dates("days")).alias("measurement_date"))
+    return dates.agg(F.array_sort(F.collect_set("measurement_date"))).scalar()
 
 
-def _user_days(spark: SparkSession, sf_dir: str, ev: DataFrame) -> DataFrame:
-    """One row per (date, account, user), inactive user-days included."""
+def _dates(days: Column | str) -> Column:
+    return F.transform(days, lambda d: d["measurement_date"])
+
+
+def _user_days(histories: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (date, account, user), inactive user-days included.
+
+    Each user's days, and the dates of the calendar that it lacks with all flags false, come from its own
+    row. Events without a user make nobody active.
+    """
+    users = histories.select("user_id", "account_no", "days", F.array_except(_calendar(histories), _dates("days")).alias("gaps"))
+    known = F.col("user_id").isNotNull()
+    seen = F.transform("days", lambda d: F.struct(
+        d["measurement_date"].alias("measurement_date"), *[(F.coalesce(d[c], F.lit(False)) & known).alias(c) for c in FLAG_COLUMNS]))
+    unseen = F.transform("gaps", lambda d: F.struct(d.alias("measurement_date"), *[F.lit(False).alias(c) for c in FLAG_COLUMNS]))
     # attributes join at user grain, before the calendar multiplies the rows
-    users = ev.select("user_id", "account_no").distinct()
-    users = users.join(_accounts(spark, sf_dir, ev), "account_no", "left")
-    spine = panel(users, _calendar(ev))
-    flagged = fill_inactive(spine, _user_flags(ev), ["user_id", "measurement_date"], list(FLAG_COLUMNS))
-    return conform(flagged, C.USER_DAYS)
+    rows = _with_attributes(users, spark, sf_dir).withColumn("d", F.explode(F.concat(seen, unseen)))
+    return conform(rows.withColumns({c: F.col("d")[c] for c in ("measurement_date", *FLAG_COLUMNS)}), C.USER_DAYS)
 
 
-def _account_day_events(ev: DataFrame) -> DataFrame:
-    t = F.col("event_type")
-    return ev.groupBy("account_no", "measurement_date").agg(
-        F.count(F.lit(1)).alias("n_events"),
-        F.count(F.when(t == "view", 1)).alias("n_view"),
-        F.count(F.when(t == "signup", 1)).alias("n_signup"),
-        F.count(F.when(t == "purchase", 1)).alias("n_purchase"),
-    )
+def _user_days_on(date: str, days: DataFrame, histories: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of one date: that day's events, read by the date, and the users without any."""
+    day = F.lit(date).cast("date")
+    seen = days.filter((F.col("measurement_date") == day) & F.col("user_id").isNotNull()).select(
+        "user_id", "account_no", "measurement_date", *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in FLAG_COLUMNS])
+    absent = ~F.array_contains(_dates("days"), day) | F.col("user_id").isNull()
+    unseen = histories.filter(absent).filter(F.array_contains(_calendar(histories), day)).select(
+        "user_id", "account_no", day.alias("measurement_date"), *[F.lit(False).alias(c) for c in FLAG_COLUMNS])
+    return conform(_with_attributes(seen.unionByName(unseen), spark, sf_dir), C.USER_DAYS)
 
 
-def _health(ud: DataFrame, day_events: DataFrame) -> DataFrame:
-    """One health row per account-day."""
-    as_int = lambda c: c.cast("int")
-    daily = ud.groupBy("account_id", "measurement_date", "segment").agg(
+def _account_days(histories: DataFrame) -> DataFrame:
+    """One row per (account, date of the calendar): its users, how many were active, flags and counts.
+
+    Each user adds a row without a date, so the number of an account's users comes with the same sums. Sums
+    by (account, date) come before the account's days meet, so a large account is added up where its users are.
+    """
+    kind = histories.schema["days"].dataType
+    entry = F.lit(None).cast(kind.elementType)
+    own = F.when(F.col("user_id").isNotNull(), F.col("days")).otherwise(F.array().cast(kind))
+    each = histories.select("account_no", F.explode(F.concat(own, F.array(entry))).alias("d"))
+    as_int = lambda c: F.max(F.coalesce(c, F.lit(False)).cast("int"))
+    sums = each.groupBy("account_no", F.col("d.measurement_date").alias("measurement_date")).agg(
         F.count(F.lit(1)).alias("n_users"),
-        F.count(F.when(F.col("is_active"), 1)).alias("n_active"),
-        F.max(as_int(F.col("did_search"))).alias("research"),
-        F.max(as_int(F.col("did_view_report") | F.col("did_view_dashboard")
-                     | F.col("did_create_alert"))).alias("monitoring"),
-        F.max(as_int(F.col("did_create_list") | F.col("did_pitch"))).alias("relationship"),
-    )
-    counts = day_events.select(
-        account_id(F.col("account_no")).alias("account_id"), "measurement_date", "n_events")
-    daily = daily.join(counts, ["account_id", "measurement_date"], "left")
-    w = Window.partitionBy("account_id").orderBy("measurement_date")
-    n = F.coalesce(F.col("n_events"), F.lit(0))
-    pct = F.expr("(10000 * n_active) div n_users")
-    cats = F.col("research") + F.col("monitoring") + F.col("relationship")
-    trend = F.coalesce(n - F.lag(n, 1).over(w), F.lit(0))
-    out = daily.select(
-        "measurement_date", "account_id", "segment",
-        pct.alias("pct_int"), cats.cast("int").alias("cats"), trend.alias("trend"),
-    )
+        F.count(F.when(F.col("d.is_active"), 1)).alias("n_active"),
+        as_int(F.col("d.did_search")).alias("research"),
+        as_int(F.col("d.did_view_report") | F.col("d.did_view_dashboard") | F.col("d.did_create_alert")).alias("monitoring"),
+        as_int(F.col("d.did_create_list") | F.col("d.did_pitch")).alias("relationship"),
+        *[F.coalesce(F.sum(f"d.{c}"), F.lit(0)).alias(c) for c in COUNT_COLUMNS])
+    values = ("n_active", "research", "monitoring", "relationship", *COUNT_COLUMNS)
+    dated = F.col("measurement_date").isNotNull()
+    whole = sums.groupBy("account_no").agg(
+        F.max(F.when(~dated, F.col("n_users"))).alias("n_users"),
+        F.collect_list(F.when(dated, F.struct("measurement_date", *values))).alias("days"))
+    nothing = lambda d: F.struct(d.alias("measurement_date"), *[F.lit(0).cast(sums.schema[c].dataType).alias(c) for c in values])
+    gaps = whole.select("account_no", "n_users", "days", F.array_except(_calendar(histories), _dates("days")).alias("gaps"))
+    return gaps.select("account_no", "n_users", F.explode(F.concat("days", F.transform("gaps", nothing))).alias("d")).select(
+        "account_no", "n_users", "d.measurement_date", *[f"d.{c}" for c in values])
+
+
+def _health(account_days: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One health row per account-day."""
+    segments = _source(spark, sf_dir, "customer", CUSTOMER_SCHEMA).select(
+        F.col("c_custkey").alias("account_no"), F.col("c_mktsegment").alias("segment"))
+    w = Window.partitionBy("account_no").orderBy("measurement_date")
+    n = F.col("n_events")
+    out = account_days.select(
+        "account_no", "measurement_date",
+        F.expr("(10000 * n_active) div n_users").alias("pct_int"),
+        (F.col("research") + F.col("monitoring") + F.col("relationship")).cast("int").alias("cats"),
+        F.coalesce(n - F.lag(n, 1).over(w), F.lit(0)).alias("trend"),
+    ).join(segments, "account_no", "left")
     score_cents = F.expr("(pct_int + 5) div 10") + (F.col("cats") + F.col("trend")) * 100
     return conform(out.select(
-        "measurement_date", "account_id", "segment",
+        "measurement_date", account_id(F.col("account_no")).alias("account_id"), "segment",
         (score_cents * F.lit(CENTS)).cast(C.MONEY).alias("health_score"),
         F.col("cats").cast("double").alias("feature_score"),
         (F.col("pct_int") * F.lit(CENTS)).cast("decimal(5,2)").alias("percent_days_active"),
@@ -203,8 +245,8 @@ def _retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (month, customer) with that month's orders and those of a year before."""
     d = F.col("o_orderdate")
     orders = _source(spark, sf_dir, "orders", ORDERS_SCHEMA).filter(F.col("o_custkey").isNotNull() & d.isNotNull())
-    years = orders.agg(F.min(F.year(d)).alias("first"), F.max(F.year(d)).alias("last"))
-    first, last = years.select("first").scalar(), years.select("last").scalar()
+    years = orders.agg(F.struct(F.min(F.year(d)).alias("first"), F.max(F.year(d)).alias("last"))).scalar()
+    first, last = years["first"], years["last"]
     monthly = orders.groupBy("o_custkey", F.year(d).alias("y"), F.month(d).alias("m")).agg(
         F.sum(_cents("o_totalprice")).alias("cents"))
     # each month's orders count for its own year and, as the prior ones, for the next
@@ -221,27 +263,15 @@ def _retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), C.RETENTION)
 
 
-def _objects(ev: DataFrame, day_events: DataFrame) -> DataFrame:
+def _objects(account_days: DataFrame) -> DataFrame:
     """One object-count row per account-day."""
-    spine = panel(ev.select("account_no").distinct(), _calendar(ev))
-    daily = spine.join(day_events, ["account_no", "measurement_date"], "left")
     w = Window.partitionBy("account_no").orderBy("measurement_date")
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     recent = w.rowsBetween(-(ACTIVE_OBJECT_ROWS - 1), Window.currentRow)
-
-    def total(c: str) -> Column:
-        return (F.lit(1) + F.sum(F.coalesce(F.col(c), F.lit(0))).over(running))
-
-    def active(c: str) -> Column:
-        return F.sum(F.coalesce(F.col(c), F.lit(0))).over(recent)
-
-    return conform(daily.select(
-        "measurement_date",
-        account_id(F.col("account_no")).alias("account_id"),
-        total("n_signup").alias("report_count"), active("n_signup").alias("active_report_count"),
-        total("n_view").alias("dashboard_count"), active("n_view").alias("active_dashboard_count"),
-        total("n_purchase").alias("list_count"), active("n_purchase").alias("active_list_count"),
-    ), C.OBJECTS)
+    columns = [(F.lit(1) + F.sum(f"n_{event}").over(running)).alias(f"{kind}_count") for kind, event in OBJECT_EVENTS]
+    columns += [F.sum(f"n_{event}").over(recent).alias(f"active_{kind}_count") for kind, event in OBJECT_EVENTS]
+    return conform(account_days.select(
+        "measurement_date", account_id(F.col("account_no")).alias("account_id"), *columns), C.OBJECTS)
 
 
 class Inputs:
@@ -274,21 +304,31 @@ class Inputs:
             return self._done[name]
 
     @cached_property
-    def events(self) -> DataFrame:
-        return _events(self.spark, self.sf_dir)
+    def event_days(self) -> DataFrame:
+        return _user_event_days(_events(self.spark, self.sf_dir))
 
     @cached_property
-    def day_events(self) -> DataFrame:
-        return _account_day_events(self.events)
+    def histories(self) -> DataFrame:
+        return _histories(self.event_days)
+
+    @cached_property
+    def account_days(self) -> DataFrame:
+        return _account_days(self.histories)
 
     @cached_property
     def user_days(self) -> DataFrame:
-        return self._stored("user_days", lambda: _user_days(self.spark, self.sf_dir, self.events), C.USER_DAYS,
+        return self._stored("user_days", lambda: _user_days(self.histories, self.spark, self.sf_dir), C.USER_DAYS,
                             "measurement_date")
 
+    def user_days_on(self, date: str) -> DataFrame:
+        """The user-days of one date: the same rows as ``user_days`` has, with the date in every scan that can use it."""
+        if self.store is not None:
+            return self.user_days.filter(F.col("measurement_date") == F.lit(date).cast("date"))
+        return _user_days_on(date, self.event_days, self.histories, self.spark, self.sf_dir)
+
     @cached_property
     def health(self) -> DataFrame:
-        return self._stored("health", lambda: _health(self.user_days, self.day_events), C.HEALTH,
+        return self._stored("health", lambda: _health(self.account_days, self.spark, self.sf_dir), C.HEALTH,
                             "measurement_date")
 
     @cached_property
@@ -297,7 +337,7 @@ class Inputs:
 
     @cached_property
     def objects(self) -> DataFrame:
-        return self._stored("objects", lambda: _objects(self.events, self.day_events), C.OBJECTS,
+        return self._stored("objects", lambda: _objects(self.account_days), C.OBJECTS,
                             "measurement_date")
 
 

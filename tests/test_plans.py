@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 
 import pytest
 
 from seatwise.plans.catalog import OPERATORS, queries
 from seatwise.sources import testdata as T
 
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
+from plan_summary import scans  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="testdata not present")
 
@@ -53,3 +57,37 @@ def test_one_date_queries_push_the_date_into_events(spark):
     # are, and the trend before that day, need the other dates too.
     for name in ("account_utilisation", "segment_breadth"):
         assert pushes_the_date(queries()[name](spark, SF)), name
+
+
+def test_one_pass_over_events(spark):
+    """Each input reads the events once; what branches share runs once."""
+    for name, most in (("user_days", 1), ("health_daily", 1), ("feature_objects", 1), ("retention_risk", 2),
+                       ("risk_quality", 2), ("account_utilisation", 1), ("segment_breadth", 4)):
+        assert 1 <= scans(queries()[name](spark, SF))["events"] <= most, name
+    assert scans(queries()["retention_monthly"](spark, SF))["orders"] <= 2
+
+
+def test_the_user_days_of_a_date(spark, tmp_path):
+    """Read by the date, stored or not, they are those of the whole table; a date without events has none."""
+    inputs = T.Inputs(spark, SF)
+    stored = T.Inputs(spark, SF, store=str(tmp_path))
+    for date in (T.AS_OF, "2024-01-30", "1999-01-01"):
+        want = sorted(map(str, inputs.user_days.filter(f"measurement_date = DATE'{date}'").collect()))
+        assert sorted(map(str, inputs.user_days_on(date).collect())) == want
+        assert sorted(map(str, stored.user_days_on(date).collect())) == want
+        assert bool(want) == (date != "1999-01-01")
+
+
+def test_events_without_a_user_or_a_time(spark):
+    """A null user is inactive on every date; an event without a time is on none."""
+    ev = spark.createDataFrame(
+        [(1, 3, "view", "2024-01-01"), (2, None, "click", "2024-01-02"), (4, 4, "click", "2024-01-03")],
+        "event_id long, user_id long, event_type string, day string").selectExpr(
+        "event_id", "user_id", "event_type", "cast(day as date) as measurement_date")
+    histories = T._histories(T._user_event_days(ev))
+    rows = {(r.user_id, r.measurement_date.day): r.is_active for r in T._user_days(histories, spark, SF).collect()}
+    assert len(rows) == 9 and {k for k, v in rows.items() if v} == {(3, 1), (4, 3)}
+    days = T._account_days(histories).collect()
+    assert {(r.account_no, r.measurement_date.day): (r.n_users, r.n_active, r.n_events) for r in days if r.n_events} == {
+        (1, 1): (2, 1, 1), (1, 3): (2, 1, 1)}
+    assert len(days) == 6 and {r.n_users for r in days if r.account_no is None} == {1}

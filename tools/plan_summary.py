@@ -36,6 +36,29 @@ def summarise(df, full: bool = False) -> str:
     return "\n".join(out)
 
 
+def scans(df) -> collections.Counter:
+    """How often the final plan of ``df`` reads each file; exchanges and subqueries that are reused count once."""
+    df._jdf.queryExecution().toRdd().count()
+    out: collections.Counter = collections.Counter()
+
+    def walk(node) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind in ("ReusedExchangeExec", "ReusedSubqueryExec"):
+            return
+        if kind == "FileSourceScanExec":
+            out.update(re.findall(r"([^/\],]+)\.parquet", node.metadata().get("Location").get()))
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        inner = [node.plan()] if kind.endswith("QueryStageExec") else []
+        for more in (node.children(), node.subqueries()):
+            inner += [more.apply(i) for i in range(more.size())]
+        for child in inner:
+            walk(child)
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return out
+
+
 def markdown(spark, sf: str, names: list[str]) -> str:
     qs = queries()
     cols = ["Exchange hashpartitioning", "BroadcastExchange", "SortMergeJoin", "BroadcastHashJoin",
