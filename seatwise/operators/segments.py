@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from seatwise.functions.adoption import addon_total
 from seatwise.functions.rounding import round_half_up
-from seatwise.functions.stats import exact_mean, ratio
+from seatwise.functions.stats import exact_mean, exact_stddev, ratio
 from seatwise.operators.adoption import account_utilisation, on_date
 
 
@@ -53,7 +53,7 @@ def segment_trend_volatility(health: DataFrame, as_of: str | dt.date) -> DataFra
     out = h.groupBy("segment").agg(
         F.count_distinct("account_id").alias("accounts"),
         round_half_up(exact_mean(npp), 2).alias("avg_trend"),
-        round_half_up(F.stddev_samp(npp), 2).alias("stddev_trend"),
+        round_half_up(exact_stddev(npp), 2).alias("stddev_trend"),
         round_half_up(exact_mean(pda), 2).alias("avg_percent_days_active"),
         F.sum(F.when((npp < 0) & (pda > 40), 1).otherwise(0)).cast("long").alias("active_but_declining"),
     )

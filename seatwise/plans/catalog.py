@@ -20,11 +20,13 @@ from seatwise.operators import adoption as A
 from seatwise.operators import baseline as B
 from seatwise.operators import quality as Q
 from seatwise.operators import risk as R
+from seatwise.operators import rollup as U
 from seatwise.operators import segments as S
 from seatwise.operators.panel import expand_users
 from seatwise.sources import testdata as T
 
 AS_OF = T.AS_OF
+ROLLUP_SINCE = "2024-01-09"
 RETENTION_MONTH = "1997-06-01"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +99,10 @@ def _seat_roster(i) -> DataFrame:
     return roster.select("account_id", "user_index", "user_id")
 
 
+def _rollup(i) -> DataFrame:
+    return i.rollup if hasattr(i, "rollup") else U.activity_rollup(i.user_days)
+
+
 def _retention_risk(i) -> DataFrame:
     return R.retention_risk(i.user_days, i.health, i.objects)
 
@@ -114,6 +120,12 @@ OPERATORS: dict[str, Callable] = {
     "activity_baseline": _baseline(),
     "activity_baseline_median": _baseline(method="median"),
     "activity_baseline_range": _baseline(frame="range"),
+    # the same counts from one roll-up of bitmaps
+    "rollup_account_utilisation": lambda i: U.account_utilisation(_rollup(i), AS_OF),
+    "rollup_account_day_activity": lambda i: U.account_day_activity(_rollup(i)),
+    "rollup_segment_seat_penetration": lambda i: U.segment_seat_penetration(_rollup(i)),
+    "rollup_segment_active_users": lambda i: U.distinct_users(_rollup(i), ["segment"]),
+    "rollup_account_active_users": lambda i: U.distinct_users(_rollup(i), ["account_id"], ROLLUP_SINCE, AS_OF),
     # the mart
     "retention_risk": _retention_risk,
     # segment summaries
@@ -138,6 +150,26 @@ OPERATORS: dict[str, Callable] = {
 }
 
 
+def _years(**opts) -> Query:
+    """The baseline over years of account-days, where its frame is full and rows and days differ."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = B.activity_baseline(T.yearly_activity(spark, sf_dir), **opts)
+        return rows.withColumn("activity_vs_baseline", B.activity_vs_baseline())
+    return run
+
+
+def _arr_by_deal_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each account's ARR in the columns of its deals' types."""
+    split = T.deals(spark, sf_dir).select("account_id", *[c.alias(n) for n, c in G.arr_by_deal_type("deal_type", "arr").items()])
+    names = [c for c in split.columns if c != "account_id"]
+    return split.groupBy("account_id").agg(*[F.sum(c).cast("decimal(18,2)").alias(c) for c in names])
+
+
+def _service_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.labelled_accounts(spark, sf_dir).select(
+        "account_id", "segment", G.service_team("segment").alias("service_team"), G.business_type("segment").alias("business_type"))
+
+
 def _over_testdata(op: Callable) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return op(T.load(spark, sf_dir))
@@ -151,6 +183,13 @@ QUERIES: dict[str, Query] = {
     "retention_monthly": T.retention,
     "feature_objects": T.objects,
     **{name: _over_testdata(op) for name, op in OPERATORS.items()},
+    # years of account-days, deals and labels of their own
+    "activity_baseline_years": _years(),
+    "activity_baseline_years_median": _years(method="median"),
+    "activity_baseline_years_range": _years(frame="range"),
+    "activity_baseline_years_range_median": _years(method="median", frame="range"),
+    "arr_by_deal_type": _arr_by_deal_type,
+    "service_teams": _service_teams,
 }
 
 

@@ -37,6 +37,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seatwise.functions.derive import DEAL_TYPES, SEGMENTS
 from seatwise.sources import contracts as C
 from seatwise.sources.contracts import conform
 
@@ -60,6 +61,7 @@ CENTS = Decimal("0.01")
 # runs a schema-inference job and every scan reads exactly these columns.
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string"
 CUSTOMER_SCHEMA = "c_custkey bigint, c_acctbal double, c_mktsegment string"
+LINEITEM_SCHEMA = "l_suppkey bigint, l_quantity double, l_shipdate timestamp_ntz"
 ORDERS_SCHEMA = "o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
 
 
@@ -274,6 +276,34 @@ def _objects(account_days: DataFrame) -> DataFrame:
         "measurement_date", account_id(F.col("account_no")).alias("account_id"), *columns), C.OBJECTS)
 
 
+def yearly_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account-days over all years of ``lineitem``: suppliers as accounts, ship dates as dates, gaps kept.
+
+    The percentage is the mean quantity of a day's lines, of at most 50, in whole hundredths.
+    """
+    lines = _source(spark, sf_dir, "lineitem", LINEITEM_SCHEMA).filter("l_suppkey IS NOT NULL AND l_shipdate IS NOT NULL")
+    daily = lines.groupBy("l_suppkey", F.col("l_shipdate").cast("date").alias("measurement_date")).agg(
+        F.sum(F.col("l_quantity").cast("long")).alias("quantity"), F.count("l_quantity").alias("n"))
+    percent = F.expr("200 * quantity div nullif(n, 0)") * F.lit(CENTS)
+    return daily.select(account_id(F.col("l_suppkey")).alias("account_id"), "measurement_date",
+                        percent.cast("decimal(5,2)").alias("percent_days_active"))
+
+
+def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order: ``account_id, deal_type, arr``; the five priorities stand for the five deal types."""
+    orders = _source(spark, sf_dir, "orders", ORDERS_SCHEMA)
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in zip(ADDON_PRIORITIES, DEAL_TYPES) for x in pair]), F.col("o_orderpriority"))
+    return orders.select(account_id(F.col("o_custkey")).alias("account_id"), kind.alias("deal_type"),
+                         F.col("o_totalprice").cast(C.MONEY).alias("arr"))
+
+
+def labelled_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per customer: ``account_id, segment``; nations in turn stand for the six segment names."""
+    customers = _source(spark, sf_dir, "customer", "c_custkey bigint, c_nationkey int")
+    name = F.get(F.array(*map(F.lit, SEGMENTS)), F.col("c_nationkey") % len(SEGMENTS))
+    return customers.select(account_id(F.col("c_custkey")).alias("account_id"), name.alias("segment"))
+
+
 class Inputs:
     """The four inputs over one data folder.
 
@@ -300,7 +330,8 @@ class Inputs:
                     # skips row groups by their min/max statistics
                     df = df.sortWithinPartitions(cluster_by)
                 df.write.mode("overwrite").parquet(path)
-                self._done[name] = conform(self.spark.read.schema(schema).parquet(path), schema)
+                self._done[name] = (conform(self.spark.read.schema(schema).parquet(path), schema) if schema is not None
+                                    else self.spark.read.schema(df.schema).parquet(path))
             return self._done[name]
 
     @cached_property
@@ -326,6 +357,12 @@ class Inputs:
             return self.user_days.filter(F.col("measurement_date") == F.lit(date).cast("date"))
         return _user_days_on(date, self.event_days, self.histories, self.spark, self.sf_dir)
 
+    @cached_property
+    def rollup(self) -> DataFrame:
+        """The bitmaps of active users by account-day."""
+        from seatwise.operators.rollup import activity_rollup  # the operators import this package's contracts
+        return self._stored("rollup", lambda: activity_rollup(self.user_days), None, "measurement_date")
+
     @cached_property
     def health(self) -> DataFrame:
         return self._stored("health", lambda: _health(self.account_days, self.spark, self.sf_dir), C.HEALTH,

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
+import random
 from fractions import Fraction
 
+import pytest
 from pyspark.sql import functions as F
 
 from seatwise.functions import (
@@ -15,6 +18,7 @@ from seatwise.functions import (
     round_half_up,
     with_breadth,
 )
+from seatwise.functions.stats import exact_stddev
 
 from builders import money
 
@@ -122,3 +126,17 @@ def test_rounding_twins_agree_on_random_fractions(spark):
             assert spark_v == duck_v, (row.a, row.b, n, spark_v, duck_v)
             if abs(q) * 10 ** n < 10 ** 6:   # the helper's documented range
                 assert spark_v == exact_half_up(q, n), (row.a, row.b, n)
+
+
+@pytest.mark.parametrize("parts", [1, 8, 37])
+def test_stddev_does_not_depend_on_partitions(spark, parts):
+    rnd = random.Random(2)
+    values = [rnd.choice([None, rnd.randint(-10**9, 10**9), 3]) for _ in range(500)]
+    df = spark.createDataFrame([(i % 3, v) for i, v in enumerate(values)] + [(9, 4), (8, None)], "g int, x int").repartition(parts)
+    got = {r.g: r.s for r in df.groupBy("g").agg(exact_stddev("x").alias("s")).collect()}
+    assert got[9] is None and got[8] is None
+    for g in range(3):
+        own = [v for i, v in enumerate(values) if i % 3 == g and v is not None]
+        n = len(own)
+        spread = n * sum(v * v for v in own) - sum(own) ** 2
+        assert got[g] == math.sqrt(float(spread) / float(n * (n - 1)))

@@ -100,6 +100,24 @@ def test_sorts_put_nulls_where_the_warehouse_does(user_days, health):
     assert got == [("Z", 2.0), ("Z", None), (None, 1.0)]
 
 
+def test_sorts_of_the_one_date_summaries(spark, user_days, health):
+    """Descending, nulls first: volatility (one account: no deviation), add-on share (no ARR) and health score."""
+    h = health([dict(account_id="A", segment="S1", net_positive_periods=1, health_score=Decimal("3.00")),
+                dict(account_id="B", segment="S1", net_positive_periods=2, health_score=Decimal("3.00")),
+                dict(account_id="C", segment="S2", net_positive_periods=9, health_score=None),
+                dict(account_id="D", segment="S3", net_positive_periods=1, health_score=Decimal("8.00")),
+                dict(account_id="E", segment="S3", net_positive_periods=7, health_score=Decimal("8.00"))])
+    got = [(r.segment, r.stddev_trend) for r in segment_trend_volatility(h, D0).collect()]
+    assert got == [("S2", None), ("S3", 4.24), ("S1", 0.71)]
+    df = user_days([dict(account_id="A", segment="S1", arr=money(1000), addon_a=money(100)),
+                    dict(account_id="B", segment="S2", arr=money(0), addon_a=money(5)),
+                    dict(account_id="C", segment="S3", arr=money(1000), addon_a=money(300))])
+    assert [(r.segment, r.addon_share) for r in segment_addon_exposure(df, D0).collect()] == [("S2", None), ("S3", 0.3), ("S1", 0.1)]
+    months = spark.createDataFrame([(D0, x, money(10), money(10), money(10)) for x in "ABCDE"], C.RETENTION)
+    assert [(r.segment, r.avg_health_score) for r in segment_retention(h, months, D0).collect()] == [
+        ("S2", None), ("S3", 8.0), ("S1", 3.0)]
+
+
 def test_reason_texts_keep_the_em_dash():
     from seatwise.operators.risk import REASON_ADDON, REASON_BREADTH
     assert "—" in REASON_ADDON and "—" in REASON_BREADTH
