@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -82,6 +82,8 @@ RISK_CHECKS = (
     not_null("days_to_renewal"),
     unique_key("account_id", "measurement_date"),
 )
+# the mart joins health once by this key; two rows of a key would give two mart rows
+HEALTH_CHECKS = (unique_key("account_id", "measurement_date"),)
 # -----------------------------------------------------------------------------------
 
 
@@ -126,3 +128,30 @@ def _unpivot(one_row: DataFrame, labels: list[tuple[str, str, str]]) -> DataFram
         for kind, col, name in labels
     ])
     return one_row.select(F.inline(entries))
+
+
+class ObservedChecks:
+    """Row-level checks that ride along with the job that writes a table; only uniqueness reads it again.
+
+    ``observe`` the frame, write what it returns, then ask for ``results`` with the written table: its key
+    columns alone are read, for the uniqueness checks.
+    """
+
+    def __init__(self, checks=ADOPTION_CHECKS):
+        self.checks = tuple(checks)
+        self.row_checks = [c for c in self.checks if c.kind != "unique_combination"]
+        self.counts = Observation()
+
+    def observe(self, df: DataFrame) -> DataFrame:
+        return df.observe(self.counts, F.count(F.lit(1)).alias("n_rows"),
+                          *[F.count(F.when(c.failing(), 1)).alias(f"_c{i}") for i, c in enumerate(self.row_checks)])
+
+    def results(self, written: DataFrame) -> DataFrame:
+        """As :func:`run_checks`; waits for the write whose frame was observed."""
+        counts = self.counts.get
+        rows = [(c.kind, c.column_label, int(counts[f"_c{i}"])) for i, c in enumerate(self.row_checks)]
+        out = written.sparkSession.createDataFrame(rows, "check_name string, column_name string, failing_rows long")
+        uniques = [c for c in self.checks if c.kind == "unique_combination"]
+        for u in uniques:
+            out = out.unionByName(run_checks(written.select(*u.columns), [u]))
+        return out
