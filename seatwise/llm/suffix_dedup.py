@@ -10,8 +10,8 @@ unique drop out:
    is repeated as a whole. One that stands once is open if its gram stands in other contexts too.
 3. The positions of open contexts. Those of one gram meet in one task, where pairs (rank at a position, rank
    one offset on) are sorted and ranked anew, at offsets that double, until they are unique or cover the
-   length. A gram with many contexts has its strings sorted by Spark instead, by the pair of ranks of
-   their two halves, so none of its contexts need meet in one task.
+   length. The contexts of a gram with many are ranked in parts; Spark then sorts the different strings of
+   all parts by the pair of ranks of their two halves.
 
 Ranks of positions in a task are exact; grams, contexts and halves are named by 64-bit hashes (a context
 by two, a string of a large group by two). Only texts with shared anchors move, once or twice.
@@ -20,10 +20,11 @@ by two, a string of a large group by two). Only texts with shared anchors move,
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +35,9 @@ from seatwise.llm.common import in_sieve, sieve, stage
 LENGTH = 200
 
 #: Bytes of text that are ranked at once; positions of anchors fit into so many bits.
-AT_ONCE_BITS = 20
+AT_ONCE_BITS = 18
 
-#: From so many contexts on, a gram's strings are sorted by Spark.
+#: Contexts of one gram that are ranked in one task; those of a gram with more are dealt out and meet string by string.
 LARGE = 32
 
 #: Places of the bitmaps that keep texts and anchors without partners out of the shuffles (8 and 4 MB).
@@ -96,7 +97,7 @@ def anchors(data: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.
     return text[new], starts[new], np.diff(np.append(new, len(starts))), h[at[new]].view(np.int64)
 
 
-def _stretches(texts: list[bytes], length: int) -> Iterator[tuple[bytes, np.ndarray, list[tuple[int, int]]]]:
+def _stretches(texts: Iterable[bytes], length: int) -> Iterator[tuple[bytes, np.ndarray, list[tuple[int, int]]]]:
     """The texts, joined, at most 2 ** AT_ONCE_BITS bytes at once: (data, ends, (text, start in it) of each piece).
 
     Longer texts come in pieces that overlap by ``length`` - 1 bytes, so each string is in one of them.
@@ -129,7 +130,7 @@ def _grams(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, ends, _ in _stretches(batch.column(0).to_pylist(), length):
+            for data, ends, _ in _stretches((x.as_py() for x in batch.column(0)), length):
                 gram, n = np.unique(anchors(data, ends, length)[3], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], ["gram", "n"])
 
@@ -144,7 +145,7 @@ def _anchors(docs: DataFrame, bitmap: np.ndarray, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, ends, where in _stretches(batch.column(2).to_pylist(), length):
+            for data, ends, where in _stretches((x.as_py() for x in batch.column(2)), length):
                 piece, first, number, gram = anchors(data, ends, length)
                 there = in_sieve(shared.value, gram, GRAM_BITS)
                 piece, first, number, gram = piece[there], first[there], number[there], gram[there]
@@ -209,75 +210,86 @@ def _spans(flags: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(at[np.concatenate(([0], gap + 1))].tolist(), (at[np.concatenate((gap, [len(at) - 1]))] + length).tolist()))
 
 
-#: Bytes of contexts that are ranked at once in a task; a group is smaller than ``LARGE`` contexts.
-CONTEXT_BYTES = 1 << 21
+#: Bytes of contexts that are ranked at once in a task.
+CONTEXT_BYTES = 1 << 19
+
+#: Rows that a task hands on at once.
+ROWS_AT_ONCE = 50_000
 
 SPAN = "struct<start: int, end: int>"
 
 
-def _small_groups(contexts: DataFrame, length: int) -> DataFrame:
-    """``doc_id, hash, start, end``: the repeated parts of contexts that stand once; a gram's contexts are in one task."""
+def _chunk() -> Column:
+    """Which part of a gram's contexts a context belongs to; a part holds about ``LARGE`` of them."""
+    parts = F.ceil(F.col("kinds") / LARGE)
+    return F.when(parts > 1, F.pmod(F.xxhash64("context"), parts)).otherwise(F.lit(0).cast("long"))
+
+
+def _ranked_parts(contexts: DataFrame, length: int) -> DataFrame:
+    """``doc_id, hash, start, end, left, right``: a gram's contexts are ranked in parts of about ``LARGE``.
+
+    Rows without ``left`` are repeated spans of contexts that stand once. Where a gram has several parts, each
+    part also tells its strings to the others: one row for each different one, named by the ranks of its
+    halves, with ``start`` where it stands if it is not known to be repeated, else null.
+    """
     kind = contexts.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "hash", "start", "end", "left", "right"]
+    types = [to_arrow_type(contexts.schema["doc_id"].dataType), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    half, name, large = length // 2, xxhash.xxh64_intdigest, LARGE
+
+    def signed(x: int) -> int:
+        return x if x < 1 << 63 else x - (1 << 64)
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    def resolved(rows: list[dict]) -> pa.RecordBatch:
-        distinct = {(r["gram"], r["context"]): r for r in rows}  # a context that stands twice may come from equal rows
-        own = list(distinct.values())
+    def resolved(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        own = list({(r["gram"], r["context"]): r for r in rows}.values())  # one that stands twice may come from equal rows
         flags = repeated_strings([r["bytes"] for r in own], length)
-        out, at = [], 0
+        out, told, at = [], set(), 0
         for r in own:
-            end = at + len(r["bytes"])
-            if r["copies"] == 1:
-                out += [(r["doc_id"], r["hash"], r["first"] + a, r["first"] + b) for a, b in _spans(flags[at:end], length)]
-            at = end
-        columns = list(zip(*out)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "hash", "start", "end"])
-
-    types = [to_arrow_type(contexts.schema["doc_id"].dataType), pa.int64(), pa.int32(), pa.int32()]
+            data, once = r["bytes"], r["copies"] == 1
+            again = flags[at:at + len(data)]
+            at += len(data)
+            if once:
+                out += [(r["doc_id"], r["hash"], r["first"] + a, r["first"] + b, None, None) for a, b in _spans(again, length)]
+            if r["kinds"] <= large:
+                continue
+            for i in range(len(data) - length + 1):
+                key = (signed(name(data[i:i + half], 1)), signed(name(data[i + half:i + length], 2)))
+                if not again[i] or key not in told:
+                    told.add(key)
+                    out.append((r["doc_id"], r["hash"], r["first"] + i if once and not again[i] else None, None, *key))
+            if len(out) >= ROWS_AT_ONCE:
+                yield made(out)
+                out = []
+        yield made(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
             for r in batch.to_pylist():
-                if size >= CONTEXT_BYTES and r["gram"] != rows[-1]["gram"]:
-                    yield resolved(rows)
+                if size >= CONTEXT_BYTES and (r["gram"], r["part"]) != (rows[-1]["gram"], rows[-1]["part"]):
+                    yield from resolved(rows)
                     rows, size = [], 0
                 rows.append(r)
                 size += len(r["bytes"])
         if rows:
-            yield resolved(rows)
-
-    dealt = contexts.repartition("gram").sortWithinPartitions("gram")
-    return dealt.mapInArrow(run, f"doc_id {kind}, hash long, start int, end int")
+            yield from resolved(rows)
 
+    dealt = contexts.withColumn("part", _chunk()).repartition("gram", "part").sortWithinPartitions("gram", "part")
+    return dealt.mapInArrow(run, f"doc_id {kind}, hash long, start int, end int, left long, right long")
 
-def _large_groups(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for grams of many contexts: their strings are sorted by the ranks of both halves."""
-    kind = contexts.schema["doc_id"].dataType.simpleString()
-    half, name = length // 2, xxhash.xxh64_intdigest
-    columns = ["left", "right", "context", "doc_id", "hash", "start"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of, left, right, start = [], [], [], []
-            for k, (data, first) in enumerate(zip(batch.column("bytes").to_pylist(), batch.column("first").to_pylist())):
-                n = len(data) - length + 1
-                ranks = [name(data[i:i + half], 1) for i in range(n)]
-                left += ranks
-                right += [name(data[i + half:i + length], 2) for i in range(n)]
-                start += range(first, first + n)
-                of += [k] * n
-            at = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (left, right)), batch.column("context").take(at),
-                 batch.column("doc_id").take(at), batch.column("hash").take(at), pa.array(start, pa.int32()), batch.column("copies").take(at)],
-                [*columns, "copies"])
 
-    schema = f"left long, right long, context long, doc_id {kind}, hash long, start int, copies long"
-    strings = stage(contexts.select("context", "doc_id", "hash", "first", "bytes", "copies").mapInArrow(run, schema), "strings")
-    again = (strings.groupBy("left", "right").agg(F.min("context").alias("a"), F.max("context").alias("b"))
-             .filter("a <> b").select("left", "right"))
-    found = strings.filter("copies = 1").join(again, ["left", "right"], "left_semi")
-    return found.select("doc_id", "hash", "start", (F.col("start") + length).alias("end"))
+def _repeated(contexts: DataFrame, length: int) -> DataFrame:
+    """``doc_id, hash, start, end``: the repeated parts of open contexts that stand once."""
+    rows = stage(_ranked_parts(contexts, length), "ranked")
+    spans = rows.filter("left IS NULL").select("doc_id", "hash", "start", "end")
+    told = rows.filter("left IS NOT NULL")
+    again = told.groupBy("left", "right").agg(F.count("*").alias("n")).filter("n > 1").select("left", "right")
+    late = told.filter("start IS NOT NULL").join(again, ["left", "right"], "left_semi")
+    return spans.unionByName(late.select("doc_id", "hash", "start", (F.col("start") + length).alias("end")))
 
 
 # --- documents -----------------------------------------------------------------------------------------
@@ -318,8 +330,7 @@ def _probed(docs: DataFrame, bitmap: np.ndarray, digest: bool) -> DataFrame:
             there = in_sieve(shared.value, batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64), DOC_BITS)
             made = [None if t else _result(x.as_py(), [], digest) for t, x in zip(there.tolist(), batch.column(2))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1),
-                 pa.array([x.as_py() if t else None for t, x in zip(there.tolist(), batch.column(2))], pa.binary()),
+                [batch.column(0), batch.column(1), pc.if_else(pa.array(there), batch.column(2), pa.scalar(None, batch.column(2).type)).cast(pa.binary()),
                  pa.array([m and m["n_bytes"] for m in made], pa.int64()),
                  pa.array([m and m["kept"] for m in made], pa.string() if digest else pa.binary())],
                 ["doc_id", "hash", "text", "n_bytes", "kept"])
@@ -348,11 +359,10 @@ def _settled(rows: DataFrame, digest: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = {c: batch.column(c) for c in batch.schema.names}
-            made, texts = [], []
+            made, waiting = [], []
             for k, text in enumerate(column["text"]):
-                waits = open_kind and column["open"][k].as_py()
-                texts.append(text.as_py() if waits else None)
-                if waits:
+                waiting.append(bool(open_kind and column["open"][k].is_valid and len(column["open"][k])))
+                if waiting[-1]:
                     made.append({"n_bytes": None, "spans": None, "kept": None})
                 elif text.as_py() is None:
                     made.append({"n_bytes": column["n_bytes"][k].as_py(), "spans": [], "kept": column["kept"][k].as_py()})
@@ -363,7 +373,8 @@ def _settled(rows: DataFrame, digest: bool) -> DataFrame:
                    pa.array([m["spans"] for m in made], span),
                    pa.array([m["kept"] for m in made], pa.string() if digest else pa.binary())]
             yield pa.RecordBatch.from_arrays(
-                out + ([pa.array(texts, pa.binary()), column["known"], column["open"]] if open_kind else []), names)
+                out + ([pc.if_else(pa.array(waiting, pa.bool_()), column["text"], pa.scalar(None, column["text"].type)).cast(pa.binary()),
+                        column["known"], column["open"]] if open_kind else []), names)
 
     schema = f"doc_id {kind}, hash long, n_bytes long, spans array<{SPAN}>, kept {'string' if digest else 'binary'}"
     return rows.mapInArrow(run, schema + (f", text binary, known array<{SPAN}>, open {open_kind}" if open_kind else ""))
@@ -401,9 +412,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, digest: bool = False)
     each = waiting.select("doc_id", "hash", "text", F.explode("open").alias("o"))
     bytes_ = F.substring("text", F.col("o.first") + 1, F.col("o.number") + (length - 1))
     each = each.select("doc_id", "hash", "o.gram", "o.context", "o.first", "o.copies", "o.kinds", bytes_.alias("bytes"))
-    small = _small_groups(each.filter(F.col("kinds") < LARGE), length)
-    large = _large_groups(each.filter(F.col("kinds") >= LARGE), length)
-    found = small.unionByName(large).groupBy("doc_id", "hash").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    found = _repeated(each, length).groupBy("doc_id", "hash").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     last = _settled(_with(waiting.select("doc_id", "hash", "text", "known"), found), digest)
     return rows.filter("text IS NULL").select("doc_id", "n_bytes", "spans", "kept").unionByName(
         last.select("doc_id", "n_bytes", "spans", "kept"))
