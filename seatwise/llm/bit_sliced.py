@@ -11,6 +11,9 @@ boundary; the boundary's rows are settled by their exact scores and ids.
 
 from __future__ import annotations
 
+import heapq
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,21 +26,31 @@ K = 5
 BLOCK_ROWS = 16384
 CHUNK_QUERIES = 256
 
-#: Quantised components beyond this do not fit the 64-bit sums; their vectors take no part.
-BOUND = 1 << 26
+#: Rows of a block whose scores are worked out with whole numbers of any size.
+WIDE_ROWS = 4096
+
+#: Scores beyond 38 digits rank as these, those beyond 64 bits are returned as the nearest 64-bit number.
+MOST = 10 ** 38 - 1
+LONGEST = (1 << 63) - 1
 
 LONG = np.dtype("<i8")
 
 
 def _quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """``vec_id, q``: whole-number components; vectors null, or holding null, non-finite or huge components, drop out."""
+    """``vec_id, q``: whole numbers as doubles; vectors null, or holding null or non-finite components, drop out."""
     x = F.col(vector_col).cast("array<double>")
-    q = F.transform(x, lambda c: F.floor(c * F.lit(scale)).cast("long"))
-    usable = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) * scale < BOUND))
+    # floor of a double would stop at 64 bits; from 2 ** 52 on a double is whole
+    q = F.transform(x, lambda c: F.when(F.abs(c * scale) < 2.0 ** 52, F.floor(c * F.lit(scale)).cast("double")).otherwise(c * F.lit(scale)))
+    usable = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c * scale) < float("inf")))
     return (vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.coalesce(usable, F.lit(False)))
             .select(F.col(id_col).cast("long").alias("vec_id"), q.alias("q")))
 
 
+def safe_bound(width: int) -> int:
+    """Components below it, in vectors of so many, have scores of at most 62 bits."""
+    return 1 << (62 - max(1, width).bit_length()) // 2
+
+
 def _matrix(rows: list) -> np.ndarray:
     """Components of all rows; shorter vectors are filled with 0."""
     width = max(map(len, rows), default=0)
@@ -198,11 +211,17 @@ def top_k(vectors: DataFrame, query_filter: str = "vec_id % 50 = 0", k: int = K,
     Queries are the rows that ``query_filter`` (over ``vec_id``) selects, candidates all rows but those with
     the query's id. Scores that tie are ordered by the smaller id. Rows that repeat an id are candidates of
     their own, and one query. Components missing from shorter vectors count as 0. Vectors that are null,
-    have no id, or hold null, non-finite or huge components (from 2**26 after scaling) take no part; an
-    empty table, or a query without candidates, has no rows. Other columns play no part.
+    have no id, or hold null or non-finite components take no part; an empty table, or a query without
+    candidates, has no rows. Other columns play no part.
+
+    The index holds vectors whose scores surely fit 64-bit sums. The others, and queries like them, are
+    scored with whole numbers of any size and join the ranking.
     """
-    rows = stage(row_ids(_quantised(vectors, id_col, vector_col, scale)), "quantised")
-    asked = rows.filter(query_filter).groupBy("vec_id").agg(F.min("q").alias("q"))
+    every = stage(row_ids(_quantised(vectors, id_col, vector_col, scale)), "quantised")
+    every_asked = stage(every.filter(query_filter).groupBy("vec_id").agg(F.min("q").alias("q")), "asked")
+    bound = safe_bound(every.agg(F.max(F.size("q"))).first()[0] or 1)
+    fits = F.forall("q", lambda c: F.abs(c) < float(bound))
+    rows, asked = (x.filter(fits).withColumn("q", F.col("q").cast("array<bigint>")) for x in (every, every_asked))
     blocks, chunks = -(-rows.count() // block_rows), -(-asked.count() // chunk_queries)
     index = _blocks(rows.withColumn("block", F.pmod(F.xxhash64("_row"), F.lit(max(blocks, 1)))), "block", sliced=True)
     queries = _blocks(asked.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(max(chunks, 1)))), "chunk", sliced=False)
@@ -223,8 +242,33 @@ def top_k(vectors: DataFrame, query_filter: str = "vec_id % 50 = 0", k: int = K,
 
     near = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(
         run, "query_id long, vec_id long, score long")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = near.withColumn("exact", F.col("score").cast("decimal(38,0)")).drop("score")
+    for own, others in ((every_asked.filter(~fits), every), (every_asked.filter(fits), every.filter(~fits))):
+        if not own.isEmpty() and not others.isEmpty():
+            near = near.unionByName(_wide(own, others, k, chunk_queries))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("exact"), "vec_id"))
+    score = F.greatest(F.least("exact", F.lit(Decimal(LONGEST))), F.lit(Decimal(-LONGEST - 1)))
+    return near.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.cast("long").alias("score"))
+
+
+def _wide(asked: DataFrame, rows: DataFrame, k: int, chunk_queries: int) -> DataFrame:
+    """``query_id, vec_id, exact``: each query's best rows of each block, by whole numbers of any size."""
+    blocks, chunks = -(-rows.count() // WIDE_ROWS), -(-asked.count() // chunk_queries)
+    left = rows.withColumn("block", F.pmod(F.xxhash64("_row"), F.lit(blocks))).withColumn("chunk", F.explode(_numbers(chunks)))
+    right = asked.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks))).withColumn("block", F.explode(_numbers(blocks)))
+
+    def run(key: tuple, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        candidates = [(int(i), [int(c) for c in q]) for i, q in zip(rows["vec_id"], rows["q"])]
+        for own, q in zip(queries["vec_id"], queries["q"]):
+            q = [int(c) for c in q]
+            scores = ((-sum(a * b for a, b in zip(q, c)), i) for i, c in candidates if i != own)
+            found += [(int(own), i, Decimal(max(-MOST, min(MOST, -s)))) for s, i in heapq.nsmallest(k, scores)]
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "exact"])
+
+    return left.select("block", "chunk", "vec_id", "q").groupBy("block", "chunk").cogroup(
+        right.select("block", "chunk", "vec_id", "q").groupBy("block", "chunk")).applyInPandas(
+        run, "query_id long, vec_id long, exact decimal(38,0)")
 
 
 ORACLE_SQL = """

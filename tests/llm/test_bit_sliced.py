@@ -53,3 +53,20 @@ def test_bitmap_sums_and_selection():
     x, q = rng.integers(0, 500, (130, 9)), rng.integers(-300, 300, 9)
     score, moved = B.add(q, B.slices(x, 9))
     assert (B._scores(score, np.arange(130), moved) == x @ q).all()
+
+
+def test_large_components(spark):
+    """Finite vectors beyond the index's bound are queries and candidates like all others."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 0.3, (80, 3)))]
+    rows += [(101, [300000.0, 1.0, 0.0]), (105, [-float(2**40), 2.0**40, 1.0]), (110, [float(2**52), 0.5, -0.25]),
+             (111, [-float(2**52), 0.5, -0.25]), (112, [float(2**20), -1.0]), (115, [float(2**52), 0.5, -0.25])]
+    got, want = run(spark, rows, block_rows=30, chunk_queries=7), brute(rows, 5, 5)
+    exact = lambda x: [(i, min(max(s, -2**63), 2**63 - 1)) for i, s in x]
+    assert got == {i: exact(x) for i, x in want.items()}
+    assert any(i in (101, 105, 112) for x in got.values() for i, _ in x)
+
+
+def test_the_bound_keeps_sums_within_64_bits():
+    for width in (1, 2, 63, 64, 65, 5000):
+        assert width * (B.safe_bound(width) - 1) ** 2 < 1 << 62 and B.safe_bound(width) > 1 << 20
