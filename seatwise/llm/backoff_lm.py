@@ -6,8 +6,8 @@ is a state; reading a token either follows the arc of a seen n-gram, of weight (
 context; a state that training never saw fails with weight 1. The root gives discounted unigrams and one
 share for all unknown words. Texts are read once from left to right, carrying the state.
 
-The whole model fits no task, so texts are held in blocks of a bounded number of tokens and a block gets
-the slice of the automaton that its texts can reach. Each block sends its distinct n-grams with their
+The whole model fits no task, so texts are held in blocks of a bounded number of tokens and a block builds
+the part of the automaton that its texts can reach. Each block sends its distinct n-grams with their
 training counts to shards; a shard adds up what all blocks sent and answers each with the totals. What
 moves is packed: sorted n-gram numbers, counts and words, each compressed. Words are compared as
 themselves; n-grams of two words or more by a 64-bit hash.
@@ -216,6 +216,90 @@ def _answered(sent: DataFrame, order: int) -> DataFrame:
         run, "shard int, block long, " + ", ".join(f"{n} binary" for n in names) + ", n long, v long, n1 long, n2 long")
 
 
+class Automaton:
+    """The part of the automaton that a block's texts can reach.
+
+    States are the root (0), then the contexts of one word, of two, and so on, as the block numbers them. An
+    arc leaves a state on a word for each n-gram that training holds; the root has an arc for every word.
+    ``failure`` leads to the state of the context without its first word.
+    """
+
+    def __init__(self, block: _Block, totals: list[np.ndarray], order: int):
+        words, ids = len(block.words), block.ids.astype(np.int64)
+        self.words, self.order = words, order
+        seen = np.empty(words, dtype=np.int64)
+        seen[block.order] = totals[0]
+        self.counts = [seen]  # of the arcs: those of the root by word, then the sorted ones
+        size, failure = [np.zeros(1, dtype=np.int64), seen], [np.zeros(1 + words, dtype=np.int64)]
+        key, count, after, length = [], [], [], []
+        base, shorter = 1, None  # the first state of the contexts one word shorter, and each token's number among them
+        for k in range(2, order + 1):
+            _, at, number = np.unique(block.numbers(k), return_index=True, return_inverse=True)
+            total = totals[k - 1]
+            there = total > 0
+            if k == 2:
+                state, suffix = 1 + block.before(1)[at].astype(np.int64), 1 + ids[at]
+            else:  # at the start of a text no context of two words has been read
+                starts = np.zeros(len(ids), dtype=bool)
+                starts[block.first] = True
+                there &= ~starts[at]
+                state, suffix = base + shorter[np.maximum(at - 1, 0)], base + shorter[at]
+            own = sum(map(len, size)) + np.arange(len(total))
+            if k < order:
+                base, shorter = int(own[0]) if len(own) else base, number
+                size.append(total)
+                failure.append(suffix)
+            key.append(state[there] * words + ids[at][there])
+            count.append(total[there])
+            after.append((own if k < order else suffix)[there])
+            length.append(np.full(int(there.sum()), k, dtype=np.int8))
+        self.size, self.failure = np.concatenate(size), np.concatenate(failure)
+        self.key, count, after, length = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (key, count, after, length))
+        by = np.argsort(self.key, kind="stable")
+        self.key, self.counts, self.length = self.key[by], np.concatenate((seen, count[by])), length[by]
+        self.after = np.concatenate((np.where((seen > 0) & (order > 1), 1 + np.arange(words), 0), after[by]))
+        self.start = 1 if order > 1 and seen[0] > 0 else 0
+
+    def arc(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The arc of each word out of each state, and whether there is one; those of the root are always there."""
+        want = state * self.words + word
+        at = np.minimum(np.searchsorted(self.key, want), max(0, len(self.key) - 1))
+        there = self.key[at] == want if len(self.key) else np.zeros(len(want), dtype=bool)
+        there &= state > 0
+        return np.where(there, self.words + at, word), there | (state == 0)
+
+    def read(self, block: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The state before each token, how many failure arcs are taken there, and the arc that is followed.
+
+        All texts are read at once from left to right, a token of each at a time, carrying their states.
+        """
+        n = len(block.ids)
+        states, fails, arcs = np.empty(n, dtype=np.int32), np.zeros(n, dtype=np.int8), np.empty(n, dtype=np.int32)
+        by = np.argsort(-block.lengths, kind="stable")
+        first, lengths = block.first[by], block.lengths[by]
+        state = np.full(len(by), self.start, dtype=np.int64)
+        for step in range(int(lengths.max(initial=0))):
+            going = int(np.searchsorted(-lengths, -step, side="left"))
+            at = first[:going] + step
+            word, here = block.ids[at].astype(np.int64), state[:going].copy()
+            states[at] = here
+            taken, there = self.arc(here, word)
+            left = np.flatnonzero(~there)
+            while len(left):
+                fails[at[left]] += 1
+                here[left] = self.failure[here[left]]
+                taken[left], there = self.arc(here[left], word[left])
+                left = left[~there]
+            arcs[at] = taken
+            state[:going] = self.after[taken]
+        return states, fails, arcs
+
+    def lower(self) -> np.ndarray:
+        """Of each sorted arc, the arc of its word out of the state that its own fails to."""
+        state, word = np.divmod(self.key, max(1, self.words))
+        return self.arc(self.failure[state], word)[0]
+
+
 def _scored(blocks: DataFrame, answers: DataFrame, order: int, stats: tuple[int, int, int, int], weights: tuple[float, ...],
             kind: str) -> DataFrame:
     n, v, n1, n2 = stats
@@ -234,33 +318,35 @@ def _scored(blocks: DataFrame, answers: DataFrame, order: int, stats: tuple[int,
         told = told.sort_values("shard")
         row = own.iloc[0]
         b = _Block(row["lengths"], row["held"], row["ids"], row["words"])
-        seen = np.empty(len(b.words), dtype=np.int64)
-        seen[b.order] = np.concatenate([_unsqueeze(x, np.int64) for x in told["t0"] if x is not None])
-        count = [seen[b.ids]]
-        for k in range(1, order):
-            total = np.concatenate([_unsqueeze(x, np.int64) for x in told[f"t{k}"] if x is not None])
-            count.append(total[np.unique(b.numbers(k + 1), return_inverse=True)[1]])
-            del total
-        context = [None, seen[b.before(1)]]
-        for k in range(2, order):  # the n-gram that ended one token earlier; none at the start of a text
-            c = np.zeros_like(count[0])
-            c[1:] = count[k - 1][:-1]
-            c[b.first] = 0
-            context.append(c)
+        a = Automaton(b, [np.concatenate([_unsqueeze(x, np.int64) for x in told[f"t{k}"] if x is not None] or [np.zeros(0, np.int64)])
+                          for k in range(order)], order)
+        states, fails, arcs = a.read(b)
+        lower, context = a.lower(), a.size[a.key // max(1, a.words)]
+        seen, learnt_arcs = a.counts[:a.words], arcs[b.learnt]
+        by_length = [np.flatnonzero(a.length == k) for k in range(2, order + 1)]
         total = lambda x: np.add.reduceat(x, b.first)
         scores, left_out = [], []
         for m in weights:
-            p, less = root(count[0]), root(count[0] - 1)
-            for k in range(1, order):
-                known = context[k] > 0
-                p = np.where(known, (count[k] + m * p) / (context[k] + m), p)
-                left = context[k] - 1
-                less = np.where(left > 0, (np.maximum(count[k] - 1, 0) + m * less) / (np.maximum(left, 0) + m), less)
-            scores.append(total(np.log10(p)))
-            left_out.append(float(np.log10(less[b.learnt]).sum()))
+            p, less = np.empty(len(a.counts)), np.empty(len(a.counts))
+            p[:a.words], less[:a.words] = root(seen), root(seen - 1)
+            for which in by_length:  # arcs of longer n-grams weigh in those of shorter ones
+                c, size, arc = a.counts[a.words + which], context[which], a.words + which
+                p[arc] = (c + m * p[lower[which]]) / (size + m)
+                less[arc] = np.where(size > 1, (c - 1 + m * less[lower[which]]) / (np.maximum(size - 1, 0) + m), less[lower[which]])
+            log = np.log10(p)[arcs]
+            fail = np.log10(m / (a.size + m))
+            here, still = states.astype(np.int64), fails.copy()
+            while still.any():
+                failing = np.flatnonzero(still)
+                log[failing] += fail[here[failing]]
+                here[failing] = a.failure[here[failing]]
+                still[failing] -= 1
+            scores.append(total(log))
+            left_out.append(float(np.log10(less)[learnt_arcs].sum()))
+        count = seen[b.ids]
         return pd.DataFrame(dict(zip(names, [
-            list(row["doc_ids"]), list(row["held"]), b.lengths, total((seen[b.ids] > 0).astype(np.int64)),
-            total(np.log10((count[0] + 1) / (n + v + 1))), list(np.stack(scores, axis=1)),
+            list(row["doc_ids"]), list(row["held"]), b.lengths, total((count > 0).astype(np.int64)),
+            total(np.log10((count + 1) / (n + v + 1))), list(np.stack(scores, axis=1)),
             [left_out] + [None] * (len(b.lengths) - 1)])))
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
