@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -61,3 +63,37 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
         if np.abs(step).max() < 1e-8:
             break
     return w
+
+
+def descend(gradient: Callable[[np.ndarray], np.ndarray], point: np.ndarray, steps: int = 60, enough: float = 1e-3,
+            memory: int = 8) -> np.ndarray:
+    """The least point of a convex function, from its gradient, by a quasi-Newton method with limited memory.
+
+    Ends after ``steps`` gradients, or when the gradient is ``enough`` times the first one. A step that goes
+    past the least point on its line is cut back by the secant of the slopes.
+    """
+    g = gradient(point)
+    aim, pairs = enough * np.linalg.norm(g), []
+    used = 1
+    while used < steps and np.linalg.norm(g) > aim:
+        d, kept = g.copy(), []
+        for s, y in reversed(pairs):
+            a = (s @ d) / (s @ y)
+            d -= a * y
+            kept.append(a)
+        d *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1 / np.linalg.norm(g)
+        for (s, y), a in zip(pairs, reversed(kept)):
+            d += (a - (y @ d) / (s @ y)) * s
+        d, share = -d, 1.0
+        slope = g @ d
+        while True:
+            new = gradient(point + share * d)
+            used += 1
+            if new @ d <= -0.5 * slope or used >= steps:
+                break
+            share *= min(0.5, max(0.1, slope / (slope - new @ d)))
+        s, y = share * d, new - g
+        if s @ y > 1e-12 * np.linalg.norm(s) * np.linalg.norm(y):
+            pairs = [*pairs[1 - memory:], (s, y)]
+        point, g = point + s, new
+    return point

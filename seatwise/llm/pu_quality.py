@@ -4,13 +4,14 @@ Only trusted positives and unlabelled text are learnt from: no negatives. The cl
 unlabelled text is estimated as the least ratio of unlabelled to positive mass above a threshold of a
 first classifier that tells the two apart; then a logistic model minimises the non-negative unbiased
 risk, prior * P(loss as positive) + max(0, U(loss as negative) - prior * P(loss as negative)).
-Each whole text is read once, as counts of characters, words and lines.
+The unlabelled are all rows: their means, deviations, masses and risks are sums over the table, made where
+the rows are. Each whole text is read once, as counts of characters, words and lines.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,13 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatwise.llm.common import stage
-from seatwise.llm.labelled import ordered_ids, sigmoid
+from seatwise.llm.labelled import descend, ordered_ids, sigmoid
 
 POSITIVES = 10_000
-UNLABELLED = 20_000
 SEED = "quality-1"
-STEPS = 400
-RATE = 0.05
+STEPS = 40
+ENOUGH = 1e-3
 PENALTY = 1e-4
 #: Confidence with which the masses of the prior's estimate are bounded.
 DOUBT = 0.1
@@ -77,50 +77,87 @@ def expanded(x: np.ndarray) -> np.ndarray:
     return np.column_stack([x, x ** 2, np.ones(len(x))])
 
 
-def _descend(x: np.ndarray, gradient_of, steps: int = STEPS) -> np.ndarray:
-    """Adam from 0 on a function's gradient."""
-    w, moment, square = (np.zeros(x.shape[1]) for _ in range(3))
-    for t in range(1, steps + 1):
-        g = gradient_of(w) + PENALTY * w
-        moment, square = 0.9 * moment + 0.1 * g, 0.999 * square + 0.001 * g ** 2
-        w -= RATE * (moment / (1 - 0.9 ** t)) / (np.sqrt(square / (1 - 0.999 ** t)) + 1e-8)
-    return w
+def class_prior(at: np.ndarray, mass_p: np.ndarray, mass_u: np.ndarray, n_p: int, n_u: int) -> float:
+    """The share of positives among the unlabelled, from both masses at and above each score of ``at``.
 
-
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives among the unlabelled, from scores that are higher for positives.
-
-    Above any threshold the unlabelled mass is at least prior times the positive mass; the threshold at
-    which this bounds the prior best, with both masses' sampling doubt, gives the estimate.
+    Scores are higher for positives. Above any threshold the unlabelled mass is at least prior times the
+    positive mass; the threshold at which this bounds the prior best, with both masses' sampling doubt,
+    gives the estimate.
     """
-    p, u = np.sort(positive), np.sort(unlabelled)
-    at = np.unique(p)
-    mass_p = 1 - np.searchsorted(p, at, side="left") / len(p)
-    mass_u = 1 - np.searchsorted(u, at, side="left") / len(u)
-    doubt = np.sqrt(np.log(4 / DOUBT) / 2 / len(p)) + np.sqrt(np.log(4 / DOUBT) / 2 / len(u))
+    doubt = np.sqrt(np.log(4 / DOUBT) / 2 / n_p) + np.sqrt(np.log(4 / DOUBT) / 2 / n_u)
     best = int(((mass_u + doubt) / mass_p).argmin())
     return float(np.clip(mass_u[best] / mass_p[best], 0.01, 0.99))
 
 
-def learn(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
-    centre, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0)
-    scale = np.where(scale > 1e-9, scale, 1.0)
-    p, u = (expanded((x - centre) / scale) for x in (positive, unlabelled))
+def _summed(rows: DataFrame, work: Callable[[np.ndarray], np.ndarray], n: int) -> np.ndarray:
+    """The sum over all rows' feature matrices of the ``n`` numbers that ``work`` makes of one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n)
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
+            if len(x):
+                total += work(x)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["k", "v"])
+
+    out = np.zeros(n)
+    for r in rows.select("x").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():  # n rows at most
+        out[r["k"]] = r["v"]
+    return out
+
+
+def spread(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Mean and deviation of each feature over all rows (1 where it does not vary), and how many rows there are."""
+    sums = _summed(rows, lambda x: np.concatenate((x.sum(axis=0), [len(x)])), N_FEATURES + 1)
+    n = int(sums[-1])
+    centre = sums[:-1] / max(1, n)
+    scale = np.sqrt(_summed(rows, lambda x: ((x - centre) ** 2).sum(axis=0), N_FEATURES) / max(1, n))
+    return centre, np.where(scale > 1e-9, scale, 1.0), n
+
+
+def masses(rows: DataFrame, at: np.ndarray, score: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """How many rows have at least each score of ``at`` (ascending)."""
+    counts = _summed(rows, lambda x: np.bincount(np.searchsorted(at, score(x), side="right"), minlength=len(at) + 1).astype(float), len(at) + 1)
+    return counts[::-1].cumsum()[::-1][1:]
+
+
+def learn(positive: np.ndarray, rows: DataFrame) -> Model:
+    """The model of the positives' feature rows, and of all ``rows`` as the unlabelled ones."""
+    centre, scale, n_u = spread(rows)
+
+    def placed(x: np.ndarray) -> np.ndarray:
+        return expanded((x - centre) / scale)
+
+    p = placed(positive)
+    width = p.shape[1]
+
+    def as_negatives(w: np.ndarray) -> tuple[np.ndarray, float]:
+        """Gradient and value of the unlabelled rows' mean loss as negatives."""
+        def work(x: np.ndarray) -> np.ndarray:
+            u = placed(x)
+            z = u @ w
+            return np.concatenate((u.T @ sigmoid(z), [np.logaddexp(0, z).sum()]))
+        sums = _summed(rows, work, width + 1) / n_u
+        return sums[:-1], sums[-1]
 
     def apart(w: np.ndarray) -> np.ndarray:
-        return p.T @ (sigmoid(p @ w) - 1) / len(p) + u.T @ sigmoid(u @ w) / len(u)
+        return p.T @ (sigmoid(p @ w) - 1) / len(p) + as_negatives(w)[0] + PENALTY * w
 
-    w = _descend(p, apart)
-    prior = class_prior(p @ w, u @ w)
+    w = descend(apart, np.zeros(width), STEPS, ENOUGH)
+    at = np.unique(p @ w)
+    mass_p = 1 - np.searchsorted(np.sort(p @ w), at, side="left") / len(p)
+    prior = class_prior(at, mass_p, masses(rows, at, lambda x: placed(x) @ w) / n_u, len(p), n_u)
 
     def risk(w: np.ndarray) -> np.ndarray:
-        at_p, at_u = p @ w, u @ w
-        as_positive = p.T @ (sigmoid(at_p) - 1) / len(p)
-        negative = np.logaddexp(0, at_u).mean() - prior * np.logaddexp(0, at_p).mean()
-        as_negative = u.T @ sigmoid(at_u) / len(u) - prior * (p.T @ sigmoid(at_p)) / len(p)
-        return prior * as_positive + as_negative if negative >= 0 else -as_negative
+        at_p = p @ w
+        gradient, loss = as_negatives(w)
+        out = prior * (p.T @ (sigmoid(at_p) - 1)) / len(p) + PENALTY * w
+        if loss - prior * np.logaddexp(0, at_p).mean() >= 0:  # below 0 the negatives' risk counts as 0
+            out += gradient - prior * (p.T @ sigmoid(at_p)) / len(p)
+        return out
 
-    return Model(centre, scale, _descend(p, risk), prior)
+    return Model(centre, scale, descend(risk, np.zeros(width), STEPS, ENOUGH), prior)
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -141,19 +178,18 @@ def _matrix(rows: DataFrame) -> np.ndarray:
 
 
 def fit(rows: DataFrame, labels: DataFrame, label_col: str = "quality",
-        held_out: str = "pmod(crc32(cast(doc_id as string)), 5) = 0", positives: int = POSITIVES,
-        unlabelled: int = UNLABELLED) -> Model | None:
-    """Learns from at most ``positives`` and ``unlabelled`` rows of :func:`described` documents, by seeded hash.
+        held_out: str = "pmod(crc32(cast(doc_id as string)), 5) = 0", positives: int = POSITIVES) -> Model | None:
+    """Learns from at most ``positives`` trusted rows of :func:`described` documents, by seeded hash, and all others.
 
     Rows for which ``held_out`` is true, and null ids, are not learnt from. Positives are ids with label 1
-    (and no other label); the unlabelled are any rows, whatever their label. None without positives.
+    (and no other label); the unlabelled are all rows, whatever their label. None without positives.
     """
     open_ = F.expr(f"doc_id IS NOT NULL AND NOT coalesce({held_out}, false)")
     trusted = labels.filter(open_).filter(F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.min(label_col).alias("y"))
-    p = _matrix(rows.join(F.broadcast(ordered_ids(trusted.filter("y = 1"), positives, SEED)), "doc_id").limit(positives))
-    u = _matrix(rows.join(F.broadcast(ordered_ids(rows.filter(open_), unlabelled, SEED + "u").select("doc_id").distinct()), "doc_id")
-                .limit(unlabelled))
-    return learn(p, u) if len(p) else None
+    chosen = ordered_ids(trusted.filter("y = 1"), positives, SEED)
+    first = rows.join(F.broadcast(chosen), "doc_id").groupBy("key", "doc_id").agg(F.min("x").alias("x"))  # rows that repeat an id: one
+    p = _matrix(first.orderBy("key", "doc_id"))
+    return learn(p, rows.filter(open_)) if len(p) else None
 
 
 def score(rows: DataFrame, model: Model | None) -> DataFrame:
