@@ -119,6 +119,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         seen = now
 
 
+def quoted(name: str) -> str:
+    """The name as one column, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_ids(df: DataFrame, name: str = "_row") -> DataFrame:
     """A distinct number for each row; stable once the result is staged."""
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seatwise.llm.common import SPACES, components, lookup, stage
+from seatwise.llm.common import SPACES, components, fresh_name, lookup, quoted, stage
 
 DISTANCE = 2
 
@@ -29,7 +29,7 @@ SIEVE_BITS = 25
 PAIRS_OF_EDIT = 4
 CHARS_AT_ONCE = 1 << 21
 
-#: Shorter lines are left alone: too little text to tell a repetition from chance.
+#: Shorter lines are linked by exact equality alone: two edits may make another line of them.
 LEAST_CHARS = 24
 
 
@@ -272,7 +272,7 @@ def dropped_lines(docs: DataFrame, distance: int = DISTANCE, least_chars: int =
     """One row per line that goes: ``doc, line_no, keep_doc, keep_line`` (the first line of its class, which stays)."""
     docs = _numbered(docs)
     classes = components(stage(links(docs, distance, least_chars), "links"))
-    rows = stage(_occurrences(docs, least_chars), "occurrences")
+    rows = stage(_occurrences(docs, 1), "occurrences")
     lines = rows.groupBy("id").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("n"))
     named = (lines.join(classes.withColumnRenamed("node", "id"), "id", "left")
              .withColumn("class", F.coalesce("component", "id")))
@@ -289,19 +289,21 @@ def dedup(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEAST_CH
 
     Adds ``n_lines``, and ``gone``: an array of (line, keep_id, keep_line), the line's number from 0 and the
     place of the line that stays. Lines are compared without outer white space; lines within ``distance``
-    edits are linked, directly or over others, and of each class the first by (doc_id, line) stays. Lines
-    under ``least_chars`` characters stay. Documents stay, also those left without text; null text is kept.
+    edits are linked, directly or over others, lines under ``least_chars`` characters only to equal ones, and
+    of each class the first by (doc_id, line) stays. Lines of white space alone stay. Documents stay, also those left without text; null text is kept.
     Rows that repeat both id and text are one document and keep the same lines. Null ids come last. An
     empty table gives an empty result; columns named alike are replaced, others kept.
     """
     gone = (dropped_lines(docs, distance, least_chars).groupBy("doc")
             .agg(F.sort_array(F.collect_set(F.struct(
                 F.col("line_no").alias("line"), F.col("keep_doc.doc_id").alias("keep_id"), F.col("keep_line")))).alias("gone"))
-            .select(F.col("doc.doc_id").alias("_id"), F.col("doc.text").alias("_hash"), "gone"))
+            .select(F.col("doc.doc_id").alias("_lost_id"), F.col("doc.text").alias("_lost_hash"), "gone"))
     own = [c for c in docs.columns if c not in ("gone", "n_lines")]
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(*[F.col(f"`{c}`") for c in own]).withColumn("_own", F.xxhash64(text))
-    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left").drop("_id", "_hash", "_own")
+    text, hash_ = F.coalesce(F.col("text").cast("string"), F.lit("")), fresh_name(docs, "_text_hash")
+    rows = docs.select(*[F.col(quoted(c)) for c in own], F.xxhash64(text).alias(hash_))
+    at_id, at_hash = (fresh_name(rows, c) for c in ("_lost_id", "_lost_hash"))
+    gone = gone.withColumnsRenamed({"_lost_id": at_id, "_lost_hash": at_hash})
+    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col(at_id)) & (F.col(hash_) == F.col(at_hash)), "left").drop(at_id, at_hash, hash_)
     numbers = F.transform("gone", lambda x: x["line"])
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, k: ~F.array_contains(numbers, k)), "\n")
     size = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))

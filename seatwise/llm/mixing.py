@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seatwise.llm.common import WORD, rank_small, row_ids, stage
+from seatwise.llm.common import WORD, fresh_name, quoted, rank_small, row_ids, stage
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -89,10 +89,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, each as often as the mix holds it; see :func:`mix`."""
-    numbered = stage(row_ids(docs, "_row_number"), "numbered")
-    plan = mix(numbered, row_col="_row_number", **options).filter("repeats > 0").select(F.col("row").alias("_row_number"), "repeats")
-    rows = numbered.join(plan, "_row_number").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    number, copy = fresh_name(docs, "_row_number"), fresh_name(docs, "_copy")
+    numbered = stage(row_ids(docs, number), "numbered")
+    plan = mix(numbered, row_col=number, **options).filter("repeats > 0").select(F.col("row").alias(number), F.col("repeats").alias(copy))
+    rows = numbered.join(plan, number).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy))))
+    return rows.select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 ORACLE_SQL = rf"""

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seatwise.llm.common import components, lookup, row_ids, stage
+from seatwise.llm.common import components, fresh_name, lookup, quoted, row_ids, stage
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -134,10 +134,11 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs``, with all their columns, of which one stays of each component; see :func:`near_dedup`."""
-    numbered = stage(row_ids(docs, "_row_number"), "numbered")
-    rows = near_dedup(numbered, shingle, max_bits, row_col="_row_number")
-    first = rows.filter("row = first_row").select(F.col("row").alias("_row_number"))
-    return numbered.join(first, "_row_number", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    number = fresh_name(docs, "_row_number")
+    numbered = stage(row_ids(docs, number), "numbered")
+    rows = near_dedup(numbered, shingle, max_bits, row_col=number)
+    first = rows.filter("row = first_row").select(F.col("row").alias(number))
+    return numbered.join(first, number, "left_semi").select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def hex_digits(fp: Column) -> Column:

@@ -46,7 +46,7 @@ def brute(rows, d, least):
     """First line of each class by union over all pairs."""
     rows = sorted(dict.fromkeys(rows), key=lambda r: (r[0] is None, r[0] or 0))
     occ = [(i, k, x.strip(" \t\n\r\x0b\x0c")) for i, t in rows for k, x in enumerate((t or "").split("\n"))]
-    occ = [o for o in occ if len(o[2]) >= least]
+    occ = [o for o in occ if o[2]]
     lines = list(dict.fromkeys(o[2] for o in occ))
     parent = list(range(len(lines)))
 
@@ -56,7 +56,7 @@ def brute(rows, d, least):
         return x
     for i in range(len(lines)):
         for j in range(i):
-            if abs(len(lines[i]) - len(lines[j])) <= d and distance(lines[i], lines[j]) <= d:
+            if min(len(lines[i]), len(lines[j])) >= least and abs(len(lines[i]) - len(lines[j])) <= d and distance(lines[i], lines[j]) <= d:
                 parent[find(i)] = find(j)
     number, first, gone = {x: n for n, x in enumerate(lines)}, {}, set()
     for i, k, x in occ:
@@ -79,7 +79,7 @@ def test_classes_against_all_pairs(docs):
             for _ in range(rng.choice([0, 0, 1, 2, 3])):
                 x[rng.randrange(len(x))] = rng.choice("abcde")
             own.append("  " * rng.randint(0, 1) + "".join(x))
-        rows.append((i, "\n".join(own) + rng.choice(["", "\nshort", "\n\n"])))
+        rows.append((i, "\n".join(own) + rng.choice(["", "\nshort", "\n\n", "\nshorn\n x"])))
     out = L.dedup(docs(rows)).collect()
     got = {(r.doc_id, g["line"], g["keep_id"], g["keep_line"]) for r in out for g in r.gone or []}
     assert got == brute(rows, L.DISTANCE, L.LEAST_CHARS)
