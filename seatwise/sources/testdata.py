@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from seatwise.functions.derive import DEAL_TYPES, SEGMENTS
 from seatwise.sources import contracts as C
 from seatwise.sources.contracts import conform
+from seatwise.sources.io import write_model
 
 # ---- fixed values of the adapter rules -------------------------------------
 USERS_PER_ACCOUNT = 3
@@ -309,29 +310,29 @@ class Inputs:
 
     They are lazy plans over the source tables.  With ``store``, a folder that
     all executors share, each input is derived once and written there as
-    Parquet; queries then scan those tables, as they would scan the real input
-    tables.
+    Parquet, the daily ones in a folder for each date (``files_per_date`` files
+    of it, dealt out by account); queries then scan those tables, as they would
+    scan the real input tables, and those of one date open its files only.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, store: str | None = None):
-        self.spark, self.sf_dir, self.store = spark, sf_dir, store
+    def __init__(self, spark: SparkSession, sf_dir: str, store: str | None = None, files_per_date: int = 1):
+        self.spark, self.sf_dir, self.store, self.files_per_date = spark, sf_dir, store, files_per_date
         self._done: dict[str, DataFrame] = {}
         self._lock = threading.RLock()   # queries may run from several threads
 
-    def _stored(self, name: str, build, schema, cluster_by: str | None = None) -> DataFrame:
+    def _stored(self, name: str, build, schema, partition_by: str | None = None) -> DataFrame:
         if self.store is None:
             return build()
         with self._lock:
             if name not in self._done:
                 path = f"{self.store.rstrip('/')}/{name}"
                 df = build()
-                if cluster_by:
-                    # rows of a date sit together in each file, so a date filter
-                    # skips row groups by their min/max statistics
-                    df = df.sortWithinPartitions(cluster_by)
-                df.write.mode("overwrite").parquet(path)
+                if partition_by:
+                    write_model(df, path, partition_by, files_per_date=self.files_per_date)
+                else:
+                    df.write.mode("overwrite").parquet(path)
                 self._done[name] = (conform(self.spark.read.schema(schema).parquet(path), schema) if schema is not None
-                                    else self.spark.read.schema(df.schema).parquet(path))
+                                    else self.spark.read.schema(df.schema).parquet(path).select(*df.columns))
             return self._done[name]
 
     @cached_property

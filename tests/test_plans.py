@@ -12,7 +12,7 @@ from seatwise.plans.catalog import OPERATORS, queries
 from seatwise.sources import testdata as T
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
-from plan_summary import scans  # noqa: E402
+from plan_summary import files_read, scans  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="testdata not present")
@@ -52,6 +52,19 @@ def test_one_date_queries_push_the_date_into_stored_inputs(spark, tmp_path):
         assert pushes_the_date(OPERATORS[name](inputs)), name
 
 
+def test_one_date_queries_open_the_files_of_that_date(spark, tmp_path):
+    """Stored inputs have a folder for each date; the plans filter partitions and read one of 30."""
+    inputs = T.Inputs(spark, SF, store=str(tmp_path), files_per_date=2)
+    for name in ("account_utilisation", "segment_addon_exposure", "segment_breadth", "segment_trend_volatility", "segment_retention"):
+        df = OPERATORS[name](inputs)
+        filters = re.findall(r"PartitionFilters: \[[^\n]*\]", formatted_plan(df))
+        assert any(re.search(DATE_PUSHED, f) for f in filters), name
+        for table, n in files_read(df).items():
+            if table in ("user_days", "health"):
+                assert 0 < n <= 2 * (2 if name == "segment_breadth" and table == "user_days" else 1), (name, table, n)
+    assert files_read(OPERATORS["segment_seat_penetration"](inputs))["user_days"] > 20
+
+
 def test_one_date_queries_push_the_date_into_events(spark):
     # Over lazy inputs those that read a day's activity do; which users there
     # are, and the trend before that day, need the other dates too.

@@ -38,15 +38,27 @@ def summarise(df, full: bool = False) -> str:
 
 def scans(df) -> collections.Counter:
     """How often the final plan of ``df`` reads each file; exchanges and subqueries that are reused count once."""
+    return _walked(df)[0]
+
+
+def files_read(df) -> collections.Counter:
+    """How many files the final plan of ``df`` opens in each folder."""
+    return _walked(df)[1]
+
+
+def _walked(df) -> tuple[collections.Counter, collections.Counter]:
     df._jdf.queryExecution().toRdd().count()
     out: collections.Counter = collections.Counter()
+    files: collections.Counter = collections.Counter()
 
     def walk(node) -> None:
         kind = node.getClass().getSimpleName()
         if kind in ("ReusedExchangeExec", "ReusedSubqueryExec"):
             return
         if kind == "FileSourceScanExec":
-            out.update(re.findall(r"([^/\],]+)\.parquet", node.metadata().get("Location").get()))
+            place = node.metadata().get("Location").get()
+            out.update(re.findall(r"([^/\],]+)\.parquet", place))
+            files[re.sub(r".*/([^/\]]+)\].*", r"\1", place)] += node.metrics().get("numFiles").get().value()
         if kind == "AdaptiveSparkPlanExec":
             return walk(node.executedPlan())
         inner = [node.plan()] if kind.endswith("QueryStageExec") else []
@@ -56,7 +68,7 @@ def scans(df) -> collections.Counter:
             walk(child)
 
     walk(df._jdf.queryExecution().executedPlan())
-    return out
+    return out, files
 
 
 def markdown(spark, sf: str, names: list[str]) -> str:
