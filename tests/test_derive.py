@@ -103,11 +103,10 @@ def test_large_trends_survive(spark):
     import datetime as dt
 
     from seatwise.sources import testdata as T
-    ud = spark.createDataFrame([(dt.date(2024, 1, d), "ACC_000000", 0, "S", True) + (False,) * 6 for d in (1, 2)],
-                               "measurement_date date, account_id string, user_id long, segment string, " + ", ".join(f"{c} boolean" for c in T.FLAG_COLUMNS))
-    events = spark.createDataFrame([(0, dt.date(2024, 1, 1), 1), (0, dt.date(2024, 1, 2), 12_001)],
-                                   "account_no long, measurement_date date, n_events long")
-    rows = {r.measurement_date.day: r for r in T._health(ud, events).collect()}
+    days = spark.createDataFrame([(0, dt.date(2024, 1, d), 1, 1, 0, 0, 0, n) for d, n in ((1, 1), (2, 12_001))],
+                                 "account_no long, measurement_date date, n_users long, n_active long, research int, "
+                                 "monitoring int, relationship int, n_events long")
+    rows = {r.measurement_date.day: r for r in T._health(days, spark, "/root/testdata/sf0.001").collect()}
     assert rows[2].net_positive_periods == 12_000 and rows[2].health_score > 12_000
 
 

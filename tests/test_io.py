@@ -84,7 +84,7 @@ def test_build_models_writes_both_and_checks_them(spark, user_days, health, obje
     assert built.adoption.count() == 1 and built.risk.count() == 1
     checks = built.checks.collect()
     assert len(checks) == 23 + 1 and sum(c.failing_rows for c in checks) == 0
-    assert {c.model for c in checks} == {"account_day_adoption", "retention_risk"}
+    assert {c.model for c in checks} == {"account_day_adoption", "retention_risk", "health"}
 
 
 def test_files_per_date_bounds_file_count(spark, user_days):
