@@ -78,7 +78,7 @@ def sieve(keys: DataFrame, key: Column, bits: int) -> np.ndarray:
     rows = keys.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
     rows = rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
     out = np.zeros(max(1, (1 << bits) // (8 * BITMAP_BYTES)) * BITMAP_BYTES, dtype=np.uint8)
-    for row in rows.toLocalIterator():  # 2 ** bits / 8 bytes at most
+    for row in rows.collect():  # 2 ** bits / 8 bytes at most
         at = (row["bucket"] - 1) * BITMAP_BYTES
         out[at:at + BITMAP_BYTES] = np.frombuffer(row["bitmap"], dtype=np.uint8)
     return out

@@ -26,7 +26,8 @@ def fitting(docs: DataFrame, ids: DataFrame, chars: int) -> DataFrame:
     """
     own = (docs.join(F.broadcast(ids), "doc_id")  # as many ids as the sample has at most
            .select("key", "doc_id", "text", F.xxhash64("text").alias("hash")))
-    sizes = own.select("key", "doc_id", "hash", F.length("text").alias("size")).distinct().orderBy("key", "doc_id", "hash")
+    sizes = own.select("key", "doc_id", "hash", F.length("text").alias("size")).distinct()  # about as many as there are ids
+    sizes = sizes.repartition(1).sortWithinPartitions("key", "doc_id", "hash")
     fits, left, seen = [], chars, 0
     for r in sizes.toLocalIterator():
         seen += 1
@@ -66,34 +67,44 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
 
 
 def descend(gradient: Callable[[np.ndarray], np.ndarray], point: np.ndarray, steps: int = 60, enough: float = 1e-3,
-            memory: int = 8) -> np.ndarray:
+            memory: int = 8, stride: float = 1.0) -> np.ndarray:
     """The least point of a convex function, from its gradient, by a quasi-Newton method with limited memory.
 
-    Ends after ``steps`` gradients, or when the gradient is ``enough`` times the first one. A step that goes
-    past the least point on its line is cut back by the secant of the slopes.
+    Ends after ``steps`` gradients, or when the gradient is ``enough`` times the first one. No coordinate
+    moves by more than ``stride`` at once; a step that goes past the least point on its line, or to where the
+    gradient is no number, is cut back. Returns the point with the least gradient that was met.
     """
     g = gradient(point)
-    aim, pairs = enough * np.linalg.norm(g), []
+    size = np.linalg.norm(g)
+    aim, pairs, best = enough * size, [], (size, point)
     used = 1
-    while used < steps and np.linalg.norm(g) > aim:
+    while used < steps and size > aim:
         d, kept = g.copy(), []
         for s, y in reversed(pairs):
             a = (s @ d) / (s @ y)
             d -= a * y
             kept.append(a)
-        d *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1 / np.linalg.norm(g)
+        d *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1 / size
         for (s, y), a in zip(pairs, reversed(kept)):
             d += (a - (y @ d) / (s @ y)) * s
-        d, share = -d, 1.0
-        slope = g @ d
-        while True:
+        d = -d
+        if g @ d >= 0:  # the remembered curvature is of no use here
+            d, pairs = -g / size, []
+        share = min(1.0, stride / max(float(np.abs(d).max()), 1e-300))
+        slope, new = g @ d, None
+        while used < steps:
             new = gradient(point + share * d)
             used += 1
-            if new @ d <= -0.5 * slope or used >= steps:
+            if np.isfinite(new).all() and new @ d <= -0.5 * slope:
                 break
-            share *= min(0.5, max(0.1, slope / (slope - new @ d)))
+            share *= min(0.5, max(0.1, slope / (slope - new @ d))) if np.isfinite(new).all() else 0.1
+            new = None
+        if new is None:
+            break
         s, y = share * d, new - g
         if s @ y > 1e-12 * np.linalg.norm(s) * np.linalg.norm(y):
             pairs = [*pairs[1 - memory:], (s, y)]
-        point, g = point + s, new
-    return point
+        point, g, size = point + s, new, np.linalg.norm(new)
+        if size < best[0]:
+            best = (size, point)
+    return best[1]
