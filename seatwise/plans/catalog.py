@@ -22,6 +22,7 @@ from seatwise.operators import quality as Q
 from seatwise.operators import risk as R
 from seatwise.operators import rollup as U
 from seatwise.operators import segments as S
+from seatwise.operators.panel import expand_users
 from seatwise.sources import testdata as T
 
 AS_OF = T.AS_OF
@@ -93,8 +94,10 @@ def _object_automation(i) -> DataFrame:
 
 
 def _seat_roster(i) -> DataFrame:
-    """Who holds the seats: every user that the table names, with the account's paid seats."""
-    return i.user_days.select("account_id", "user_id", "paid_seats").distinct()
+    """One row per paid seat of each account, with the user number that the seat gets."""
+    seats = i.user_days.select("account_id", "paid_seats").distinct()
+    roster = expand_users(seats, F.col("paid_seats"), G.id_number("account_id", "ACC_"))
+    return roster.select("account_id", "user_index", "user_id")
 
 
 def _rollup(i) -> DataFrame:

@@ -86,6 +86,22 @@ def test_expand_users_in_chunks(spark):
     assert got == [(1, i) for i in range(23)] + [(3, i) for i in range(5)]
 
 
+def test_seat_roster_has_every_paid_seat(user_days):
+    from types import SimpleNamespace
+
+    from seatwise.plans.catalog import OPERATORS
+    rows = user_days([
+        dict(account_id="ACC_000002", user_id=6, paid_seats=3),
+        dict(account_id="ACC_000002", user_id=6, paid_seats=3, measurement_date=dt.date(2024, 1, 2)),
+        dict(account_id="ACC_000002", user_id=7, paid_seats=3),
+        dict(account_id="ACC_000005", user_id=15, paid_seats=1),
+    ])
+    got = OPERATORS["seat_roster"](SimpleNamespace(user_days=rows))
+    assert got.columns == ["account_id", "user_index", "user_id"]
+    assert sorted(map(tuple, got.collect())) == [
+        ("ACC_000002", 0, 2000), ("ACC_000002", 1, 2001), ("ACC_000002", 2, 2002), ("ACC_000005", 0, 5000)]
+
+
 def test_account_ids_are_never_cut(spark):
     from seatwise.sources.testdata import account_id
     numbers = [7, 99999, 100000, 1000000, 1000001, 12345678901]
