@@ -99,11 +99,13 @@ def _blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
 
         for batch in batches:
             kind_of = batch.schema.field(0).type
-            for doc, text, out in zip(*(batch.column(k) for k in range(3))):
-                t = np.array([number[w] for w in tokens(text.as_py())], dtype=np.uint32)
+            rows = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
+            for doc, text, out in zip(*rows):
+                words = tokens(text)
+                t = np.fromiter(map(number.__getitem__, words), dtype=np.uint32, count=len(words))
                 texts.append(t)
-                ids.append(doc.as_py())
-                held.append(out.as_py())
+                ids.append(doc)
+                held.append(out)
                 size += len(t)
                 if size >= block_tokens:
                     yield flush()
@@ -216,58 +218,83 @@ def _answered(sent: DataFrame, order: int) -> DataFrame:
         run, "shard int, block long, " + ", ".join(f"{n} binary" for n in names) + ", n long, v long, n1 long, n2 long")
 
 
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, by key, and the number of each key among them."""
+    by = np.argsort(keys)
+    keys = keys[by]
+    new = np.concatenate(([True], keys[1:] != keys[:-1]))
+    number = np.empty(len(by), dtype=np.int32)
+    number[by] = np.cumsum(new, dtype=np.int32) - 1
+    return by[new].astype(np.int32), number
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """One array; the parts go at once."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
 class Automaton:
     """The part of the automaton that a block's texts can reach.
 
     States are the root (0), then the contexts of one word, of two, and so on, as the block numbers them. An
-    arc leaves a state on a word for each n-gram that training holds; the root has an arc for every word.
-    ``failure`` leads to the state of the context without its first word.
+    arc leaves a state on a word for each n-gram that training holds; the root has an arc for every word, and
+    these come first. ``failure`` leads to the state of the context without its first word. ``reach`` finds
+    arcs: out of a state of d words, which are those before a token, its word's arc is that of the n-gram of
+    d + 1 words that ends there, or -1.
     """
 
     def __init__(self, block: _Block, totals: list[np.ndarray], order: int):
-        words, ids = len(block.words), block.ids.astype(np.int64)
+        words, ids = len(block.words), block.ids.astype(np.int32)
         self.words, self.order = words, order
         seen = np.empty(words, dtype=np.int64)
         seen[block.order] = totals[0]
-        self.counts = [seen]  # of the arcs: those of the root by word, then the sorted ones
-        size, failure = [np.zeros(1, dtype=np.int64), seen], [np.zeros(1 + words, dtype=np.int64)]
-        key, count, after, length = [], [], [], []
-        base, shorter = 1, None  # the first state of the contexts one word shorter, and each token's number among them
+        root = np.arange(words, dtype=np.int32)
+        self.reach = np.empty((order, len(ids)), dtype=np.int32)
+        self.reach[0] = ids
+        size, failure = [np.zeros(1, dtype=np.int64), seen], [np.zeros(1 + words, dtype=np.int32)]
+        count, after = [seen], [np.where((seen > 0) & (order > 1), 1 + root, np.int32(0))]
+        none = np.zeros(0, dtype=np.int32)
+        state, lower, length = [none], [none], [none.astype(np.int8)]
+        self.spans = []  # of the arcs of each length, from two words on
+        base, states, arcs = 1, 1 + words, words  # the first state of the contexts one word shorter; states and arcs so far
+        shorter = None  # each token's number among the contexts one word shorter
         for k in range(2, order + 1):
-            _, at, number = np.unique(block.numbers(k), return_index=True, return_inverse=True)
+            at, number = _numbered(block.numbers(k))
             total = totals[k - 1]
             there = total > 0
             if k == 2:
-                state, suffix = 1 + block.before(1)[at].astype(np.int64), 1 + ids[at]
+                source, suffix = 1 + block.before(1)[at].astype(np.int32), 1 + ids[at]
             else:  # at the start of a text no context of two words has been read
                 starts = np.zeros(len(ids), dtype=bool)
                 starts[block.first] = True
                 there &= ~starts[at]
-                state, suffix = base + shorter[np.maximum(at - 1, 0)], base + shorter[at]
-            own = sum(map(len, size)) + np.arange(len(total))
+                source, suffix = base + shorter[np.maximum(at - 1, 0)], base + shorter[at]
+            n = int(there.sum())
+            below = self.reach[k - 2][at[there]]
+            place = np.full(len(total), -1, dtype=np.int32)
+            place[there] = np.arange(arcs, arcs + n, dtype=np.int32)
+            self.reach[k - 1] = place[number]
             if k < order:
-                base, shorter = int(own[0]) if len(own) else base, number
                 size.append(total)
                 failure.append(suffix)
-            key.append(state[there] * words + ids[at][there])
+                suffix = np.arange(states, states + len(total), dtype=np.int32)
+                base, shorter = states, number
+                states += len(total)
+            state.append(source[there])
             count.append(total[there])
-            after.append((own if k < order else suffix)[there])
-            length.append(np.full(int(there.sum()), k, dtype=np.int8))
-        self.size, self.failure = np.concatenate(size), np.concatenate(failure)
-        self.key, count, after, length = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (key, count, after, length))
-        by = np.argsort(self.key, kind="stable")
-        self.key, self.counts, self.length = self.key[by], np.concatenate((seen, count[by])), length[by]
-        self.after = np.concatenate((np.where((seen > 0) & (order > 1), 1 + np.arange(words), 0), after[by]))
+            after.append(suffix[there])
+            lower.append(np.where(below >= 0, below, ids[at[there]]))
+            length.append(np.full(n, k, dtype=np.int8))
+            self.spans.append((arcs, arcs + n))
+            arcs += n
+        self.depth = np.concatenate([np.full(len(x), d, dtype=np.int8) for d, x in enumerate(size)])
+        self.size, self.failure, self.counts, self.after = map(_joined, (size, failure, count, after))
+        #: Of the arcs of two words and more: the state they leave, the arc of their word out of the state that it fails to, their words.
+        self.state, self.lower, self.length = map(_joined, (state, lower, length))
         self.start = 1 if order > 1 and seen[0] > 0 else 0
 
-    def arc(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The arc of each word out of each state, and whether there is one; those of the root are always there."""
-        want = state * self.words + word
-        at = np.minimum(np.searchsorted(self.key, want), max(0, len(self.key) - 1))
-        there = self.key[at] == want if len(self.key) else np.zeros(len(want), dtype=bool)
-        there &= state > 0
-        return np.where(there, self.words + at, word), there | (state == 0)
-
     def read(self, block: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The state before each token, how many failure arcs are taken there, and the arc that is followed.
 
@@ -277,28 +304,25 @@ class Automaton:
         states, fails, arcs = np.empty(n, dtype=np.int32), np.zeros(n, dtype=np.int8), np.empty(n, dtype=np.int32)
         by = np.argsort(-block.lengths, kind="stable")
         first, lengths = block.first[by], block.lengths[by]
-        state = np.full(len(by), self.start, dtype=np.int64)
-        for step in range(int(lengths.max(initial=0))):
-            going = int(np.searchsorted(-lengths, -step, side="left"))
-            at = first[:going] + step
-            word, here = block.ids[at].astype(np.int64), state[:going].copy()
+        state = np.full(len(by), self.start, dtype=np.int32)
+        going = np.searchsorted(-lengths, -np.arange(int(lengths.max(initial=0))), side="left").tolist()
+        for step, texts in enumerate(going):
+            at = first[:texts] + step
+            here = state[:texts]
             states[at] = here
-            taken, there = self.arc(here, word)
-            left = np.flatnonzero(~there)
+            taken = self.reach[self.depth[here], at]
+            left = np.flatnonzero(taken < 0)
+            if len(left):
+                here = here.copy()
             while len(left):
                 fails[at[left]] += 1
-                here[left] = self.failure[here[left]]
-                taken[left], there = self.arc(here[left], word[left])
-                left = left[~there]
+                here[left] = to = self.failure[here[left]]
+                taken[left] = found = self.reach[self.depth[to], at[left]]
+                left = left[found < 0]
             arcs[at] = taken
-            state[:going] = self.after[taken]
+            state[:texts] = self.after[taken]
         return states, fails, arcs
 
-    def lower(self) -> np.ndarray:
-        """Of each sorted arc, the arc of its word out of the state that its own fails to."""
-        state, word = np.divmod(self.key, max(1, self.words))
-        return self.arc(self.failure[state], word)[0]
-
 
 def _scored(blocks: DataFrame, answers: DataFrame, order: int, stats: tuple[int, int, int, int], weights: tuple[float, ...],
             kind: str) -> DataFrame:
@@ -321,28 +345,43 @@ def _scored(blocks: DataFrame, answers: DataFrame, order: int, stats: tuple[int,
         a = Automaton(b, [np.concatenate([_unsqueeze(x, np.int64) for x in told[f"t{k}"] if x is not None] or [np.zeros(0, np.int64)])
                           for k in range(order)], order)
         states, fails, arcs = a.read(b)
-        lower, context = a.lower(), a.size[a.key // max(1, a.words)]
-        seen, learnt_arcs = a.counts[:a.words], arcs[b.learnt]
-        by_length = [np.flatnonzero(a.length == k) for k in range(2, order + 1)]
+        del a.reach, a.after
+        seen = a.counts[:a.words]
+        context = a.size[a.state]
+        rounds, at = [], np.flatnonzero(fails)  # the tokens that fail once, twice and so on, and what their states have been seen
+        here, left = states[at], fails[at]
+        while len(at):
+            rounds.append((at, a.size[here]))
+            left -= 1
+            at, here, left = at[left > 0], a.failure[here[left > 0]], left[left > 0]
+        learnt = np.bincount(arcs[b.learnt], minlength=len(a.counts)).astype(np.float64)
+        del states, fails, a.state, a.failure
         total = lambda x: np.add.reduceat(x, b.first)
+
+        def weighed(m: float, less: int) -> np.ndarray:
+            """The log10 probability of each arc; with ``less`` as if one of its n-grams had not been seen."""
+            p = np.empty(len(a.counts))
+            p[:a.words] = root(seen - less)
+            for start, end in a.spans:  # arcs of longer n-grams weigh in those of shorter ones
+                own = slice(start - a.words, end - a.words)
+                size, below = context[own], p[a.lower[own]]
+                p[start:end] = (a.counts[start:end] - less + m * below) / (np.maximum(size - less, 0) + m)
+                if less:
+                    alone = np.flatnonzero(size <= 1)
+                    p[start + alone] = below[alone]
+            return np.log10(p, out=p)
+
         scores, left_out = [], []
         for m in weights:
-            p, less = np.empty(len(a.counts)), np.empty(len(a.counts))
-            p[:a.words], less[:a.words] = root(seen), root(seen - 1)
-            for which in by_length:  # arcs of longer n-grams weigh in those of shorter ones
-                c, size, arc = a.counts[a.words + which], context[which], a.words + which
-                p[arc] = (c + m * p[lower[which]]) / (size + m)
-                less[arc] = np.where(size > 1, (c - 1 + m * less[lower[which]]) / (np.maximum(size - 1, 0) + m), less[lower[which]])
-            log = np.log10(p)[arcs]
-            fail = np.log10(m / (a.size + m))
-            here, still = states.astype(np.int64), fails.copy()
-            while still.any():
-                failing = np.flatnonzero(still)
-                log[failing] += fail[here[failing]]
-                here[failing] = a.failure[here[failing]]
-                still[failing] -= 1
+            log = weighed(m, 0)[arcs]
+            for at, size in rounds:
+                log[at] += np.log10(m / (size + m))
             scores.append(total(log))
-            left_out.append(float(np.log10(less)[learnt_arcs].sum()))
+            del log
+            log = weighed(m, 1)
+            log *= learnt
+            left_out.append(float(log.sum()))
+            del log
         count = seen[b.ids]
         return pd.DataFrame(dict(zip(names, [
             list(row["doc_ids"]), list(row["held"]), b.lengths, total((count > 0).astype(np.int64)),

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -118,6 +119,22 @@ def test_the_automaton_carries_its_state():
             at += 1
 
 
+def test_a_block_is_read_in_bounded_memory():
+    rng = np.random.default_rng(5)
+    lengths = np.full(400, 500)
+    ids = (20_000 * rng.random(lengths.sum()) ** 3).astype(np.uint32)
+    ids[499::500] = 0
+    words = zstandard.ZstdCompressor().compress(b" ".join(b"w%d" % i for i in range(1, 20_000)))
+    b = B._Block(lengths, np.zeros(400, dtype=bool), B._squeeze(ids), words)
+    totals = [np.bincount(b.ids, minlength=len(b.words))[b.order], *[np.unique(b.numbers(k), return_counts=True)[1] for k in (2, 3)]]
+    tracemalloc.start()
+    a = B.Automaton(b, totals, 3)
+    a.read(b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160 * len(b.ids)  # bytes a token
+
+
 def test_nothing_to_learn_from_and_empty_table(docs):
     i = next(i for i in range(100) if held(i))
     r, = B.score(docs([(i, "a b")])).collect()
