@@ -10,6 +10,7 @@ distance. Linked lines form classes; of each class, and of lines that repeat, th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -59,16 +60,31 @@ def probes(length: int, distance: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _key(part: str, segment: int, length: int) -> int:
-    return xxhash.xxh64_intdigest(part.encode("utf-8", "surrogatepass"), length * 64 + segment)
+@lru_cache(maxsize=1 << 13)
+def _index_places(length: int, distance: int) -> list[tuple[int, int, int]]:
+    """(start, end, seed) of the parts of a line of this length that are its index keys."""
+    return [(at, at + size, length * 64 + k) for k, (at, size) in enumerate(segments(length, distance))]
+
+
+@lru_cache(maxsize=1 << 13)
+def _probe_places(length: int, distance: int) -> list[tuple[int, int, int]]:
+    """(start, end, seed) of the parts of a line of this length that are its probe keys."""
+    return [(at, at + size, other * 64 + k) for other, k, at, size in probes(length, distance)]
+
+
+def _part_keys(line: str, places: list[tuple[int, int, int]]) -> list[int]:
+    if line.isascii():  # a byte for each character: parts are cut from the bytes
+        raw = line.encode()
+        return [xxhash.xxh64_intdigest(raw[start:end], seed) for start, end, seed in places]
+    return [xxhash.xxh64_intdigest(line[start:end].encode("utf-8", "surrogatepass"), seed) for start, end, seed in places]
 
 
 def index_keys(line: str, distance: int) -> list[int]:
-    return [_key(line[at:at + size], k, len(line)) for k, (at, size) in enumerate(segments(len(line), distance))]
+    return _part_keys(line, _index_places(len(line), distance))
 
 
 def probe_keys(line: str, distance: int) -> list[int]:
-    return [_key(line[at:at + size], k, length) for length, k, at, size in probes(len(line), distance)]
+    return _part_keys(line, _probe_places(len(line), distance))
 
 
 # --- verification --------------------------------------------------------------------------------------
@@ -131,6 +147,10 @@ def _lines(text: str, least_chars: int) -> list[tuple[int, str]]:
     return [(k, y) for k, x in enumerate(text.split("\n")) if len(y := x.strip(SPACES)) >= least_chars]
 
 
+def _strings(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
 def _id(line: str) -> int:
     x = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
     return x if x < 1 << 63 else x - (1 << 64)
@@ -143,8 +163,8 @@ def _occurrences(docs: DataFrame, least_chars: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, number, own = [], [], []
-            for n, text in enumerate(batch.column(1)):
-                for k, line in _lines(text.as_py(), least_chars):
+            for n, text in enumerate(_strings(batch.column(1))):
+                for k, line in _lines(text, least_chars):
                     row.append(n)
                     number.append(k)
                     own.append(_id(line))
@@ -169,11 +189,13 @@ def parities(lines: list[str]) -> np.ndarray:
             end += 1
         own = lines[start:end]
         c = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        of = np.repeat(np.arange(len(own)), [len(x) for x in own])
-        inside = np.flatnonzero(of[:-1] == of[1:])
-        place = (c[inside] * np.uint32(0x9E3779B1) + c[inside + 1] * np.uint32(0x85EBCA77)) >> np.uint32(26)
-        odd = np.bincount(of[inside] * 64 + place, minlength=64 * len(own)).astype(np.uint8) & 1
-        out[start:end] = np.packbits(odd.reshape(-1, 64), axis=1, bitorder="little").view("<u8").ravel()
+        long = np.array([len(x) for x in own])
+        after = np.cumsum(long)
+        bits = np.zeros(len(c), dtype=np.uint64)  # of each character and the next
+        place = (c[:-1] * np.uint32(0x9E3779B1) + c[1:] * np.uint32(0x85EBCA77)) >> np.uint32(26)
+        bits[:-1] = np.uint64(1) << place.astype(np.uint64)
+        bits[after[long > 0] - 1] = 0  # the next character is another line's
+        out[start:end][long > 0] = np.bitwise_xor.reduceat(bits, (after - long)[long > 0]) if len(c) else 0
         start = end
     return out
 
@@ -185,8 +207,8 @@ def _keys(docs: DataFrame, least_chars: int, distance: int, of_line) -> DataFram
         for batch in batches:
             seen: set[int] = set()
             key, own, fresh, many = [], [], [], []
-            for text in batch.column(0):
-                for _, line in _lines(text.as_py(), least_chars):
+            for text in _strings(batch.column(0)):
+                for _, line in _lines(text, least_chars):
                     number = _id(line)
                     if number not in seen:
                         seen.add(number)
@@ -231,8 +253,8 @@ def _texts(docs: DataFrame, least_chars: int, sieve: np.ndarray, bits: int = SIE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = {}
-            for text in batch.column(0):
-                for _, line in _lines(text.as_py(), least_chars):
+            for text in _strings(batch.column(0)):
+                for _, line in _lines(text, least_chars):
                     number = _id(line)
                     at = (number & (1 << 64) - 1) >> (64 - bits)
                     if sieve[at >> 3] >> (7 - (at & 7)) & 1:

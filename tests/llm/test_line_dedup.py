@@ -104,3 +104,12 @@ def test_odd_rows_and_empty_table(docs):
 def test_edits_turn_few_parities(a, b):
     x, y = L.parities([a, b]).tolist()
     assert bin(x ^ y).count("1") <= L.PAIRS_OF_EDIT * distance(a, b)
+
+
+def test_places_of_keys_are_worked_out_once_a_length(monkeypatch):
+    asked, places = [], L.probes
+    monkeypatch.setattr(L, "probes", lambda length, distance: asked.append(length) or places(length, distance))
+    lines = ["x" * 4099 + c for c in "abc"] + ["é" * 4099 + "a"]
+    keys = [L.probe_keys(line, 2) for line in lines]
+    assert len(asked) <= 1
+    assert keys == [[L.xxhash.xxh64_intdigest(line[at:at + size].encode(), n * 64 + k) for n, k, at, size in places(4100, 2)] for line in lines]
