@@ -30,6 +30,9 @@ SIEVE_BITS = 25
 PAIRS_OF_EDIT = 4
 CHARS_AT_ONCE = 1 << 21
 
+#: Texts whose lines and keys a worker holds at a time.
+ROWS_AT_ONCE = 1 << 9
+
 #: Shorter lines are linked by exact equality alone: two edits may make another line of them.
 LEAST_CHARS = 24
 
@@ -151,6 +154,12 @@ def _strings(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of few rows."""
+    for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+        yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def _id(line: str) -> int:
     x = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
     return x if x < 1 << 63 else x - (1 << 64)
@@ -161,7 +170,7 @@ def _occurrences(docs: DataFrame, least_chars: int) -> DataFrame:
     kind = docs.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             row, number, own = [], [], []
             for n, text in enumerate(_strings(batch.column(1))):
                 for k, line in _lines(text, least_chars):
@@ -206,21 +215,22 @@ def _keys(docs: DataFrame, least_chars: int, distance: int, of_line) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
-            key, own, fresh, many = [], [], [], []
-            for text in _strings(batch.column(0)):
-                for _, line in _lines(text, least_chars):
-                    number = _id(line)
-                    if number not in seen:
-                        seen.add(number)
-                        keys = of_line(line, distance)
-                        key += keys
-                        own.append(number)
-                        fresh.append(line)
-                        many.append(len(keys))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(key, dtype=np.uint64).view(np.int64)),
-                 *[pa.array(np.repeat(x, many)) for x in (np.array(own, dtype=np.int64), parities(fresh).view(np.int64))]],
-                ["key", "id", "pairs"])
+            for part in _parts(batch):
+                key, own, fresh, many = [], [], [], []
+                for text in _strings(part.column(0)):
+                    for _, line in _lines(text, least_chars):
+                        number = _id(line)
+                        if number not in seen:
+                            seen.add(number)
+                            keys = of_line(line, distance)
+                            key += keys
+                            own.append(number)
+                            fresh.append(line)
+                            many.append(len(keys))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.array(key, dtype=np.uint64).view(np.int64)),
+                     *[pa.array(np.repeat(x, many)) for x in (np.array(own, dtype=np.int64), parities(fresh).view(np.int64))]],
+                    ["key", "id", "pairs"])
 
     return docs.select("text").mapInArrow(run, "key long, id long, pairs long").repartition("key").dropDuplicates(["key", "id"])
 
@@ -253,7 +263,7 @@ def _texts(docs: DataFrame, least_chars: int, sieve: np.ndarray, bits: int = SIE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = {}
-            for text in _strings(batch.column(0)):
+            for text in (x for part in _parts(batch) for x in _strings(part.column(0))):
                 for _, line in _lines(text, least_chars):
                     number = _id(line)
                     at = (number & (1 << 64) - 1) >> (64 - bits)

@@ -113,3 +113,25 @@ def test_places_of_keys_are_worked_out_once_a_length(monkeypatch):
     keys = [L.probe_keys(line, 2) for line in lines]
     assert len(asked) <= 1
     assert keys == [[L.xxhash.xxh64_intdigest(line[at:at + size].encode(), n * 64 + k) for n, k, at, size in places(4100, 2)] for line in lines]
+
+
+def test_keys_of_a_batch_leave_in_pieces():
+    class Docs:  # hands out the function that Spark would run
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        def repartition(self, *columns):
+            return self
+
+        def dropDuplicates(self, columns):
+            return self.run
+
+    texts = [f"line {k // 2} of these texts, twice each" for k in range(2000)]
+    out = list(L._keys(Docs(), 24, 2, L.index_keys)(iter([L.pa.RecordBatch.from_arrays([L.pa.array(texts)], ["text"])])))
+    assert max(b.num_rows for b in out) <= 3 * 512
+    keys = [x for b in out for x in b.column(0).to_numpy().view("u8").tolist()]
+    assert keys == [x for text in dict.fromkeys(texts) for x in L.index_keys(text, 2)]
